@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestar.llm import language_id, quality, simhash
+from lodestar.llm import decontaminate, language_id, mixing, pitman_yor, quality, secret_scan, simhash, token_counts
 from lodestar.llm.common import remainder, table
 
 
@@ -30,3 +30,38 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = language_id.fit(language_id.learnable(docs))
     found = language_id.identify(docs.select("doc_id", held(4, 2).alias("held_out"), "text"), model)
     return found.select("doc_id", "held_out", "lang_pred", F.col("lang_score").alias("score"), F.size("lang_spans").cast("long").alias("n_spans"))
+
+
+def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secret_scan.scan(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+    names = F.transform("secret_spans", lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string")))
+    base = F.filter("secret_spans", lambda s: s["kind"].isin("assign", "access", "hex"))
+    count = lambda k: F.size(F.filter("secret_spans", lambda s: s["kind"] == k)).cast("long")
+    join = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+    return found.select(
+        "doc_id",
+        count("assign").alias("n_assign"),
+        count("access").alias("n_access"),
+        count("hex").alias("n_hex"),
+        F.sha2(join(base).cast("binary"), 256).alias("base_sha256"),
+        F.array_join(names, ",").alias("spans"),
+    )
+
+
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.histogram(table(spark, sf_dir, "documents"))
+
+
+def op10_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    learn = F.col("doc_id").isNotNull() & (remainder("doc_id", 10) != 0)
+    return pitman_yor.score(docs, learn).withColumn("held_out", held(10, 0))
+
+
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"), keep=["doc_id"]).select("doc_id", "size", "source_size", "target", "taken", "copies")
+
+
+def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.groupBy("doc_id", "item_id").agg(F.max("n_matched").cast("bigint").alias("n_matched"))

@@ -2,4 +2,28 @@
 
 from __future__ import annotations
 
-ORACLES: dict[str, str] = {}
+#: Brute force: every aligned pair of equal tokens, counted in spans of 13.
+DECONTAMINATE = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS t FROM documents),
+b AS (SELECT item_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS t FROM benchmark),
+dw AS (SELECT doc_id, unnest(t) AS w, unnest(range(len(t))) AS p FROM d),
+bw AS (SELECT item_id, len(t) AS n, unnest(t) AS w, unnest(range(len(t))) AS p FROM b WHERE len(t) >= 7),
+m AS (SELECT doc_id, item_id, n, dw.p - bw.p AS shift, dw.p AS p FROM dw JOIN bw USING (w)),
+c AS (SELECT doc_id, item_id, n, count(*) OVER (PARTITION BY doc_id, item_id, shift ORDER BY p RANGE BETWEEN CURRENT ROW AND 12 FOLLOWING) AS k FROM m)
+SELECT doc_id, item_id, max(k) AS n_matched FROM c WHERE k >= CASE WHEN n >= 13 THEN 11 ELSE n END GROUP BY doc_id, item_id
+"""
+
+TOP_K = r"""
+WITH v AS (
+    SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS DOUBLE)) AS e FROM embeddings
+    WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+),
+p AS (
+    SELECT q.vec_id AS query_id, c.vec_id AS vec_id, CAST(list_inner_product(q.e, c.e) AS BIGINT) AS score
+    FROM v q JOIN v c ON q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id
+),
+r AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank, vec_id, score FROM p)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 20
+"""
+
+ORACLES: dict[str, str] = {"op3_norm_buckets": TOP_K, "op9_decontaminate": DECONTAMINATE}
