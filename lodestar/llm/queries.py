@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestar.llm import decontaminate, language_id, mixing, pitman_yor, quality, secret_scan, simhash, token_counts
+from lodestar.llm import decontaminate, language_id, mixing, pitman_yor, quality, repeats, secret_scan, simhash, token_counts, topk
 from lodestar.llm.common import remainder, table
 
 
@@ -65,3 +65,11 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.groupBy("doc_id", "item_id").agg(F.max("n_matched").cast("bigint").alias("n_matched"))
+
+
+def op3_norm_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(topk.quantised(table(spark, sf_dir, "embeddings")))
+
+
+def op5_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.remove(table(spark, sf_dir, "documents"))
