@@ -28,6 +28,7 @@ COORDINATE_AT = 0.8
 QUERY_BLOCK = 2048
 BUCKET_MOST = 16_384
 BUCKETS = 16
+NONE = -(1 << 62)  # below any product; its negative exists
 
 
 def quantised(vectors: DataFrame, *, vec_id: str = "vec_id", embedding: str = "embedding", scale: int = 64) -> DataFrame:
@@ -88,10 +89,12 @@ def search(query_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, c: np.ndarray,
             for f in np.argsort(-np.abs(unit), axis=1)[:, :2].T:
                 at = unit[np.arange(len(live)), f]
                 reach = np.sqrt(np.maximum((1 - t * t) * (1 - at * at), 0)) + 1e-9
-                near &= np.abs(units[:, f].T - (at * t)[:, None]) <= reach[:, None] + (1 - t)[:, None] * np.abs(at)[:, None]
+                # The cap around a query may hold the axis itself, or its opposite.
+                high, low = np.where(at >= t, 1 + 1e-9, at * t + reach), np.where(at <= -t, -1 - 1e-9, at * t - reach)
+                near &= (units[:, f].T <= high[:, None]) & (units[:, f].T >= low[:, None])
             if near.mean() < 0.1:
                 i, j = np.nonzero(near)
-                products = np.full(near.shape, np.iinfo(np.int64).min)
+                products = np.full(near.shape, NONE)
                 products[i, j] = np.einsum("ij,ij->i", q[live[i]], part[j])
         if products is None:
             with np.errstate(divide="ignore", invalid="ignore"):
@@ -99,12 +102,12 @@ def search(query_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, c: np.ndarray,
             n = max(1, int(np.searchsorted(-lengths, -(least - 1e-6), "right"))) if np.isfinite(least) else len(part)
             part, own = part[:n], own[:n]
             products = _products(q[live], part)
-        products[own[None, :] == query_ids[live][:, None]] = np.iinfo(np.int64).min
+        products[own[None, :] == query_ids[live][:, None]] = NONE
         if products.shape[1] > k:
             level = -np.partition(-products, k - 1, axis=1)[:, k - 1]
-            i, j = np.nonzero((products >= np.maximum(level, floor[live])[:, None]) & (products > np.iinfo(np.int64).min))
+            i, j = np.nonzero((products >= np.maximum(level, floor[live])[:, None]) & (products > NONE))
         else:
-            i, j = np.nonzero((products >= floor[live][:, None]) & (products > np.iinfo(np.int64).min))
+            i, j = np.nonzero((products >= floor[live][:, None]) & (products > NONE))
         who, found, score = _best(np.concatenate((who, live[i])), np.concatenate((found, own[j])), np.concatenate((score, products[i, j])), k)
         ends = np.searchsorted(who, np.arange(len(q)), "right")
         full = ends - np.searchsorted(who, np.arange(len(q)), "left") >= k
