@@ -136,7 +136,8 @@ def components(edges: DataFrame, checkpoint_every: int = 1) -> DataFrame:
         e = small.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").unionByName(low.select("u", F.col("m").alias("v"))).distinct().checkpoint()
         now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == before:
-            return e.select(F.col("u").alias("node"), F.col("v").alias("root"))
+            roots = e.select(F.col("v").alias("node")).distinct()
+            return e.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(roots.select("node", F.col("node").alias("root")))
         before = now
 
 
