@@ -85,7 +85,7 @@ def _cut(rows: DataFrame, state: DataFrame, last: bool, seed: int, band: int) ->
     ``rows``: sid, size, r, goal. A row is taken while the words before it and a share of its own fit:
     half in the last band, a random share in the others.
     """
-    share = F.lit(0.5) if last else (F.pmod(F.xxhash64(F.col("sid"), F.lit(seed), F.lit(band)), F.lit(1 << 30)) + 0.5) / float(1 << 30)
+    share = F.lit(0.5) if last else draw(F.concat_ws(":", F.lit("band"), F.col("sid").cast("string"), F.lit(str(band))), seed)
     open_ = rows.withColumn("_from", F.lit(0).cast("bigint"))
     for level in (1, 2):
         open_ = open_.withColumn("_b", F.floor(F.col("r") * float(BUCKETS**level)))
