@@ -45,6 +45,17 @@ class BlockedError(LodestarError):
     kind = "blocked_by_policy"
 
 
+class RateLimitedError(LodestarError):
+    kind = "rate_limited"
+
+
+class HttpError(LodestarError):
+    kind = "http"
+
+
+CLASSES = {c.kind: c for c in (ConfigError, ParseError, NoResultsError, BlockedError, RateLimitedError, HttpError)}
+
+
 def render(kind: Column | str, detail: Column | str) -> Column:
     """The message of a failure row; null for an unknown kind."""
     kind, detail = (F.col(x) if isinstance(x, str) else x for x in (kind, detail))

@@ -218,6 +218,29 @@ def sink_pretty_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sinks.pretty(relation.take(result_rows(spark, sf_dir), 200))
 
 
+@query("""SELECT page_id AS _seq, CASE WHEN page_id % 4 = 0 THEN '{"url":"' || url || '","error":"gone","kind":"http"}' ELSE '{"url":"' || url || '","title":' || CASE WHEN page_id % 3 = 0 THEN 'null' ELSE '"t"' END || ',"chars":1,"truncated":false,"text":"x"}' END AS item FROM pages""")
+def sink_fetch_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("page_id")
+    rows = table(spark, sf_dir, "pages").select(
+        k.alias("_seq"), "url", F.when(k % 3 != 0, F.lit("t")).alias("title"), F.lit(1).alias("chars"), F.lit(False).alias("truncated"), F.when(k % 4 == 0, "gone").otherwise("x").alias("text"), F.when(k % 4 == 0, "http").alias("kind")
+    )
+    return sinks.fetch_batch(rows)
+
+
+@query(f"WITH {CACHE}, n AS (SELECT key, 'new' AS value, ts, seq, bytes FROM c WHERE bytes % 4 = 0 AND bytes <= 5000) SELECT key, value, ts FROM n UNION ALL SELECT key, value, ts FROM c WHERE key NOT IN (SELECT key FROM n)")
+def cache_put(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = _cache(spark, sf_dir)
+    empty = F.when(F.col("bytes") % 4 == 1, "[]").otherwise("new")
+    return state.put(c, c.where("bytes % 4 < 2").withColumn("value", empty), most_bytes=5000).select("key", "value", "ts")
+
+
+@query("""SELECT '{"query":"q","engine":"bing","count":' || count(*) || ',"results":[' || string_agg('{"title":"t' || p_partkey || '","url":"u","page_url":"p","width":' || CASE WHEN p_partkey % 2 = 0 THEN 'null' ELSE '7' END || ',"height":9,"format":"jpg"}', ',' ORDER BY p_partkey) || '],"downloaded":' || count(*) || '}' AS doc FROM part WHERE p_partkey < 20""")
+def sink_images_doc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("p_partkey")
+    rows = table(spark, sf_dir, "part").where(k < 20).select(k.alias("_seq"), F.concat(F.lit("t"), k).alias("title"), F.lit("u").alias("url"), F.lit("p").alias("page_url"), F.when(k % 2 == 1, 7).alias("width"), F.lit(9).alias("height"), F.lit("jpg").alias("format"))
+    return sinks.images_doc(rows, "q", "bing", downloaded=True)
+
+
 golden(
     "sanitize_line", [("a\tb\nc\x07d", "abcd"), ("plain", "plain"), ("x‮y", "xy")], T.sanitize_line
 )

@@ -331,3 +331,13 @@ def src_bad_envelopes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An answer that is not the source's envelope is a failure row, not an empty result."""
     bad = table(spark, sf_dir, "pages").select(F.col("page_id").alias("request_id"), F.when(F.col("page_id") % 2 == 0, F.lit('{"error":"x"}')).otherwise(F.lit("<html>")).alias("body"))
     return S.hackernews(bad).select("request_id", "_seq", "kind")
+
+
+@query("SELECT page_id AS _seq, CASE WHEN page_id > 200 THEN 'over_limit' WHEN page_id % 7 = 0 THEN 'robots' WHEN page_id % 5 = 0 THEN 'response_too_large' WHEN page_id % 3 = 0 THEN 'unsupported_content_type' WHEN page_id % 11 = 0 THEN 'exists' END AS skip, lpad(CAST(page_id AS VARCHAR), 4, '0') || '_a-b.' || CASE WHEN page_id % 3 = 0 THEN 'gif' ELSE 'png' END AS file FROM pages")
+def img_download_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes decide what a file is; markup posing as an image is refused."""
+    k = F.col("page_id")
+    head = F.when(k % 3 == 0, F.lit(b"<svg/>")).otherwise(F.lit(b"\x89PNG\r\n\x1a\n"))
+    content = F.when(k % 5 == 0, F.concat(head, F.repeat(F.lit("x"), 2000).cast("binary"))).otherwise(head)
+    rows = table(spark, sf_dir, "pages").select(k.alias("_seq"), F.lit("a / b").alias("title"), "url", F.lit("gif").alias("format"), content.alias("content"), (k % 7 != 0).alias("robots_allowed"), (k % 11 == 0).alias("on_disk"))
+    return S.download_plan(rows, most_bytes=1024, limit=200).select("_seq", "skip", "file")

@@ -409,6 +409,18 @@ def image_names(rows: DataFrame) -> DataFrame:
     return rows.withColumn("file", F.concat(F.lpad(F.col("_seq").cast("string"), 4, "0"), F.lit("_"), T.sanitize_name("title"), F.lit("."), ext))
 
 
+def download_plan(images: DataFrame, most_bytes: int = 5 * 1024 * 1024, limit: int = 50, overwrite: bool = False) -> DataFrame:
+    """What to do with each fetched image (_seq, title, url, format, content, robots_allowed, on_disk):
+    its file and ``skip``, the reason for not writing it. The name's extension is what the bytes say."""
+    kind = web.sniff_image("content")
+    skip = (
+        F.when(F.col("_seq") > limit, "over_limit").when(web.egress_error("url").isNotNull(), "blocked_by_policy").when(~F.coalesce("robots_allowed", F.lit(True)), "robots")
+        .when(F.octet_length("content") > most_bytes, "response_too_large").when(kind.isNull(), "unsupported_content_type")
+    )
+    named = image_names(images.withColumn("format", F.coalesce(kind, "format")))
+    return named.withColumn("skip", skip if overwrite else skip.when(F.coalesce("on_disk", F.lit(False)), "exists"))
+
+
 PARSERS = {
     "duckduckgo": ddg_html, "bing": web_rss, "wikipedia": wikipedia, "hackernews": hackernews, "reddit": feed, "fxtwitter": social, "telegram": channel,
     "stackexchange": stackexchange, "openalex": openalex, "crossref": crossref, "pubmed": pubmed, "crates": crates, "npm": npm, "pypi": pypi, "nominatim": nominatim,
