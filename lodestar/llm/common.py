@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import gc
 import os
+import time
 import uuid
 from collections.abc import Iterator
 
@@ -51,10 +53,10 @@ def dropped(df: DataFrame) -> None:
 
 def freed(spark: SparkSession) -> None:
     """Let the driver's context cleaner remove shuffle files that no live plan refers to."""
-    import gc
-
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(1)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -67,11 +69,11 @@ def remainder(key: Column | str, n: int) -> Column:
     return F.crc32(col.cast("string").cast("binary")) % F.lit(n)
 
 
-def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+def text_bytes(column: pa.Array, kind: pa.DataType | None = None) -> tuple[np.ndarray, np.ndarray]:
     """The UTF-8 bytes of a string column in one array and the n+1 offsets of its rows; null counts as empty."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
-    column = column.fill_null("").cast(pa.large_binary())
+    column = column.cast(kind) if kind else column.fill_null("").cast(pa.large_binary())
     offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
     data = column.buffers()[2]
     whole = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)

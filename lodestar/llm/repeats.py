@@ -11,7 +11,8 @@ with one symbol per document and round: the number of rounds is the length of th
    decided there, so hot passages shrink before the shuffle.
 2. Among rows of one gram, all but the earliest of each context repeat it: their windows go. Where
    a gram has several contexts, the earliest row of each is looked at window by window.
-3. Those windows are hashed (two 64-bit hashes) and the earliest of each stays.
+3. The bytes of those windows go to the task of their gram, where windows are hashed (two 64-bit
+   hashes) and the earliest of each stays.
 4. Ranges of removed windows are joined to the texts, which are cut.
 
 Defined results: a null text is empty; texts under LENGTH bytes lose nothing; matches never cross
@@ -149,7 +150,7 @@ def found_anchors(rows: DataFrame) -> DataFrame:
             gram, context, doc, packed = (np.concatenate(x) for x in zip(*parts, strict=True))
             order = np.lexsort((packed, doc, context, gram))
             gram, context, doc, packed = gram[order], context[order], doc[order], packed[order]
-            again = np.append(False, (gram[1:] == gram[:-1]) & (context[1:] == context[:-1]))[: len(gram)]
+            again = _not_first((gram, context), (doc, packed))
             key = np.where(again, mixed(doc.astype(np.uint64) * np.uint64(BASES[0]) ^ mixed(packed.astype(np.uint64))), gram)
             for i in range(0, len(gram), 100_000):
                 part = slice(i, i + 100_000)
@@ -166,6 +167,14 @@ def found_anchors(rows: DataFrame) -> DataFrame:
     return rows.select("doc", "th", "_text").mapInArrow(work, "gram bigint, context bigint, doc bigint, packed bigint")
 
 
+def _not_first(keys: tuple[np.ndarray, ...], where: tuple[np.ndarray, ...]) -> np.ndarray:
+    """Of sorted rows, those whose key an earlier row has, unless that is the same place (a row given twice)."""
+    new = np.ones(len(keys[0]), bool)
+    new[1:] = np.any([k[1:] != k[:-1] for k in keys], axis=0)
+    first = np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))
+    return np.any([w != w[first] for w in where], axis=0)
+
+
 def _text_of(packed: str) -> F.Column:
     return F.shiftrightunsigned(packed, AT_BITS + 2 * SPAN_BITS)
 
@@ -174,48 +183,91 @@ def repeated(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id") ->
     """(doc, th, packed): ranges of windows that start earlier too."""
     spark = docs.sparkSession
     rows = _rows(docs, text, doc_id)
-    order = Window.partitionBy("gram").orderBy("context", "doc", "packed")
+    # Partitioned by gram once: both windows keep that, and the sort.
+    order = Window.partitionBy("gram", "context").orderBy("doc", "packed")
     whole = Window.partitionBy("gram")
-    seen = found_anchors(rows).select(
+    earliest = F.first(F.struct("doc", "packed")).over(order)
+    seen = found_anchors(rows).repartition("gram").select(
+        "gram",
         "doc",
         "packed",
-        (F.col("context").isNull() | F.coalesce(F.lag("context").over(order) == F.col("context"), F.lit(False))).alias("again"),
+        (F.col("context").isNull() | (earliest != F.struct("doc", "packed"))).alias("again"),
         (F.min("context").over(whole) != F.max("context").over(whole)).alias("several"),
     )
-    seen = stored(seen.where("again or several"))
+    seen = stored(seen.where("again or several").select(F.when(~F.col("again"), F.col("gram")).alias("gram"), "doc", "packed"))
     freed(spark)
-    near = seen.where("not again").select("doc", _text_of("packed").alias("th"), "packed").groupBy("doc", "th").agg(F.collect_list("packed").alias("ranges"))
-    met = rows.select("doc", "th", "_text").join(near, ["doc", "th"])
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in small_batches(batches, "_text", 1 << 20):
-            data, offsets = text_bytes(batch.column(2))
-            doc, th = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            ranges = batch.column(3)
-            owner = np.repeat(np.arange(batch.num_rows), np.diff(ranges.offsets.to_numpy()))
-            _, lo, hi = unpack(ranges.flatten().to_numpy())
-            n = hi - lo + 1
-            start = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo, n)
-            own = np.repeat(owner, n)
-            at = start + offsets[own]
-            one, two = (Hashes(data, b).of(at, at + LENGTH) for b in BASES)
-            place = pack(th[own], start, start, start)
-            sort = np.lexsort((place, doc[own], two, one))
-            one, two, who, place = one[sort], two[sort], doc[own][sort], place[sort]
-            again = np.append(False, (one[1:] == one[:-1]) & (two[1:] == two[:-1]))[: len(one)]
-            key = np.where(again, mixed(who.astype(np.uint64) * np.uint64(BASES[0]) ^ mixed(place.astype(np.uint64))), one)
-            for i in range(0, len(one), 100_000):
-                part = slice(i, i + 100_000)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(key[part].view(np.int64), pa.int64()), pa.array(two[part].view(np.int64), pa.int64(), mask=again[part]), pa.array(who[part], pa.int64()), pa.array(place[part], pa.int64())],
-                    ["one", "two", "doc", "packed"],
-                )
-
-    windows = met.mapInArrow(work, "one bigint, two bigint, doc bigint, packed bigint")
-    earliest = F.lag("two").over(Window.partitionBy("one", "two").orderBy("doc", "packed"))
-    late = stored(windows.withColumn("before", earliest).where("two is null or before is not null").select("doc", "packed"))
+    near = seen.where("gram is not null").select("doc", _text_of("packed").alias("th"), F.struct("gram", "packed").alias("anchor"))
+    near = near.groupBy("doc", "th").agg(F.collect_list("anchor").alias("anchors"))
+    met = rows.select("doc", "th", "_text").join(near, ["doc", "th"]).select("doc", "_text", "anchors")
+    pieces = met.mapInArrow(_cut, "gram bigint, doc bigint, packed bigint, piece binary")
+    late = pieces.repartition("gram").sortWithinPartitions("gram").mapInArrow(_compare, "doc bigint, packed bigint")
+    late = stored(late)
     freed(spark)
-    return seen.where("again").select("doc", "packed").unionByName(late).select("doc", _text_of("packed").alias("th"), "packed")
+    return seen.where("gram is null").select("doc", "packed").unionByName(late).select("doc", _text_of("packed").alias("th"), "packed")
+
+
+def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The bytes of the windows that each anchor serves."""
+    for batch in small_batches(batches, "_text", 1 << 20):
+        data, offsets = text_bytes(batch.column(1))
+        lists = batch.column(2)
+        owner = np.repeat(np.arange(batch.num_rows), np.diff(lists.offsets.to_numpy()))
+        anchor = lists.flatten()
+        packed = anchor.field("packed").to_numpy()
+        _, lo, hi = unpack(packed)
+        start, size = lo + offsets[owner], hi + LENGTH - lo
+        ends = np.cumsum(size)
+        at = np.arange(size.sum()) - np.repeat(ends - size, size) + np.repeat(start, size)
+        piece = pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(np.append(0, ends).astype(np.int32)), pa.py_buffer(data[at])])
+        whole = pa.RecordBatch.from_arrays([anchor.field("gram"), pa.array(batch.column(0).to_numpy()[owner], pa.int64()), pa.array(packed, pa.int64()), piece], ["gram", "doc", "packed", "piece"])
+        for i in range(0, whole.num_rows, 20_000):
+            yield whole.slice(i, 20_000)
+
+
+def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows sorted by gram, the windows that start earlier in another row of the same gram; rows
+    of one gram are looked at together."""
+    held: list[pa.RecordBatch] = []
+    rows = 0
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        if rows > 50_000 and batch.column(0)[0].as_py() != held[-1].column(0)[-1].as_py():
+            yield from _late(pa.Table.from_batches(held))
+            held, rows = [], 0
+        elif rows > 50_000:
+            gram = batch.column(0).to_numpy()
+            cut = int(np.searchsorted(gram != gram[0], True)) if (gram != gram[0]).any() else len(gram)
+            if cut < len(gram):
+                yield from _late(pa.Table.from_batches([*held, batch.slice(0, cut)]))
+                held, rows, batch = [], 0, batch.slice(cut)
+        held.append(batch)
+        rows += batch.num_rows
+    if held:
+        yield from _late(pa.Table.from_batches(held))
+
+
+def _late(table: pa.Table) -> Iterator[pa.RecordBatch]:
+    doc, packed = table.column("doc").to_numpy(), table.column("packed").to_numpy()
+    data, offsets = text_bytes(table.column("piece"), pa.large_binary())
+    _, lo, hi = unpack(packed)
+    n = hi - lo + 1
+    own = np.repeat(np.arange(len(n)), n)
+    inside = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    at, start = inside + offsets[own], inside + lo[own]
+    one, two = (Hashes(data, b).of(at, at + LENGTH) for b in BASES)
+    text = packed >> AT_BITS + 2 * SPAN_BITS & (1 << TEXT_BITS) - 1
+    place = pack(text[own], start, start, start)
+    sort = np.lexsort((place, doc[own], two, one))
+    again = np.zeros(len(sort), bool)
+    again[sort] = _not_first((one[sort], two[sort]), (doc[own][sort], place[sort]))
+    # Neighbouring windows of one row make one range.
+    cut = np.append(True, own[1:] != own[:-1])
+    first = np.flatnonzero(again & (cut | ~np.append(False, again[:-1])))
+    last = np.flatnonzero(again & (np.append(cut[1:], True) | ~np.append(again[1:], False)))
+    out = pack(text[own[first]], start[last], start[first], start[last])
+    for i in range(0, len(first), 100_000):
+        yield pa.RecordBatch.from_arrays([pa.array(doc[own[first[i : i + 100_000]]], pa.int64()), pa.array(out[i : i + 100_000], pa.int64())], ["doc", "packed"])
 
 
 def remove(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", with_text: bool = False) -> DataFrame:
