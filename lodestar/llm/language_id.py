@@ -236,7 +236,7 @@ def identify(docs: DataFrame, model: Model, *, text: str = "text", penalty: floa
     shared = spark.sparkContext.broadcast(model)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in small_batches(batches, text, max(1 << 20, (96 << 20) // max(4, len(shared.value.languages)))):
+        for batch in small_batches(batches, text, max(1 << 20, (24 << 20) // max(4, len(shared.value.languages)))):
             names, score, spans = label(shared.value, batch.column(batch.schema.get_field_index(text)), penalty)
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns, pa.array(names, pa.string()), pa.array(score, pa.float64()), pa.array(spans, span)],
