@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from lodestar.llm import decontaminate, mixing, queries, registry, secret_scan, simhash, sql, topk
+from lodestar.llm import decontaminate, mixing, near_copies, queries, registry, secret_scan, simhash, sql, topk
 
 from .data import docs, odd, prose, row
 from .test_texts import brute_components
@@ -207,3 +207,27 @@ def test_run_and_empty(spark, folder, tmp_path):
 def test_registry():
     assert sorted(int(n[2:].split("_")[0]) for n in registry.QUERIES) == list(range(1, 11))
     assert set(registry.ORACLES) <= set(registry.QUERIES) and callable(queries.op3_norm_buckets)
+
+
+def test_near_copies_by_similarity(spark):
+    """Every pair of texts that share 0.8 of their five-word shingles ends in one component, and no others do."""
+    rng, texts = random.Random(5), []
+    for g in range(30):
+        base = prose(3000 + g, 150).split()
+        for _ in range(4):  # edits that move a fingerprint by more than two bits
+            w = list(base)
+            for j in rng.sample(range(len(w)), rng.randrange(1, 8)):
+                w[j] = f"new{rng.randrange(1000)}"
+            texts.append(" ".join(w))
+    texts += [texts[0].upper(), "one two three", "one two four", ""]
+    sets = [{tuple(t.lower().split()[i : i + 5]) for i in range(max(1, len(t.split()) - 4))} for t in texts]
+    root = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]) and root[i] != root[j]:
+                old, new = max(root[i], root[j]), min(root[i], root[j])
+                root = [new if r == old else r for r in root]
+    got = near_copies.cluster(docs(spark, [row(i, t) for i, t in enumerate(texts)])).collect()
+    assert {r.doc_id: r.component_id for r in got} == dict(enumerate(root))
+    kept = {r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, docs(spark, [row(i, t) for i, t in enumerate(texts)]), "").collect()}
+    assert kept == set(root)
