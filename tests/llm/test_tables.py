@@ -231,3 +231,14 @@ def test_near_copies_by_similarity(spark):
     assert {r.doc_id: r.component_id for r in got} == dict(enumerate(root))
     kept = {r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, docs(spark, [row(i, t) for i, t in enumerate(texts)]), "").collect()}
     assert kept == set(root)
+
+
+def test_language_stage_keeps_what_has_a_language(spark):
+    """Nothing to learn from; a given language that nothing was learned of."""
+    bare = docs(spark, [row(i, prose(i, 40), None) for i in range(12)] + [row(50, "12345 !!", None), row(51, None, None)])
+    got = corpus_pipeline.identify_language(spark, bare, "").collect()
+    assert {r.doc_id for r in got} == set(range(12)) and {r.lang for r in got} == {None}
+    taught = [row(i, prose(i, 60, "en" if i % 2 else "de"), "en" if i % 2 else "de") for i in range(24)]
+    taught += [row(60, "мир и труд " * 20, "ru"), row(61, "...", "en")]
+    got = {r.doc_id: r.lang for r in corpus_pipeline.identify_language(spark, docs(spark, taught), "").collect()}
+    assert set(range(24)) <= set(got) and got[60] == "ru" and 61 not in got
