@@ -29,9 +29,12 @@ ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x2
 ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 HEX = re.compile(r"[0-9a-f]{24,}")
 WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
-BASE64_KEY = re.compile(r"(?<![A-Za-z0-9+/_-])(?:M|b3BlbnNza)[A-Za-z0-9+/_-]{31,}={0,2}")
+BASE64_KEY = re.compile(r"(?:(?<![A-Za-z0-9+/_-])|(?<=\\[nr]))(?:M|b3BlbnNza)[A-Za-z0-9+/_-]{31,}={0,2}")
 HEX_KEY = re.compile(r"(?<![0-9A-Fa-f])30[0-9A-Fa-f]{46,}")
-PEM = re.compile(r"-----BEGIN ([A-Z ]{0,20})PRIVATE KEY-----([A-Za-z0-9+/=\s]{16,}?)-----END \1PRIVATE KEY-----")
+PEM = re.compile(r"-----BEGIN ([A-Z ]{0,20})PRIVATE KEY-----((?:[A-Za-z0-9+/=\s]|\\+[nr]){16,}?)-----END \1PRIVATE KEY-----")
+#: Where a key may be wrapped: a line end, real or escaped.
+WRAP = re.compile(r"[ \t]*(?:\r\n?|\n|\\+r\\+n|\\+[nr])[ \t]*")
+CHARS = re.compile(r"[A-Za-z0-9+/_-]*")
 SIGNED = re.compile(r"(?<![A-Za-z0-9_-])(eyJ[A-Za-z0-9_-]+)\.([A-Za-z0-9_-]+)\.([A-Za-z0-9_-]*)")
 INTEGER, BIT_STRING, OCTETS, OID, SEQUENCE = 2, 3, 4, 6, 0x30
 
@@ -82,21 +85,47 @@ def is_key(data: bytes) -> bool:
         if tags[1] == SEQUENCE and len(tags) >= 3 and tags[2] == OCTETS:
             named = _members(data, inner[1][1], inner[1][2])
             return small and bool(named) and named[0][0] == OID
+        if tags == [INTEGER] * 6:  # DSA
+            return small and data[inner[0][1]] == 0 and inner[1][2] - inner[1][1] >= 64
         return tags == [INTEGER, INTEGER] and inner[0][2] - inner[0][1] >= 64
-    if tags == [SEQUENCE, BIT_STRING]:
+    if tags == [SEQUENCE, BIT_STRING] or tags == [SEQUENCE, OCTETS] and inner[1][2] - inner[1][1] >= 16:  # the latter is encrypted PKCS#8
         named = _members(data, inner[0][1], inner[0][2])
         return bool(named) and named[0][0] == OID
     return False
 
 
 def _base64(text: str) -> bytes | None:
-    text = "".join(text.split()).rstrip("=").translate({45: 43, 95: 47})
+    text = "".join(re.sub(r"\\+[nr]", "", text).split()).rstrip("=").translate({45: 43, 95: 47})
     try:
         return base64.b64decode(text + "=" * (-len(text) % 4), validate=True)
     except (binascii.Error, ValueError):
         return None
 
 
+def _wrapped(text: str, start: int) -> tuple[int, int] | None:
+    """The span of a DER key in base64 that is wrapped over lines: as many characters as its outer length tells."""
+    head = _base64(text[start : start + 8]) or b""
+    if len(head) < 6 or head[0] != SEQUENCE:
+        return None
+    more = head[1] & 127 if head[1] > 127 else 0
+    if more > 4:
+        return None
+    need = ((2 + more + (int.from_bytes(head[2 : 2 + more], "big") if more else head[1])) * 4 + 2) // 3
+    at, lines = start, []
+    while need and need <= len(text) - at:
+        line = CHARS.match(text, at)[0][:need]
+        lines.append(line)
+        at, need = at + len(line), need - len(line)
+        if need:
+            wrap = WRAP.match(text, at)
+            if not line or not wrap:
+                return None
+            at = wrap.end()
+    if need or CHARS.match(text, at)[0] or not is_key(_base64("".join(lines)) or b""):
+        return None
+    return start, re.compile("={0,2}").match(text, at).end()
+
+
 def _is_signed(head: str, body: str) -> bool:
     try:
         header = json.loads(_base64(head) or b"")
@@ -122,8 +151,12 @@ def spans_of(text: str | None) -> list[tuple[int, int, str]]:
         keys += [m.span() for m in PEM.finditer(text) if (d := _base64(m[2])) and is_key(d)]
     for pattern, decode in ((BASE64_KEY, _base64), (HEX_KEY, lambda x: bytes.fromhex(x[: len(x) // 2 * 2]))):
         for m in pattern.finditer(text):
-            if (d := decode(m[0])) and is_key(d) and not any(a < m.end() and m.start() < b for a, b in keys):
+            if any(a < m.end() and m.start() < b for a, b in keys):
+                continue
+            if (d := decode(m[0])) and is_key(d):
                 keys.append(m.span())
+            elif pattern is BASE64_KEY and (wrapped := _wrapped(text, m.start())):
+                keys.append(wrapped)
     found += [(*s, 3) for s in keys]
     if "eyJ" in text:
         found += [(*m.span(), 4) for m in SIGNED.finditer(text) if _is_signed(m[1], m[2])]

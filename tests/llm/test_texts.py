@@ -263,6 +263,23 @@ def test_secrets():
     assert secret_scan.redacted(texts[0], secret_scan.spans_of(texts[0])).startswith("é [SECRET]")
 
 
+def test_wrapped_escaped_and_further_keys():
+    lines = base64.encodebytes(KEY).decode().strip()
+    one = base64.b64encode(KEY).decode()
+    name = der(0x30, der(6, b"\x2a\x86\x48") + der(5, b""))
+    encrypted = der(0x30, name + der(4, b"c" * 40))
+    dsa = der(0x30, der(2, b"\0") + b"".join(der(2, bytes([i + 1]) * 70) for i in range(5)))
+    for text in (
+        '{"k":"-----BEGIN PRIVATE KEY-----\\n' + lines.replace("\n", "\\n") + '\\n-----END PRIVATE KEY-----\\n"}',
+        "key\n" + lines + "\nafter", "key\\n" + lines.replace("\n", "\\n") + '"', "key\\n" + one + " after", base64.b64encode(encrypted).decode(), base64.b64encode(dsa).decode(),
+    ):
+        spans = [(a, b) for a, b, k in secret_scan.spans_of(text) if k == "key"]
+        assert len(spans) == 1, text
+        left = text[: spans[0][0]] + text[spans[0][1] :]
+        assert not any(line in left for line in (lines.split("\n")[0], lines.split("\n")[-1])), text
+    assert not secret_scan.spans_of("key\n" + lines[:-8] + "\nafter words")
+
+
 def test_redaction_keeps_rows(spark, folder):
     d = docs(spark, [row(1, "a password=abcdefgh b"), row(2, None), row(3, "clean")])
     got = {r.doc_id: r.text for r in secret_scan.scan(d, redact=True).collect()}
