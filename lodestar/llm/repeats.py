@@ -1,24 +1,29 @@
 """Exact removal of repeated byte strings over a corpus.
 
 Removes each byte covered by a string of LENGTH bytes that also starts earlier: in a document with a
-smaller id, or earlier in the same one. See the README for why this is not built as a suffix array
-with one symbol per document and round: the number of rounds is the length of the longest text.
+smaller id, or earlier in the same one.
 
 1. Every window of LENGTH bytes has one anchor, the GRAM-byte string in it whose hash is least (the
    leftmost of equals), so equal windows have equal anchors at equal places. A text yields one row
    for each anchor: the hash of its gram, the hash of all bytes a window around it can reach (its
    context), its place, and the range of windows that it serves. Rows alike within a task are
-   decided there, so hot passages shrink before the shuffle.
-2. Among rows of one gram, all but the earliest of each context repeat it: their windows go. Where
-   a gram has several contexts, the earliest row of each is looked at window by window.
-3. The bytes of those windows go to the task of their gram, where windows are hashed (two 64-bit
-   hashes) and the earliest of each stays.
-4. Ranges of removed windows are joined to the texts, which are cut.
+   decided there, so hot passages shrink before the shuffle. Of rows of one gram and context, all
+   but the earliest repeat it: their windows go.
+2. Where a gram has several contexts, the bytes of the windows of the earliest rows (a piece, at
+   most 2 * LENGTH - GRAM bytes) go to the task of their gram. There the suffixes of the pieces are
+   ordered by column-wise construction: each round inserts one symbol of every piece into the
+   collection's Burrows-Wheeler transform and updates the common prefixes (``suffixes``). Pieces are
+   bounded, so the rounds are; bundles of pieces stream from the sorted shuffle files. Windows that
+   are neighbours with a common prefix of LENGTH are equal, and the earliest of them stays.
+3. Ranges of removed windows are joined to the texts, which are cut.
+
+A gram with more than ``most`` pieces is split, as often as needed: a window reaches at least half
+of its other bytes to the left or to the right of the gram, and goes to the group of these bytes.
 
 Defined results: a null text is empty; texts under LENGTH bytes lose nothing; matches never cross
-documents. Rows with a null id come first in order. Rows of the same id are ordered by a hash of
-their text; rows alike in id and text are one document, each with its result. Texts of any length
-are handled whole; other columns are not read.
+documents. Rows with a null id come first in order, with those of the least 64-bit id. Rows of the
+same id are ordered by a 64-bit hash of their text; rows alike in id and text are one document, each
+with its result. Long texts are handled whole, in segments that overlap. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -32,16 +37,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestar.llm.common import freed, runs, small_batches, stored, text_bytes
+from lodestar.llm.common import dropped, freed, small_batches, stored, text_bytes
 
 LENGTH, GRAM = 100, 32
 REACH = LENGTH - GRAM  # bytes that a window can hold before its anchor's gram
-PIECE = 1 << 23  # windows whose least grams are found at once; places take 24 bits of a key
+SEGMENT = 2 << 20  # windows of a text looked at together; places among them take 24 bits of a key
+BUNDLE = 1 << 19  # bytes of pieces whose suffixes are ordered together (one group is never cut)
+MOST = 20_000  # pieces of one group
 BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
-#: A place in a document: 16 bits of a hash of the text, 32 of the position, and 7 each for how far
-#: before it the first and the last window it serves begin.
-TEXT_BITS, AT_BITS, SPAN_BITS = 16, 32, 7
-
+#: A place in a document: 32 bits of the position, and 7 each for how far before it the first and
+#: the last window it serves begin.
+AT_BITS, SPAN_BITS = 32, 7
 
 @lru_cache(4)
 def _powers(bits: int, base: int) -> tuple[np.ndarray, np.ndarray]:
@@ -98,8 +104,8 @@ def anchors(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
     gram = hashes.of(at, at + GRAM)
     place = np.empty(n, np.int64)
     low = np.uint64((1 << 24) - 1)
-    for a in range(0, n, PIECE):
-        m = min(PIECE, n - a)
+    for a in range(0, n, SEGMENT):
+        m = min(SEGMENT, n - a)
         keys = gram[a : a + m + REACH] & ~low | np.arange(m + REACH, dtype=np.uint64)
         place[a : a + m] = (_least(keys, REACH + 1) & low).astype(np.int64) + a
     window = np.flatnonzero(inside)
@@ -117,41 +123,59 @@ def anchors(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
     return gram[at], context, own, at - base, lo - base, hi - base
 
 
-def pack(text: np.ndarray, at: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
-    return ((text << AT_BITS | at) << SPAN_BITS | at - lo) << SPAN_BITS | at - hi
+def long_anchors(data: np.ndarray) -> tuple[np.ndarray, ...]:
+    """``anchors`` of one text, in segments."""
+    parts = []
+    for s in range(0, len(data) - LENGTH + 1, SEGMENT):
+        e = min(s + SEGMENT, len(data) - LENGTH + 1)
+        a, b = max(0, s - REACH), min(len(data), e + LENGTH - 1 + REACH)
+        gram, context, own, at, lo, hi = anchors(data[a:b], np.array([0, b - a]))
+        at, lo, hi = at + a, np.maximum(lo + a, s), np.minimum(hi + a, e - 1)
+        keep = lo <= hi
+        parts.append([x[keep] for x in (gram, context, own, at, lo, hi)])
+    gram, context, own, at, lo, hi = (np.concatenate(x) for x in zip(*parts, strict=True))
+    # An anchor that serves windows on both sides of a border is one.
+    first = np.append(True, at[1:] != at[:-1])
+    last = np.append(first[1:], True)
+    return gram[first], context[first], own[first], at[first], lo[first], hi[last]
+
+
+def pack(at: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    return (at << SPAN_BITS | at - lo) << SPAN_BITS | at - hi
 
 
 def unpack(packed: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Place, first and last window."""
-    at = packed >> 2 * SPAN_BITS & (1 << AT_BITS) - 1
+    at = packed >> 2 * SPAN_BITS
     return at, at - (packed >> SPAN_BITS & 127), at - (packed & 127)
 
 
 def _rows(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
+    """doc and th stand for a document: its id in order, and a hash of its text and of whether the id is null."""
     own = F.coalesce(F.col(text), F.lit(""))
     order = F.coalesce(F.col(doc_id).cast("bigint"), F.lit(-(1 << 63)))
-    return docs.select(F.col(doc_id).alias("doc_id"), order.alias("doc"), F.shiftrightunsigned(F.xxhash64(own), 64 - TEXT_BITS).alias("th"), own.alias("_text"))
+    return docs.select(F.col(doc_id).alias("doc_id"), order.alias("doc"), F.xxhash64(F.col(doc_id).isNull(), own).alias("th"), own.alias("_text"))
 
 
 def found_anchors(rows: DataFrame) -> DataFrame:
-    """(gram, context, doc, packed), without those decided in their task: these have a null context
+    """(gram, context, doc, th, packed), without those decided in their task: these have a null context
     and a key of their own."""
 
+    def of(batch: pa.RecordBatch) -> tuple[np.ndarray, ...]:
+        data, offsets = text_bytes(batch.column(2))
+        gram, context, own, at, lo, hi = long_anchors(data) if batch.num_rows == 1 and len(data) >= LENGTH else anchors(data, offsets)
+        return gram, context, batch.column(0).to_numpy()[own], batch.column(1).to_numpy()[own], pack(at, lo, hi)
+
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            parts = []
-            for batch in small_batches(iter([whole]), "_text", 2 << 20):
-                data, offsets = text_bytes(batch.column(2))
-                gram, context, own, at, lo, hi = anchors(data, offsets)
-                doc, th = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-                parts.append((gram, context, doc[own], pack(th[own], at, lo, hi)))
+            parts = [of(batch) for batch in small_batches(iter([whole]), "_text", 2 << 20)]
             if not parts:
                 continue
-            gram, context, doc, packed = (np.concatenate(x) for x in zip(*parts, strict=True))
-            order = np.lexsort((packed, doc, context, gram))
-            gram, context, doc, packed = gram[order], context[order], doc[order], packed[order]
-            again = _not_first((gram, context), (doc, packed))
-            key = np.where(again, mixed(doc.astype(np.uint64) * np.uint64(BASES[0]) ^ mixed(packed.astype(np.uint64))), gram)
+            gram, context, doc, th, packed = (np.concatenate(x) for x in zip(*parts, strict=True))
+            order = np.lexsort((packed, th, doc, context, gram))
+            gram, context, doc, th, packed = gram[order], context[order], doc[order], th[order], packed[order]
+            again = _not_first((gram, context), (doc, th, packed))
+            key = np.where(again, mixed(th.view(np.uint64) ^ mixed(packed.astype(np.uint64))), gram)
             for i in range(0, len(gram), 100_000):
                 part = slice(i, i + 100_000)
                 yield pa.RecordBatch.from_arrays(
@@ -159,12 +183,13 @@ def found_anchors(rows: DataFrame) -> DataFrame:
                         pa.array(key[part].view(np.int64), pa.int64()),
                         pa.array(context[part].view(np.int64), pa.int64(), mask=again[part]),
                         pa.array(doc[part], pa.int64()),
+                        pa.array(th[part], pa.int64()),
                         pa.array(packed[part], pa.int64()),
                     ],
-                    ["gram", "context", "doc", "packed"],
+                    ["gram", "context", "doc", "th", "packed"],
                 )
 
-    return rows.select("doc", "th", "_text").mapInArrow(work, "gram bigint, context bigint, doc bigint, packed bigint")
+    return rows.select("doc", "th", "_text").mapInArrow(work, "gram bigint, context bigint, doc bigint, th bigint, packed bigint")
 
 
 def _not_first(keys: tuple[np.ndarray, ...], where: tuple[np.ndarray, ...]) -> np.ndarray:
@@ -175,105 +200,262 @@ def _not_first(keys: tuple[np.ndarray, ...], where: tuple[np.ndarray, ...]) -> n
     return np.any([w != w[first] for w in where], axis=0)
 
 
-def _text_of(packed: str) -> F.Column:
-    return F.shiftrightunsigned(packed, AT_BITS + 2 * SPAN_BITS)
+PIECES = "gram bigint, doc bigint, th bigint, first bigint, before int, after int, piece binary"
 
 
-def repeated(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+def repeated(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", most: int = MOST) -> DataFrame:
     """(doc, th, packed): ranges of windows that start earlier too."""
     spark = docs.sparkSession
     rows = _rows(docs, text, doc_id)
-    # Partitioned by gram once: both windows keep that, and the sort.
-    order = Window.partitionBy("gram", "context").orderBy("doc", "packed")
-    whole = Window.partitionBy("gram")
-    earliest = F.first(F.struct("doc", "packed")).over(order)
-    seen = found_anchors(rows).repartition("gram").select(
-        "gram",
-        "doc",
-        "packed",
-        (F.col("context").isNull() | (earliest != F.struct("doc", "packed"))).alias("again"),
-        (F.min("context").over(whole) != F.max("context").over(whole)).alias("several"),
-    )
-    seen = stored(seen.where("again or several").select(F.when(~F.col("again"), F.col("gram")).alias("gram"), "doc", "packed"))
+    # By gram and context: a gram that very many contexts share is no hot key here.
+    order = Window.partitionBy("gram", "context").orderBy("doc", "th", "packed")
+    place = F.struct("doc", "th", "packed")
+    seen = found_anchors(rows).repartition("gram", "context").select("gram", "doc", "th", "packed", (F.col("context").isNull() | (F.first(place).over(order) != place)).alias("again"), F.row_number().over(order).alias("n"))
+    # Rows given twice are one.
+    seen = stored(seen.where("again or n = 1").select(F.when(~F.col("again"), F.col("gram")).alias("gram"), "doc", "th", "packed"))
     freed(spark)
-    near = seen.where("gram is not null").select("doc", _text_of("packed").alias("th"), F.struct("gram", "packed").alias("anchor"))
-    near = near.groupBy("doc", "th").agg(F.collect_list("anchor").alias("anchors"))
-    met = rows.select("doc", "th", "_text").join(near, ["doc", "th"]).select("doc", "_text", "anchors")
-    pieces = met.mapInArrow(_cut, "gram bigint, doc bigint, packed bigint, piece binary")
-    late = pieces.repartition("gram").sortWithinPartitions("gram").mapInArrow(_compare, "doc bigint, packed bigint")
-    late = stored(late)
+    earliest = seen.where("gram is not null")
+    several = earliest.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1")
+    # A shuffle join, so that the planner may split a hot gram.
+    near = stored(earliest.join(several.hint("merge"), "gram").select("gram", "doc", "th", "packed", (F.col("n") > most).alias("hot")))
     freed(spark)
-    return seen.where("gram is null").select("doc", "packed").unionByName(late).select("doc", _text_of("packed").alias("th"), "packed")
+    anchors_of = near.groupBy("doc", "th").agg(F.collect_list(F.struct("gram", "packed", "hot")).alias("anchors"))
+    met = rows.select("doc", "th", "_text").join(anchors_of, ["doc", "th"]).select("doc", "th", "_text", "anchors")
+    pieces = met.mapInArrow(_cut, PIECES + ", hot boolean")
+    if near.where("hot").isEmpty():
+        late = [stored(_compared(pieces.drop("hot")))]
+    else:
+        pieces = stored(pieces)
+        late = [stored(_compared(pieces.where("not hot").drop("hot")))]
+        late += _split_hot(pieces.where("hot").drop("hot"), most)
+        dropped(pieces)
+    dropped(near)
+    freed(spark)
+    out = seen.where("gram is null").select("doc", "th", "packed")
+    for part in late:
+        out = out.unionByName(part)
+    return out
+
+
+def _compared(pieces: DataFrame) -> DataFrame:
+    return pieces.repartition("gram").sortWithinPartitions("gram").mapInArrow(_compare, "doc bigint, th bigint, packed bigint")
+
+
+def _split_hot(pieces: DataFrame, most: int) -> list[DataFrame]:
+    """Groups over ``most`` pieces, by half of the bytes that their windows do not share yet, until
+    groups are small or their windows are equal as a whole."""
+    late = []
+    core = GRAM
+    while True:
+        pieces = stored(pieces.mapInArrow(_halves(core), PIECES))
+        core = core + -(-(LENGTH - core) // 2)
+        if core >= LENGTH:
+            break
+        # Counts are combined in each task; the join may be split by the planner.
+        sizes = pieces.groupBy("gram").agg(F.count("*").alias("_n"))
+        marked = stored(pieces.join(sizes.where("_n > 1").hint("merge"), "gram"))
+        late.append(stored(_compared(marked.where(F.col("_n") <= most).drop("_n"))))
+        pieces = marked.where(F.col("_n") > most).drop("_n")
+        if pieces.isEmpty():
+            return late
+    # One window a row, and all of a group are equal.
+    place = F.struct("doc", "th", "first")
+    least = pieces.groupBy("gram", "piece").agg(F.min(place).alias("least"))
+    rest = pieces.join(least.hint("merge"), ["gram", "piece"]).where(place != F.col("least"))
+    late.append(stored(rest.select("doc", "th", F.shiftleft("first", 2 * SPAN_BITS).alias("packed"))))
+    return late
+
+
+def _batches(columns: list[pa.Array], names: list[str], rows: int) -> Iterator[pa.RecordBatch]:
+    whole = pa.RecordBatch.from_arrays(columns, names)
+    for i in range(0, whole.num_rows, rows):
+        yield whole.slice(i, rows)
+
+
+def _spans(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> pa.Array:
+    """data[start:start + size] for many ranges."""
+    ends = np.cumsum(size)
+    at = np.arange(size.sum()) - np.repeat(ends - size, size) + np.repeat(start, size)
+    return pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(np.append(0, ends).astype(np.int32)), pa.py_buffer(data[at])])
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The bytes of the windows that each anchor serves."""
     for batch in small_batches(batches, "_text", 1 << 20):
-        data, offsets = text_bytes(batch.column(1))
-        lists = batch.column(2)
-        owner = np.repeat(np.arange(batch.num_rows), np.diff(lists.offsets.to_numpy()))
+        data, offsets = text_bytes(batch.column(2))
+        lists = batch.column(3)
+        owners = np.repeat(np.arange(batch.num_rows), np.diff(lists.offsets.to_numpy()))
         anchor = lists.flatten()
-        packed = anchor.field("packed").to_numpy()
-        _, lo, hi = unpack(packed)
-        start, size = lo + offsets[owner], hi + LENGTH - lo
-        ends = np.cumsum(size)
-        at = np.arange(size.sum()) - np.repeat(ends - size, size) + np.repeat(start, size)
-        piece = pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(np.append(0, ends).astype(np.int32)), pa.py_buffer(data[at])])
-        whole = pa.RecordBatch.from_arrays([anchor.field("gram"), pa.array(batch.column(0).to_numpy()[owner], pa.int64()), pa.array(packed, pa.int64()), piece], ["gram", "doc", "packed", "piece"])
-        for i in range(0, whole.num_rows, 20_000):
-            yield whole.slice(i, 20_000)
+        for i in range(0, len(owners), 20_000):
+            owner, part = owners[i : i + 20_000], anchor.slice(i, 20_000)
+            gram, packed, hot = (part.field(k) for k in ("gram", "packed", "hot"))
+            at, lo, hi = unpack(packed.to_numpy())
+            doc, th = (batch.column(k).to_numpy()[owner] for k in (0, 1))
+            piece = _spans(data, lo + offsets[owner], hi + LENGTH - lo)
+            before = at - lo
+            after = hi + LENGTH - at - GRAM
+            columns = [gram, pa.array(doc), pa.array(th), pa.array(lo), pa.array(before.astype(np.int32)), pa.array(after.astype(np.int32)), piece, hot]
+            yield pa.RecordBatch.from_arrays(columns, ["gram", "doc", "th", "first", "before", "after", "piece", "hot"])
+
+
+def _halves(core: int):
+    """Of pieces whose windows share ``core`` bytes, those that reach more bytes to the left, and those that reach more to the right."""
+    half = -(-(LENGTH - core) // 2)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in small_batches(batches, "piece", 1 << 20):
+            data, offsets = text_bytes(batch.column(6), pa.large_binary())
+            gram, doc, th, first = (batch.column(i).to_numpy() for i in range(4))
+            before = batch.column(4).to_numpy().astype(np.int64)
+            size = np.diff(offsets)
+            # Windows begin 0 .. size - LENGTH bytes into the piece; the shared bytes begin at ``before``.
+            most_left = before - (LENGTH - core)
+            for side, (a, b) in enumerate(((np.zeros_like(before), before - half), (before - half + 1, size - LENGTH))):
+                a, b = np.maximum(a, np.maximum(most_left, 0)), np.minimum(b, np.minimum(before, size - LENGTH))
+                rows = np.flatnonzero(a <= b)
+                lo, hi, s = a[rows], b[rows], before[rows]
+                begin = s - half if side == 0 else s
+                key = Hashes(data, BASES[0]).of(offsets[rows] + begin, offsets[rows] + begin + core + half)
+                key = mixed(key ^ gram[rows].view(np.uint64) * np.uint64(BASES[1]) + np.uint64(side))
+                piece = _spans(data, offsets[rows] + lo, hi - lo + LENGTH)
+                begin = begin - lo
+                after = hi - lo + LENGTH - begin - core - half
+                columns = [key.view(np.int64), doc[rows], th[rows], first[rows] + lo, begin.astype(np.int32), after.astype(np.int32)]
+                yield from _batches([*map(pa.array, columns), piece], ["gram", "doc", "th", "first", "before", "after", "piece"], 20_000)
+
+    return work
 
 
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by gram, the windows that start earlier in another row of the same gram; rows
-    of one gram are looked at together."""
+    """Of pieces sorted by group, the windows that start earlier in another piece of the same group.
+    Bundles of whole groups are looked at together."""
     held: list[pa.RecordBatch] = []
-    rows = 0
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        if rows > 50_000 and batch.column(0)[0].as_py() != held[-1].column(0)[-1].as_py():
-            yield from _late(pa.Table.from_batches(held))
-            held, rows = [], 0
-        elif rows > 50_000:
-            gram = batch.column(0).to_numpy()
-            cut = int(np.searchsorted(gram != gram[0], True)) if (gram != gram[0]).any() else len(gram)
-            if cut < len(gram):
-                yield from _late(pa.Table.from_batches([*held, batch.slice(0, cut)]))
-                held, rows, batch = [], 0, batch.slice(cut)
-        held.append(batch)
-        rows += batch.num_rows
+    size = 0
+    for whole in batches:
+        for batch in small_batches(iter([whole]), "piece", BUNDLE // 4):
+            if size > BUNDLE:
+                gram = batch.column(0).to_numpy()
+                cut = int(np.searchsorted(gram != held[-1].column(0)[-1].as_py(), True))
+                if cut < len(gram):
+                    yield from _late(pa.Table.from_batches([*held, batch.slice(0, cut)]))
+                    held, size, batch = [], 0, batch.slice(cut)
+            held.append(batch)
+            size += batch.column(6).nbytes
     if held:
         yield from _late(pa.Table.from_batches(held))
 
 
 def _late(table: pa.Table) -> Iterator[pa.RecordBatch]:
-    doc, packed = table.column("doc").to_numpy(), table.column("packed").to_numpy()
-    data, offsets = text_bytes(table.column("piece"), pa.large_binary())
-    _, lo, hi = unpack(packed)
-    n = hi - lo + 1
-    own = np.repeat(np.arange(len(n)), n)
-    inside = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-    at, start = inside + offsets[own], inside + lo[own]
-    one, two = (Hashes(data, b).of(at, at + LENGTH) for b in BASES)
-    text = packed >> AT_BITS + 2 * SPAN_BITS & (1 << TEXT_BITS) - 1
-    place = pack(text[own], start, start, start)
-    sort = np.lexsort((place, doc[own], two, one))
-    again = np.zeros(len(sort), bool)
-    again[sort] = _not_first((one[sort], two[sort]), (doc[own][sort], place[sort]))
-    # Neighbouring windows of one row make one range.
-    cut = np.append(True, own[1:] != own[:-1])
-    first = np.flatnonzero(again & (cut | ~np.append(False, again[:-1])))
-    last = np.flatnonzero(again & (np.append(cut[1:], True) | ~np.append(again[1:], False)))
-    out = pack(text[own[first]], start[last], start[first], start[last])
-    for i in range(0, len(first), 100_000):
-        yield pa.RecordBatch.from_arrays([pa.array(doc[own[first[i : i + 100_000]]], pa.int64()), pa.array(out[i : i + 100_000], pa.int64())], ["doc", "packed"])
-
-
-def remove(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", with_text: bool = False) -> DataFrame:
+    table = table.combine_chunks()
+    gram, doc, th, first = (table.column(i).to_numpy() for i in range(4))
+    data, offsets = text_bytes(table.column(6), pa.large_binary())
+    owner, start, common = suffixes(data, offsets)
+    # Neighbours with a common prefix of LENGTH begin with the same window.
+    group = np.cumsum(common < LENGTH)
+    window = np.flatnonzero(np.diff(offsets)[owner] - start >= LENGTH)
+    group, own, at = group[window], owner[window], start[window]
+    again = np.zeros(len(own), bool)
+    shared = np.flatnonzero(np.bincount(group, minlength=1)[group] > 1)
+    own_s, begin = own[shared], first[own[shared]] + at[shared]
+    sort = np.lexsort((begin, th[own_s], doc[own_s], group[shared]))
+    again[shared[sort]] = _not_first((group[shared][sort],), (doc[own_s][sort], th[own_s][sort], begin[sort]))
+    # Neighbouring windows of one piece make one range.
+    late = np.flatnonzero(again)
+    late = late[np.lexsort((at[late], own[late]))]
+    own, at = own[late], at[late]
+    new = np.append(True, (own[1:] != own[:-1]) | (at[1:] != at[:-1] + 1))[: len(own)]
+    last = np.append(new[1:], True)[: len(own)]
+    lo, hi = first[own[new]] + at[new], first[own[last]] + at[last]
+    yield from _batches([pa.array(doc[own[new]]), pa.array(th[own[new]]), pa.array(pack(hi, lo, hi))], ["doc", "th", "packed"], 100_000)
+
+
+def suffixes(data: np.ndarray, offsets: np.ndarray, cap: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The suffixes of a collection in order: piece, start in the piece, and common prefix with the
+    one before (up to ``cap``). The Burrows-Wheeler transform and the common prefixes are built column
+    by column: each round inserts one symbol of every piece, from its end to its start.
+
+    A round sorts the transform's symbols stably, which says where each symbol's suffix belongs (the
+    map from last to first column). The common prefix of two neighbours that begin with the same
+    symbol is one more than the least common prefix between the places of those symbols; only new
+    suffixes and those right after them change. Pieces end in marks of their own, so empty suffixes
+    (and suffixes that end) share nothing.
+    """
+    sizes = np.diff(offsets)
+    m = len(sizes)
+    end = 255 if data.max(initial=0) < 255 else 256
+    data = data if end == 255 else data.astype(np.uint16)
+    bwt = np.where(sizes > 0, data[np.maximum(offsets[1:] - 1, 0)], end).astype(data.dtype)
+    common = np.zeros(m, np.uint8)
+    place = np.arange(m)
+    who = np.zeros(m, np.int64)
+    for r in range(1, int(sizes.max(initial=0)) + 1):
+        alive = np.flatnonzero(sizes >= r)
+        order = np.argsort(bwt, kind="stable")
+        newest = np.zeros(len(bwt), bool)
+        newest[place[alive]] = True
+        who = np.empty(len(bwt), np.int64)
+        who[place[alive]] = alive
+        fresh = np.flatnonzero(newest[order])
+        new, piece = fresh + m, who[order[fresh]]
+        size = len(bwt) + len(alive)
+        changed = np.zeros(size + 1, bool)
+        changed[new] = changed[new + 1] = True
+        at = np.flatnonzero(changed[:size])
+        k = at - m
+        here, left = order[k], order[np.maximum(k - 1, 0)]
+        same = np.flatnonzero((k > 0) & (bwt[here] == bwt[left]))
+        value = np.zeros(len(at), np.uint8)
+        value[same] = np.minimum(_least_between(common, left[same] + 1, here[same]), cap - 1) + 1
+        old = np.ones(size, bool)
+        old[new] = False
+        grown = np.empty(size, bwt.dtype)
+        grown[old] = bwt
+        before = offsets[piece + 1] - r - 1
+        grown[new] = np.where(sizes[piece] > r, data[np.maximum(before, 0)], end)
+        merged = np.empty(size, np.uint8)
+        merged[old] = common
+        merged[at] = value
+        bwt, common = grown, merged
+        place[piece] = new
+    # Walk all pieces from their ends to their starts through the finished transform.
+    order = np.argsort(bwt, kind="stable")
+    first = np.empty(len(bwt), np.int64)
+    first[order] = np.arange(len(bwt)) + m
+    owner, start = np.empty(len(bwt), np.int32), np.empty(len(bwt), np.int32)
+    alive, at = np.arange(m), np.arange(m)
+    owner[at], start[at] = alive, sizes
+    for r in range(1, int(sizes.max(initial=0)) + 1):
+        more = sizes[alive] >= r
+        alive, at = alive[more], first[at[more]]
+        owner[at], start[at] = alive, sizes[alive] - r
+    return owner, start, common
+
+
+def _least_between(values: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    """The least of values[lo..hi] for many ranges, from minima of runs of powers of two."""
+    level = np.frexp(hi - lo + 1)[1] - 1
+    out = np.empty(len(lo), values.dtype)
+    run = values
+    for j in range(int(level.max(initial=-1)) + 1):
+        if j:
+            run = np.minimum(run[: -(1 << j - 1)], run[1 << j - 1 :])
+        own = np.flatnonzero(level == j)
+        if len(own):
+            out[own] = np.minimum(run[lo[own]], run[hi[own] - (1 << j) + 1])
+    return out
+
+def _merged(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the maximal runs of bytes that ranges of windows cover."""
+    order = np.argsort(lo)
+    lo, end = lo[order], np.maximum.accumulate(hi[order] + LENGTH)
+    new = np.append(True, lo[1:] > end[:-1])
+    return lo[new], end[np.append(new[1:], True)]
+
+
+def remove(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", with_text: bool = False, most: int = MOST) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) for every row of ``docs``, and with
     ``with_text`` the bytes that are left in ``kept``."""
-    ranges = repeated(docs, text=text, doc_id=doc_id).groupBy("doc", "th").agg(F.collect_list("packed").alias("ranges"))
+    ranges = repeated(docs, text=text, doc_id=doc_id, most=most).groupBy("doc", "th").agg(F.collect_list("packed").alias("ranges"))
     rows = _rows(docs, text, doc_id).join(ranges, ["doc", "th"], "left").select("doc_id", "_text", "ranges")
     kind = rows.schema["doc_id"].dataType.simpleString()
 
@@ -284,19 +466,19 @@ def remove(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", with_
             removed, spans, digests, kept = [], [], [], []
             for i in range(batch.num_rows):
                 own = data[offsets[i] : offsets[i + 1]]
+                starts = ends = np.zeros(0, np.int64)
                 if lists[i].is_valid:
                     _, lo, hi = unpack(lists[i].values.to_numpy(zero_copy_only=False))
-                    edge = np.bincount(lo, minlength=len(own) + 1)[: len(own) + 1] - np.bincount(hi + LENGTH, minlength=len(own) + 1)[: len(own) + 1]
-                    gone = np.cumsum(edge[:-1]) > 0
-                    starts, _ = runs(gone)
-                    removed.append(int(gone.sum()))
-                    spans.append(len(starts))
-                    own = own[~gone]
-                else:
-                    removed.append(0)
-                    spans.append(0)
-                digests.append(hashlib.sha256(own.tobytes()).hexdigest())
-                kept.append(own.tobytes() if with_text else None)
+                    starts, ends = _merged(lo, hi)
+                removed.append(int((ends - starts).sum()))
+                spans.append(len(starts))
+                digest, left = hashlib.sha256(), []
+                for a, b in zip(np.append(0, ends), np.append(starts, len(own)), strict=True):
+                    digest.update(own[a:b])
+                    if with_text:
+                        left.append(own[a:b].tobytes())
+                digests.append(digest.hexdigest())
+                kept.append(b"".join(left))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(np.diff(offsets), pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(digests, pa.string())]
                 + [pa.array(kept, pa.binary())] * with_text,

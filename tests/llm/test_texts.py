@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import os
 import math
 import re
 import struct
@@ -178,6 +179,50 @@ def test_repeated_rows_are_one_document(spark):
     assert [r.n_removed for r in got] == [0, 0, len(a)]
 
 
+def test_suffixes_match_a_sort():
+    rng = np.random.default_rng(3)
+    for _ in range(40):
+        texts = [bytes(rng.integers(97, 99, rng.integers(0, 30)).astype(np.uint8)) for _ in range(rng.integers(1, 8))] + [b"\xff\xffa"]
+        offsets = np.append(0, np.cumsum([len(t) for t in texts]))
+        owner, start, common = repeats.suffixes(np.frombuffer(b"".join(texts), np.uint8), offsets, cap=10)
+        want = sorted(((i, j) for i, t in enumerate(texts) for j in range(len(t) + 1)), key=lambda x: ([b + 1 for b in texts[x[0]][x[1] :]] + [0], x[0]))
+        assert list(zip(owner.tolist(), start.tolist(), strict=True)) == want
+        ends = [texts[i][j:] for i, j in want]
+        assert common.tolist() == [0] + [min(10, len(os.path.commonprefix([a, b]))) for a, b in zip(ends, ends[1:], strict=False)]
+
+
+@pytest.mark.parametrize("most", [2, 5])
+def test_repeats_split_hot_grams(spark, most):
+    """A passage that all texts share, with other bytes around it in each: its gram's group is split."""
+    rng = np.random.default_rng(8)
+    noise = lambda n: bytes(rng.integers(97, 123, n)).decode()
+    short, long, part = noise(60), noise(130), noise(99)
+    rows = [(i, noise(int(rng.integers(0, 90))) + (short, long, part, long[:115])[i % 4] + noise(int(rng.integers(0, 90)))) for i in range(48)]
+    rows += [(100 + i, noise(40) + rows[i][1][5:130] + noise(30)) for i in range(8)]
+    got = {r[0]: tuple(r[1:]) for r in repeats.remove(docs(spark, [row(i, t) for i, t in rows]), most=most).collect()}
+    assert got == brute_repeats(rows)
+
+
+def test_repeats_of_null_ids(spark):
+    """Rows with a null id are documents of their own, before all others."""
+    a = prose(1, 60)
+    rows = [(None, prose(i, 30 + i % 7)) for i in range(100, 2600)] + [(1, a), (-(1 << 63), a + "!"), (2, prose(100, 30))]
+    d = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = repeats.remove(d).collect()
+    ids = {r.doc_id: r.n_removed for r in got if r.doc_id is not None}
+    assert sum(r.n_removed for r in got if r.doc_id is None) == 0 and len(got) == len(rows)
+    assert ids == {-(1 << 63): 0, 1: len(a), 2: len(rows[-1][1])}
+
+
+def test_repeats_of_long_texts_in_segments(spark, monkeypatch):
+    monkeypatch.setattr(repeats, "SEGMENT", 700)
+    text = prose(5, 900) + prose(6, 40) + prose(5, 300)[90:]
+    data = np.frombuffer(text.encode(), np.uint8)
+    whole = repeats.long_anchors(data)
+    monkeypatch.setattr(repeats, "SEGMENT", 1 << 21)
+    assert [x.tolist() for x in whole] == [x.tolist() for x in repeats.anchors(data, np.array([0, len(data)]))]
+
+
 # --- 6
 
 
