@@ -41,7 +41,7 @@ from lodestar.llm.common import dropped, freed, small_batches, stored, text_byte
 
 LENGTH, GRAM = 100, 32
 REACH = LENGTH - GRAM  # bytes that a window can hold before its anchor's gram
-SEGMENT = 2 << 20  # windows of a text looked at together; places among them take 24 bits of a key
+SEGMENT = 1 << 20  # windows of a text looked at together; places among them take 24 bits of a key
 BUNDLE = 1 << 19  # bytes of pieces whose suffixes are ordered together (one group is never cut)
 MOST = 20_000  # pieces of one group
 BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
@@ -167,10 +167,8 @@ def found_anchors(rows: DataFrame) -> DataFrame:
         return gram, context, batch.column(0).to_numpy()[own], batch.column(1).to_numpy()[own], pack(at, lo, hi)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            parts = [of(batch) for batch in small_batches(iter([whole]), "_text", 2 << 20)]
-            if not parts:
-                continue
+        for whole in small_batches(batches, "_text", 16 << 20):
+            parts = [of(batch) for batch in small_batches(iter([whole]), "_text", SEGMENT)]
             gram, context, doc, th, packed = (np.concatenate(x) for x in zip(*parts, strict=True))
             order = np.lexsort((packed, th, doc, context, gram))
             gram, context, doc, th, packed = gram[order], context[order], doc[order], th[order], packed[order]
