@@ -10,15 +10,18 @@ smaller id, or earlier in the same one.
    decided there, so hot passages shrink before the shuffle. Of rows of one gram and context, all
    but the earliest repeat it: their windows go.
 2. Where a gram has several contexts, the bytes of the windows of the earliest rows (a piece, at
-   most 2 * LENGTH - GRAM bytes) go to the task of their gram. There the suffixes of the pieces are
-   ordered by column-wise construction: each round inserts one symbol of every piece into the
-   collection's Burrows-Wheeler transform and updates the common prefixes (``suffixes``). Pieces are
-   bounded, so the rounds are; bundles of pieces stream from the sorted shuffle files. Windows that
-   are neighbours with a common prefix of LENGTH are equal, and the earliest of them stays.
+   most 2 * LENGTH - GRAM bytes) go to the task of their gram. There pieces alike as a whole are
+   decided, and windows that share too little with any other piece are left out: a window reaches at
+   least half of its other bytes to the left or to the right of the gram, so equal windows share
+   these too (by a 64-bit hash), and half of what then remains. The suffixes of what is left, with
+   one symbol for the shared bytes, are ordered by column-wise construction: each round inserts one
+   symbol of every piece into the collection's Burrows-Wheeler transform and updates the common
+   prefixes (``suffixes``). Pieces are bounded, so the rounds are; bundles of pieces stream from the
+   sorted shuffle files. Neighbours whose common prefix is a whole window are equal, and the earliest
+   of them stays.
 3. Ranges of removed windows are joined to the texts, which are cut.
 
-A gram with more than ``most`` pieces is split, as often as needed: a window reaches at least half
-of its other bytes to the left or to the right of the gram, and goes to the group of these bytes.
+A gram with more than ``most`` pieces is split in the same way, as often as needed, by shuffles.
 
 Defined results: a null text is empty; texts under LENGTH bytes lose nothing; matches never cross
 documents. Rows with a null id come first in order, with those of the least 64-bit id. Rows of the
@@ -44,6 +47,7 @@ REACH = LENGTH - GRAM  # bytes that a window can hold before its anchor's gram
 SEGMENT = 1 << 20  # windows of a text looked at together; places among them take 24 bits of a key
 BUNDLE = 1 << 19  # bytes of pieces whose suffixes are ordered together (one group is never cut)
 MOST = 20_000  # pieces of one group
+LEVELS = 2  # halvings of what a window does not share, before suffixes are ordered
 BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 #: A place in a document: 32 bits of the position, and 7 each for how far before it the first and
 #: the last window it serves begin.
@@ -296,30 +300,35 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays(columns, ["gram", "doc", "th", "first", "before", "after", "piece", "hot"])
 
 
+def halves(core: int, key: np.ndarray, lo: np.ndarray, hi: np.ndarray, begin: np.ndarray, base: np.ndarray, hashes: Hashes) -> tuple[np.ndarray, ...]:
+    """Of windows lo..hi that share ``core`` bytes from ``begin``, those that reach more bytes to the
+    left and those that reach more to the right: row, key of the bytes that they share now, windows
+    and where the shared bytes begin."""
+    half = -(-(LENGTH - core) // 2)
+    parts = []
+    for side in (0, 1):
+        a, b = (lo, np.minimum(hi, begin - half)) if side == 0 else (np.maximum(lo, begin - half + 1), hi)
+        row = np.flatnonzero(a <= b)
+        at = begin[row] - half * (side == 0)
+        found = hashes.of(base[row] + at, base[row] + at + core + half)
+        parts.append((row, mixed(found ^ mixed(key[row] + np.uint64(side))), a[row], b[row], at))
+    return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
+
+
 def _halves(core: int):
-    """Of pieces whose windows share ``core`` bytes, those that reach more bytes to the left, and those that reach more to the right."""
+    """``halves`` of pieces, as pieces."""
     half = -(-(LENGTH - core) // 2)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches, "piece", 1 << 20):
             data, offsets = text_bytes(batch.column(6), pa.large_binary())
             gram, doc, th, first = (batch.column(i).to_numpy() for i in range(4))
-            before = batch.column(4).to_numpy().astype(np.int64)
-            size = np.diff(offsets)
-            # Windows begin 0 .. size - LENGTH bytes into the piece; the shared bytes begin at ``before``.
-            most_left = before - (LENGTH - core)
-            for side, (a, b) in enumerate(((np.zeros_like(before), before - half), (before - half + 1, size - LENGTH))):
-                a, b = np.maximum(a, np.maximum(most_left, 0)), np.minimum(b, np.minimum(before, size - LENGTH))
-                rows = np.flatnonzero(a <= b)
-                lo, hi, s = a[rows], b[rows], before[rows]
-                begin = s - half if side == 0 else s
-                key = Hashes(data, BASES[0]).of(offsets[rows] + begin, offsets[rows] + begin + core + half)
-                key = mixed(key ^ gram[rows].view(np.uint64) * np.uint64(BASES[1]) + np.uint64(side))
-                piece = _spans(data, offsets[rows] + lo, hi - lo + LENGTH)
-                begin = begin - lo
-                after = hi - lo + LENGTH - begin - core - half
-                columns = [key.view(np.int64), doc[rows], th[rows], first[rows] + lo, begin.astype(np.int32), after.astype(np.int32)]
-                yield from _batches([*map(pa.array, columns), piece], ["gram", "doc", "th", "first", "before", "after", "piece"], 20_000)
+            begin = batch.column(4).to_numpy().astype(np.int64)
+            row, key, lo, hi, at = halves(core, gram.view(np.uint64), np.zeros_like(begin), np.diff(offsets) - LENGTH, begin, offsets[:-1], Hashes(data, BASES[0]))
+            piece = _spans(data, offsets[row] + lo, hi - lo + LENGTH)
+            after = hi + LENGTH - at - core - half
+            columns = [key.view(np.int64), doc[row], th[row], first[row] + lo, (at - lo).astype(np.int32), after.astype(np.int32)]
+            yield from _batches([*map(pa.array, columns), piece], ["gram", "doc", "th", "first", "before", "after", "piece"], 20_000)
 
     return work
 
@@ -345,26 +354,60 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _late(table: pa.Table) -> Iterator[pa.RecordBatch]:
     table = table.combine_chunks()
-    gram, doc, th, first = (table.column(i).to_numpy() for i in range(4))
-    data, offsets = text_bytes(table.column(6), pa.large_binary())
-    owner, start, common = suffixes(data, offsets)
-    # Neighbours with a common prefix of LENGTH begin with the same window.
-    group = np.cumsum(common < LENGTH)
-    window = np.flatnonzero(np.diff(offsets)[owner] - start >= LENGTH)
+    gram, doc, th, first, begin = (table.column(i).to_numpy() for i in range(5))
+    pieces = table.column(6).combine_chunks()
+    data, offsets = text_bytes(pieces, pa.large_binary())
+    last = np.diff(offsets) - LENGTH
+    # Pieces that are alike as a whole: all but the earliest go.
+    alike = pieces.dictionary_encode().indices.to_numpy()
+    sort = np.lexsort((first, th, doc, alike, gram))
+    again = np.zeros(len(gram), bool)
+    again[sort] = _not_first((gram[sort], alike[sort]), (doc[sort], th[sort], first[sort]))
+    gone = np.flatnonzero(again)
+    yield from _ranges(doc[gone], th[gone], first[gone], first[gone] + last[gone])
+    # Windows that share more than half of their other bytes with those of another piece.
+    row = np.flatnonzero(~again)
+    core, key, lo, hi, begin = GRAM, gram[row].view(np.uint64), np.zeros(len(row), np.int64), last[row], begin[row].astype(np.int64)
+    hashes = Hashes(data, BASES[0])
+    for _ in range(LEVELS):
+        at, key, lo, hi, begin = halves(core, key, lo, hi, begin, offsets[row], hashes)
+        core += -(-(LENGTH - core) // 2)
+        _, same, n = np.unique(key, return_inverse=True, return_counts=True)
+        met = n[same] > 1
+        row, key, lo, hi, begin = row[at[met]], key[met], lo[met], hi[met], begin[met]
+    if not len(row):
+        return
+    # Their bytes, with one symbol for the shared ones.
+    size = hi - lo + LENGTH
+    ends = np.cumsum(size)
+    inside = np.arange(ends[-1]) - np.repeat(ends - size, size)
+    symbols = data[inside + np.repeat(offsets[row] + lo, size)]
+    shared = inside - np.repeat(begin - lo, size)
+    if symbols.max() > 253:
+        symbols = symbols.astype(np.uint16)
+    symbols[shared == 0] = 254 if symbols.dtype == np.uint8 else 256
+    symbols = symbols[(shared <= 0) | (shared >= core)]
+    size = size - core + 1
+    owner, start, common = suffixes(symbols, np.append(0, np.cumsum(size)), LENGTH - core + 1)
+    # Neighbours with the common prefix of a whole window begin with the same window.
+    group = np.cumsum(common < LENGTH - core + 1)
+    window = np.flatnonzero(start <= (hi - lo)[owner])
     group, own, at = group[window], owner[window], start[window]
-    again = np.zeros(len(own), bool)
-    shared = np.flatnonzero(np.bincount(group, minlength=1)[group] > 1)
-    own_s, begin = own[shared], first[own[shared]] + at[shared]
-    sort = np.lexsort((begin, th[own_s], doc[own_s], group[shared]))
-    again[shared[sort]] = _not_first((group[shared][sort],), (doc[own_s][sort], th[own_s][sort], begin[sort]))
+    many = np.flatnonzero(np.bincount(group, minlength=1)[group] > 1)
+    group, own, at = group[many], own[many], at[many]
+    place = first[row[own]] + lo[own] + at
+    d, t, k = doc[row[own]], th[row[own]], key[own]
+    sort = np.lexsort((place, t, d, k, group))
+    late = sort[_not_first((group[sort], k[sort]), (d[sort], t[sort], place[sort]))]
     # Neighbouring windows of one piece make one range.
-    late = np.flatnonzero(again)
-    late = late[np.lexsort((at[late], own[late]))]
-    own, at = own[late], at[late]
-    new = np.append(True, (own[1:] != own[:-1]) | (at[1:] != at[:-1] + 1))[: len(own)]
-    last = np.append(new[1:], True)[: len(own)]
-    lo, hi = first[own[new]] + at[new], first[own[last]] + at[last]
-    yield from _batches([pa.array(doc[own[new]]), pa.array(th[own[new]]), pa.array(pack(hi, lo, hi))], ["doc", "th", "packed"], 100_000)
+    late = late[np.lexsort((place[late], own[late]))]
+    own, place, d, t = own[late], place[late], d[late], t[late]
+    new = np.append(True, (own[1:] != own[:-1]) | (place[1:] != place[:-1] + 1))[: len(own)]
+    yield from _ranges(d[new], t[new], place[new], place[np.append(new[1:], True)[: len(own)]])
+
+
+def _ranges(doc: np.ndarray, th: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> Iterator[pa.RecordBatch]:
+    yield from _batches([pa.array(doc), pa.array(th), pa.array(pack(hi, lo, hi))], ["doc", "th", "packed"], 100_000)
 
 
 def suffixes(data: np.ndarray, offsets: np.ndarray, cap: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -380,8 +423,8 @@ def suffixes(data: np.ndarray, offsets: np.ndarray, cap: int = LENGTH) -> tuple[
     """
     sizes = np.diff(offsets)
     m = len(sizes)
-    end = 255 if data.max(initial=0) < 255 else 256
-    data = data if end == 255 else data.astype(np.uint16)
+    end = int(data.max(initial=0)) + 1
+    data = data if end < 256 else data.astype(np.uint16)
     bwt = np.where(sizes > 0, data[np.maximum(offsets[1:] - 1, 0)], end).astype(data.dtype)
     common = np.zeros(m, np.uint8)
     place = np.arange(m)
