@@ -2,31 +2,31 @@
 
 Targets: sources weigh ``weights`` in turn and share all words, none above ``most`` times its own
 size; the excess goes to the others by weight. Each source takes ``floor(target / size)`` whole
-copies of all its documents, and the rest of its target by Pareto order sampling: documents are
-ranked by the odds of a random number (a hash of id and seed) over the odds of their inclusion
-probability, and taken in that order while their words fit. Inclusion probabilities differ: longer
-documents come first, in four bands of size, and each band's probability is what is left of the
-target over what is left of the words, so that what a band of long documents misses is made good
-by shorter ones. The order within a band is cut by sums over ``BUCKETS`` ranges of the rank, twice,
-and then exactly, so no task sorts a whole source.
+copies of all its documents, and what its target still needs by Pareto order sampling with unequal
+probabilities: a document's inclusion probability grows with the square root of its size and is
+set so that the expected words are those needed; where it would reach 1 the document is certain and
+taken first. The others are ranked by the odds of a random number (a hash of id and seed) over the
+odds of their own probability, and taken in that order while their words fit. What the first
+document that does not fit leaves open is filled in the same order by those that do, ``ROUNDS``
+times in all, so the sample's size is fixed in words. The order is cut by sums over ``BUCKETS``
+ranges of the rank, twice, and then exactly, so no task sorts a whole source.
 
 Defined results: a null text has size 0 and takes no words; a null source is a source of its own,
 last in order; a source without words has target 0. Rows with the same id share their random
-number: ties are taken together. Rows with a null id share one. An empty table gives an empty mix.
-Columns added here replace columns of the same names.
+number; rows alike in id and size are ties, taken together. Rows with a null id share one number.
+Texts of any length are counted whole. An empty table gives an empty mix. Columns added here replace
+columns of the same names in either case; other columns are kept, whatever their names.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestar.llm.common import WORD, stored, without
+from lodestar.llm.common import WORD, stored
 
 BUCKETS = 4096
-BANDS = 4
+ROUNDS = 3
 ADDED = ("size", "source_size", "target", "copies", "taken")
 
 
@@ -69,23 +69,31 @@ def targets(rows: DataFrame, *, weights=(5, 2, 1), most: float = 3.0) -> DataFra
     return found.withColumn("target", F.least(full, F.col("weight") * level))
 
 
-def _band(size: Column, mean: Column) -> Column:
-    return F.when(size > 4 * mean, 0).when(size > mean, 1).when(size > mean / 4, 2).otherwise(3)
-
-
 def _rank(u: Column, p: Column) -> Column:
     """Pareto order: q = (u/(1-u)) / (p/(1-p)), as q/(1+q)."""
     a, b = u * (1 - p), (1 - u) * p
     return a / (a + b)
 
 
-def _cut(rows: DataFrame, state: DataFrame, last: bool, seed: int, band: int) -> DataFrame:
-    """state with ``below`` and ``upto``: a row is taken if its rank is under ``below`` or at most ``upto``.
+def inclusion(rows: DataFrame, state: DataFrame) -> DataFrame:
+    """sid and ``scale``: a document of n words is included with probability min(1, scale * sqrt(n)),
+    which takes ``need`` words on average. ``rows``: sid, size.
 
-    ``rows``: sid, size, r, goal. A row is taken while the words before it and a share of its own fit:
-    half in the last band, a random share in the others.
+    The largest sizes are certain: of the places where the sizes, in falling order, can be divided
+    into certain and other ones, the first at which no other would reach 1 is the right one.
     """
-    share = F.lit(0.5) if last else draw(F.concat_ws(":", F.lit("band"), F.col("sid").cast("string"), F.lit(str(band))), seed)
+    sizes = rows.groupBy("sid", "size").agg(F.count("*").alias("n")).join(state.select("sid", "need"), "sid")
+    upto = Window.partitionBy("sid").orderBy(F.desc("size")).rowsBetween(Window.unboundedPreceding, -1)
+    onward = Window.partitionBy("sid").orderBy("size").rowsBetween(Window.unboundedPreceding, 0)
+    words = F.col("n") * F.col("size")
+    scale = (F.col("need") - F.coalesce(F.sum(words).over(upto), F.lit(0))) / F.sum(words * F.sqrt("size")).over(onward)
+    fits = sizes.withColumn("scale", scale).where(F.col("scale") * F.sqrt("size") <= 1)
+    return fits.groupBy("sid").agg(F.max_by("scale", "size").alias("scale"))
+
+
+def _cut(rows: DataFrame, last: bool) -> DataFrame:
+    """sid, below, upto: a row is taken if its rank is under ``below`` or at most ``upto``, in order
+    while the words before it and its own (half of them if ``last``) fit. ``rows``: sid, size, r, goal."""
     open_ = rows.withColumn("_from", F.lit(0).cast("bigint"))
     for level in (1, 2):
         open_ = open_.withColumn("_b", F.floor(F.col("r") * float(BUCKETS**level)))
@@ -96,65 +104,70 @@ def _cut(rows: DataFrame, state: DataFrame, last: bool, seed: int, band: int) ->
         open_ = open_.drop("_from").join(edge, "sid").where(F.col("_b") == F.col("_edge")).drop("_b", "_edge")
     ties = open_.groupBy("sid", "r").agg(F.sum("size").alias("_w"), F.first("_from").alias("_from"), F.first("goal").alias("goal"))
     before = F.col("_from") + F.coalesce(F.sum("_w").over(Window.partitionBy("sid").orderBy("r").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    upto = ties.withColumn("_before", before).where(F.col("_before") + share * F.col("_w") <= F.col("goal")).groupBy("sid").agg(F.max("r").alias("upto"))
-    cut = edge.select("sid", (F.col("_edge") / float(BUCKETS**2)).alias("below")).join(upto, "sid", "left")
-    return state.join(cut, "sid", "left").withColumns({"below": F.coalesce("below", F.lit(-1.0)), "upto": F.coalesce("upto", F.lit(-1.0))})
+    upto = ties.withColumn("_before", before).where(F.col("_before") + (0.5 if last else 1.0) * F.col("_w") <= F.col("goal")).groupBy("sid").agg(F.max("r").alias("upto"))
+    return edge.select("sid", (F.col("_edge") / float(BUCKETS**2)).alias("below")).join(upto, "sid", "left").withColumn("upto", F.coalesce("upto", F.lit(-1.0)))
+
+
+def _in_round(k: int) -> Column:
+    """Whether round ``k`` takes a row, given the round's cut."""
+    cut = F.col(f"round{k}")
+    return cut.isNotNull() & (F.col("size") <= cut["reach"]) & ((F.col("r") < cut["below"]) | (F.col("r") <= cut["upto"]))
+
+
+def _taken(rounds: int) -> Column:
+    found = F.col("certain")
+    for k in range(rounds):
+        found = found | F.coalesce(_in_round(k), F.lit(False))
+    return found
+
+
+def _ranked(rows: DataFrame) -> DataFrame:
+    """``rows`` (size, u, scale) with certain and r."""
+    p = F.least(F.coalesce("scale", F.lit(0.0)) * F.sqrt("size"), F.lit(1.0))
+    return rows.withColumn("certain", (F.col("size") > 0) & (p >= 1)).withColumn("r", F.when((F.col("size") > 0) & (p > 0) & (p < 1), _rank(F.col("u"), p)))
 
 
 def allocate(rows: DataFrame, *, weights=(5, 2, 1), most: float = 3.0, seed: int = 11) -> DataFrame:
-    """One row for each source: its target, its whole copies, and for each band the inclusion
-    probability and where the Pareto order is cut. ``rows``: source, size, u."""
+    """One row for each source: its target, its whole copies, the scale of its documents' inclusion
+    probabilities, and where each round cuts the Pareto order. ``rows``: source, size, u."""
     plan = targets(rows, weights=weights, most=most)
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    state = stored(
-        plan.withColumn("whole", F.floor(ratio))
-        .withColumn("mean", F.col("source_size") / F.col("n_docs"))
-        .withColumn("need", F.col("target") - F.col("whole") * F.col("source_size"))
-        .withColumn("left", F.col("source_size").cast("double"))
-    )
-    small = rows.where("size > 0").join(state.select(F.col("source").alias("_s"), "sid", "mean"), F.col("source").eqNullSafe(F.col("_s")))
-    small = small.select("sid", "size", "u", _band(F.col("size"), F.col("mean")).alias("band"))
-    for band in range(BANDS):
-        own = small.where(F.col("band") == band)
-        words = own.groupBy("sid").agg(F.sum("size").alias("words"))
-        p = F.when(F.col("left") > 0, F.least(F.greatest(F.col("need") / F.col("left"), F.lit(0.0)), F.lit(1.0))).otherwise(F.lit(0.0))
-        state = stored(state.join(words, "sid", "left").withColumn("words", F.coalesce("words", F.lit(0))).withColumn("p", p))
-        inner = (F.col("p") > 0) & (F.col("p") < 1)
-        goal = F.when(F.lit(band == BANDS - 1), F.col("need")).otherwise(F.col("p") * F.col("words"))
-        ranked = own.join(state.where(inner).select("sid", "p", goal.alias("goal")), "sid").select("sid", "size", _rank(F.col("u"), F.col("p")).alias("r"), "goal")
-        state = stored(_cut(ranked, state, band == BANDS - 1, seed, band))
-        took = own.join(state.select("sid", "p", "below", "upto"), "sid").where(_taken("p", "below", "upto")).groupBy("sid").agg(F.sum("size").alias("took"))
-        state = state.join(took, "sid", "left").withColumns(
-            {"need": F.col("need") - F.coalesce("took", F.lit(0)), "left": F.col("left") - F.col("words"), f"band{band}": F.struct("p", "below", "upto")}
-        ).drop("words", "p", "below", "upto", "took")
-    return stored(state.drop("need", "left", "weight"))
-
-
-def _taken(p: str | Column, below: str | Column, upto: str | Column) -> Column:
-    p, below, upto = (F.col(x) if isinstance(x, str) else x for x in (p, below, upto))
-    r = _rank(F.col("u"), p)
-    return F.when(p >= 1, True).when(p <= 0, False).otherwise((r < below) | (r <= upto))
+    state = stored(plan.withColumn("whole", F.floor(ratio)).withColumn("need", F.col("target") - F.col("whole") * F.col("source_size")))
+    small = rows.where("size > 0").join(state.where("need > 0").select(F.col("source").alias("_s"), "sid"), F.col("source").eqNullSafe(F.col("_s"))).select("sid", "size", "u")
+    state = stored(state.join(inclusion(small.select("sid", "size"), state), "sid", "left"))
+    ranked = _ranked(small.join(state.where("scale > 0").select("sid", "scale"), "sid")).select("sid", "size", "certain", "r")
+    sure = ranked.where("certain").groupBy("sid").agg(F.sum("size").alias("took"))
+    for k in range(ROUNDS):
+        state = stored(state.join(sure, "sid", "left").withColumn("need", F.col("need") - F.coalesce("took", F.lit(0))).drop("took"))
+        past = [f"round{j}" for j in range(k)]
+        reach = 2.0 if k == ROUNDS - 1 else 1.0  # the last round may take one that fits by half
+        open_ = ranked.where("r is not null").join(state.select("sid", F.col("need").alias("goal"), *past), "sid").where(F.col("size") <= reach * F.col("goal"))
+        if past:
+            open_ = open_.where(~_taken(k))
+        cut = _cut(open_.select("sid", "size", "r", "goal"), k == ROUNDS - 1).join(state.select("sid", "need"), "sid")
+        state = state.join(cut.select("sid", F.struct((reach * F.col("need")).alias("reach"), "below", "upto").alias(f"round{k}")), "sid", "left")
+        state = stored(state)
+        if k < ROUNDS - 1:
+            now = open_.join(state.select("sid", f"round{k}"), "sid").where(_in_round(k))
+            sure = now.groupBy("sid").agg(F.sum("size").alias("took"))
+    return state.drop("need", "weight")
 
 
 def apply(rows: DataFrame, plan: DataFrame) -> DataFrame:
     """``rows`` (with source, size, u) and their copies under a plan."""
     plan = plan.withColumnRenamed("source", "_plan_source").drop("sid", "n_docs")
-    joined = rows.join(plan, F.col("source").eqNullSafe(F.col("_plan_source")))
-    band = _band(F.col("size"), F.col("mean"))
-    own = reduce(lambda x, k: F.when(band == k, F.col(f"band{k}")).otherwise(x), range(BANDS - 1), F.col(f"band{BANDS - 1}"))
-    extra = F.when((F.col("size") > 0) & _taken(own["p"], own["below"], own["upto"]), 1).otherwise(0)
-    out = joined.withColumn("copies", (F.col("whole") + extra).cast("bigint")).withColumn("taken", F.col("copies") * F.col("size"))
-    return out.drop("_plan_source", "whole", "mean", *(f"band{k}" for k in range(BANDS)))
+    joined = _ranked(rows.join(plan, F.col("source").eqNullSafe(F.col("_plan_source"))))
+    out = joined.withColumn("copies", (F.col("whole") + F.when(_taken(ROUNDS), 1).otherwise(0)).cast("bigint")).withColumn("taken", F.col("copies") * F.col("size"))
+    return out.drop("_plan_source", "whole", "scale", "certain", "r", *(f"round{k}" for k in range(ROUNDS)))
 
 
 def mix(docs: DataFrame, *, text: str = "text", source: str = "source", doc_id: str = "doc_id", keep: list[str] | None = None, weights=(5, 2, 1), most: float = 3.0, seed: int = 11) -> DataFrame:
     """Rows of ``docs`` (columns ``keep``, all if None) with size, source_size, target, copies, taken."""
-    measured = docs.select(F.col(source).alias("source"), size_of(text).alias("size"), draw(F.col(doc_id), seed).alias("u"))
-    if keep is not None and set(keep) <= {doc_id}:
-        rows = stored(docs.select(doc_id, F.col(source).alias("source"), size_of(text).alias("size"), draw(F.col(doc_id), seed).alias("u")))
-        return apply(rows, allocate(rows, weights=weights, most=most, seed=seed)).drop("u", "source")
-    plan = allocate(stored(measured), weights=weights, most=most, seed=seed)
-    data = without(docs, *ADDED, "u").withColumns({"_own_source": F.col(source), "size": size_of(text), "u": draw(F.col(doc_id), seed)})
-    if source != "source":
-        data = without(data, "source")
-    return apply(data.withColumn("source", F.col("_own_source")), plan).drop("u", "_own_source")
+    columns = [c for c in (docs.columns if keep is None else keep) if c.lower() not in ADDED]
+    row = F.struct(*(F.col(f"`{c}`") for c in columns)).alias("_row")  # names within it clash with nothing
+    rows = docs.select(row, F.col(source).alias("source"), size_of(text).alias("size"), draw(F.col(doc_id), seed).alias("u"))
+    narrow = keep is not None and set(keep) <= {doc_id}
+    if narrow:
+        rows = stored(rows)
+    plan = allocate(rows.select("source", "size", "u") if narrow else stored(rows.select("source", "size", "u")), weights=weights, most=most, seed=seed)
+    return apply(rows, plan).select("_row.*", *ADDED)

@@ -26,33 +26,40 @@ r AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score D
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 20
 """
 
-def mixing(weights: tuple[int, ...] = (5, 2, 1), most: float = 3.0, seed: int = 11) -> str:
-    """Plain windows over whole sources, band after band, where the operator cuts by ranges of the rank."""
-    u = "(CAST('0x' || substr(md5('mix:{seed}:' || {key}), 1, 12) AS BIGINT) + 0.5) / 281474976710656.0"
+def mixing(weights: tuple[int, ...] = (5, 2, 1), most: float = 3.0, seed: int = 11, rounds: int = 3) -> str:
+    """Plain windows over whole sources where the operator cuts by ranges of the rank."""
+    u = f"(CAST('0x' || substr(md5('mix:{seed}:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 12) AS BIGINT) + 0.5) / 281474976710656.0"
     weight = " ".join(f"WHEN {i} THEN {w}.0" for i, w in enumerate(weights))
+    whole = "floor(CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END)"
     out = f"""
-WITH m AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS size, {u.format(seed=seed, key="coalesce(CAST(doc_id AS VARCHAR), '')")} AS u FROM documents),
-a AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, count(*) AS n_docs, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS sid FROM m GROUP BY source),
+WITH m AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS size, {u} AS u FROM documents),
+a AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS sid FROM m GROUP BY source),
 b AS (SELECT *, {most} * source_size AS most, CASE sid % {len(weights)} {weight} END AS w FROM a),
 c AS (SELECT *, (sum(source_size) OVER () - coalesce(sum(most) OVER (ORDER BY most / w, sid ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / sum(w) OVER (ORDER BY most / w, sid ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM b),
 l AS (SELECT min_by(level, most / w) AS level FROM c WHERE level <= most / w),
-t AS (SELECT source, sid, source_size, least(most, w * l.level) AS target, source_size / n_docs AS mean FROM b, l),
-s0 AS (SELECT *, floor(CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END) AS whole, target - floor(CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END) * source_size AS need, CAST(source_size AS DOUBLE) AS rest FROM t),
-d AS (SELECT m.*, sid, CASE WHEN size > 4 * mean THEN 0 WHEN size > mean THEN 1 WHEN size > mean / 4 THEN 2 ELSE 3 END AS band FROM m JOIN s0 ON m.source IS NOT DISTINCT FROM s0.source)"""
-    for k in range(4):
-        share = "0.5" if k == 3 else u.format(seed=seed, key=f"'band:' || sid || ':{k}'")
-        goal = "need" if k == 3 else "p * words"
+t AS (SELECT source, sid, source_size, least(most, w * l.level) AS target FROM b, l),
+s AS (SELECT *, {whole} AS whole, target - {whole} * source_size AS need FROM t),
+d AS (SELECT m.*, sid, need FROM m JOIN s ON m.source IS NOT DISTINCT FROM s.source),
+n AS (SELECT sid, size, need, count(*) AS n FROM d WHERE size > 0 AND need > 0 GROUP BY sid, size, need),
+f AS (SELECT sid, size, (need - coalesce(sum(n * size) OVER (PARTITION BY sid ORDER BY size DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+    / sum(n * size * sqrt(size)) OVER (PARTITION BY sid ORDER BY size ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS scale FROM n),
+p AS (SELECT sid, max_by(scale, size) AS scale FROM f WHERE scale * sqrt(size) <= 1 GROUP BY sid),
+q AS (SELECT d.doc_id, d.sid, d.size, d.need, d.u, least(scale * sqrt(size), 1.0) AS p FROM d JOIN p USING (sid) WHERE size > 0 AND scale > 0),
+x0 AS (SELECT sid, doc_id, size FROM q WHERE p >= 1),
+r0 AS (SELECT *, u * (1 - p) / (u * (1 - p) + (1 - u) * p) AS r FROM q WHERE p < 1),
+g0 AS (SELECT sid, need - coalesce(sum(x.size), 0) AS goal FROM (SELECT DISTINCT sid, need FROM q) LEFT JOIN x0 x USING (sid) GROUP BY sid, need)"""
+    for k in range(rounds):
+        last = k == rounds - 1
         out += f""",
-p{k} AS (SELECT s.sid, need, rest, coalesce(words, 0) AS words, CASE WHEN rest > 0 THEN least(greatest(need / rest, 0.0), 1.0) ELSE 0.0 END AS p FROM s{k} s LEFT JOIN (SELECT sid, sum(size) AS words FROM d WHERE band = {k} AND size > 0 GROUP BY sid) USING (sid)),
-r{k} AS (SELECT d.doc_id, d.size, d.u, d.sid, p, {goal} AS goal, CASE WHEN p > 0 AND p < 1 THEN d.u * (1 - p) / (d.u * (1 - p) + (1 - d.u) * p) END AS r FROM d JOIN p{k} USING (sid) WHERE band = {k} AND d.size > 0),
-g{k} AS (SELECT *, sum(size) OVER (PARTITION BY sid, r) AS tie, sum(size) OVER (PARTITION BY sid ORDER BY r) AS upto FROM r{k}),
-x{k} AS (SELECT doc_id, sid, size, u, p >= 1 OR (r IS NOT NULL AND upto - tie + {share} * tie <= goal) AS taken FROM g{k}),
-s{k + 1} AS (SELECT sid, need - coalesce(took, 0) AS need, rest - words AS rest FROM p{k} LEFT JOIN (SELECT sid, sum(size) AS took FROM x{k} WHERE taken GROUP BY sid) USING (sid))"""
-    union = " UNION ALL ".join(f"SELECT DISTINCT doc_id, sid, size FROM x{k} WHERE taken" for k in range(4))
+o{k} AS (SELECT r{k}.*, goal, sum(size) OVER (PARTITION BY sid, r) AS tie, sum(size) OVER (PARTITION BY sid ORDER BY r) AS upto FROM r{k} JOIN g{k} USING (sid) WHERE size <= {2.0 if last else 1.0} * goal),
+x{k + 1} AS (SELECT sid, doc_id, size FROM o{k} WHERE upto - tie + {0.5 if last else 1.0} * tie <= goal),
+r{k + 1} AS (SELECT * FROM r{k} WHERE NOT EXISTS (SELECT 1 FROM x{k + 1} x WHERE x.sid = r{k}.sid AND x.doc_id IS NOT DISTINCT FROM r{k}.doc_id AND x.size = r{k}.size)),
+g{k + 1} AS (SELECT sid, goal - coalesce(sum(x.size), 0) AS goal FROM g{k} LEFT JOIN x{k + 1} x USING (sid) GROUP BY sid, goal)"""
+    union = " UNION ALL ".join(f"SELECT DISTINCT doc_id, sid, size FROM x{k}" for k in range(rounds + 1))
     return out + f""",
 x AS ({union})
-SELECT d.doc_id, d.size, s0.source_size, s0.target, CAST((s0.whole + CASE WHEN x.sid IS NULL THEN 0 ELSE 1 END) * d.size AS BIGINT) AS taken, CAST(s0.whole + CASE WHEN x.sid IS NULL THEN 0 ELSE 1 END AS BIGINT) AS copies
-FROM d JOIN s0 USING (sid) LEFT JOIN x ON d.doc_id IS NOT DISTINCT FROM x.doc_id AND d.sid = x.sid AND d.size = x.size
+SELECT d.doc_id, d.size, s.source_size, s.target, CAST((s.whole + CASE WHEN x.sid IS NULL THEN 0 ELSE 1 END) * d.size AS BIGINT) AS taken, CAST(s.whole + CASE WHEN x.sid IS NULL THEN 0 ELSE 1 END AS BIGINT) AS copies
+FROM d JOIN s USING (sid) LEFT JOIN x ON d.doc_id IS NOT DISTINCT FROM x.doc_id AND d.sid = x.sid AND d.size = x.size
 """
 
 

@@ -115,6 +115,41 @@ def test_mix_of_repeated_and_few_rows(spark):
     assert [r.taken for r in only] == [0, 0]
 
 
+def test_mix_ranks_by_unequal_odds(spark):
+    """The taken rows are not the first by their random numbers, and documents are included as often as their probabilities say."""
+    rng = random.Random(3)
+    rows = [row(i, prose(i, rng.choice([4, 10, 40, 160, 400])), source="a") for i in range(300)] + [row(5000, "x " * 2000, source="b")]
+    d = docs(spark, rows).cache()
+    often, p = {}, {}
+    for seed in range(6):
+        plan = mixing.allocate(d.select("source", mixing.size_of("text").alias("size"), mixing.draw(F.col("doc_id"), seed).alias("u")), seed=seed).where("source = 'a'").first()
+        got = mixing.mix(d, keep=["doc_id"], seed=seed).join(d.select("doc_id", "source", mixing.draw(F.col("doc_id"), seed).alias("u")), "doc_id").where("source = 'a'").collect()
+        took = [r for r in got if r.copies > plan["whole"]]
+        assert abs(sum(r.taken for r in got) - plan["target"]) <= 10
+        assert max(r.u for r in took) > min(r.u for r in got if r.copies == plan["whole"])
+        p = {r.doc_id: min(1.0, plan["scale"] * r["size"] ** 0.5) for r in got}
+        assert all(r.copies > plan["whole"] for r in got if p[r.doc_id] >= 1)
+        for r in took:
+            often[r.doc_id] = often.get(r.doc_id, 0) + 1
+    for n in {len(r[1].split()) for r in rows[:300]}:
+        own = [r[0] for r in rows[:300] if len(r[1].split()) == n]
+        share = sum(often.get(i, 0) for i in own) / len(own) / 6
+        assert abs(share - p[own[0]]) < 0.12, (n, share, p[own[0]])
+    assert len({round(x, 6) for x in p.values()}) == 5
+
+
+def test_mix_matches_its_sql(spark):
+    rng = random.Random(9)
+    rows = [row(i, prose(i, rng.choice([1, 3, 9, 80, 500])), source=rng.choice("aaabcd") if i % 9 else None) for i in range(200)] + [row(7, prose(7, 9), source="a")] * 2 + [row(900, None), row(901, "")]
+    d = docs(spark, rows)
+    con = duckdb.connect()
+    con.register("documents", d.select("doc_id", "text", "source").toPandas())
+    want = con.execute(sql.ORACLES["op4_mixing"]).fetchall()
+    got = mixing.mix(d, keep=["doc_id"]).select("doc_id", "size", "source_size", "target", "taken", "copies").collect()
+    plain = lambda rows: sorted((r[0], r[1], r[2], round(r[3], 6), r[4], r[5]) for r in rows)
+    assert plain(got) == plain(want)
+
+
 # --- 9
 
 
