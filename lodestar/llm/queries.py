@@ -55,7 +55,8 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     learn = F.col("doc_id").isNotNull() & (remainder("doc_id", 10) != 0)
-    return pitman_yor.score(docs, learn).withColumn("held_out", held(10, 0))
+    found = pitman_yor.score(docs, learn)
+    return found.select("doc_id", held(10, 0).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -365,7 +365,7 @@ def test_base_scores(spark, hot):
         if r.doc_id is not None and zlib.crc32(str(r.doc_id).encode()) % 10:
             counts.update((r.text or "").encode().lower().split() + [None])
     n, v = sum(counts.values()), len(counts)
-    got = pitman_yor.score(d, learn, size=8, contexts=4, hot=hot, samples=2).collect()
+    got = pitman_yor.score(d, learn, hot=hot, samples=2, bucket=20_000, limit=300).collect()
     want = []
     for r in rows:
         words = (r.text or "").encode().lower().split() + [None]
@@ -375,12 +375,63 @@ def test_base_scores(spark, hot):
     assert all(g.score < 0 and math.isfinite(g.score) and g.train_tokens == n for g in got)
 
 
-def test_predictive_rows_sum_to_one():
+@pytest.mark.parametrize(("hot", "bucket"), [(262_144, 10**6), (9, 40)])
+def test_scores_match_brute_force(spark, hot, bucket):
+    """Texts in which no word repeats: every dish has one customer, so the seating is certain and the score has a closed form."""
+    rows = [row(i, " ".join(f"w{i}x{j}" for j in range(5 + i % 4))) for i in range(12)]
+    rows += [row(100, "w1x0 w1x1 w1x2 new w2x3 w2x4 w2x5"), row(101, "w3x0 w4x1 other"), row(102, None), row(103, "w5x3 w5x4 w5x5 w5x6"), (None, "w1x0", None, None, 1, None, None, None)]
+    b1, b2, b0, a = 3.0, 1.5, 10.0, 0.95
+    got = pitman_yor.score(docs(spark, rows), F.col("doc_id") < 100, hot=hot, bucket=bucket, strengths=(b1, b2), root=b0).collect()
+    two, one, zero = Counter(), Counter(), Counter()
+    grams = lambda text: [((["<", "<"] + text.split())[i], (["<", "<"] + text.split())[i + 1], w) for i, w in enumerate([*text.split(), ">"])]
+    for r in rows[:12]:
+        for u, v, w in grams(r[1]):
+            two[u, v, w] += 1
+            zero[w] += 1
+    assert set(two.values()) == {1}
+    for u, v, w in two:
+        one[v, w] += 1
+    assert set(one.values()) == {1}
+    n, types = sum(zero.values()), len(zero)
+    a0 = 0.95  # all types but the end occur once
+
+    def p(u, v, w):
+        p0 = (max(zero[w] - a0, 0) + (b0 + a0 * types) / (types + 1)) / (n + b0)
+        c1 = sum(c for (x, _), c in one.items() if x == v)
+        p1 = (one[v, w] * (1 - a) + (b1 + a * c1) * p0) / (c1 + b1)
+        c2 = sum(c for (x, y, _), c in two.items() if (x, y) == (u, v))
+        return (two[u, v, w] * (1 - a) + (b2 + a * c2) * p1) / (c2 + b2)
+
+    want = {r[0]: sum(math.log10(p(*g)) for g in grams(r[1] or "")) for r in rows}
+    assert {r.doc_id: r.score for r in got} == pytest.approx(want, rel=1e-5)
+
+
+@pytest.mark.parametrize("limit", [10**6, 30])
+def test_predictive_probabilities_sum_to_one(limit):
     rng = np.random.default_rng(0)
-    n = rng.poisson(0.3, (pitman_yor.CLASSES + 6, 40))
-    n[0, 0] = 5000
-    p = pitman_yor.gibbs(n, np.array([0, 1, 2, 3, 4, 127]), burn_in=2, samples=2)
-    assert np.allclose(p.sum(axis=1), 1) and (p > 0).all()
+    words = (rng.pareto(0.8, 4000) * 3).astype(np.int64) % 40
+    keys = pitman_yor.mixed(np.arange(42, dtype=np.uint64) + np.uint64(1))
+    u, v, w = words[:-2], words[1:-1], words[2:]
+    count = np.bincount(words, minlength=40)
+    lex = pitman_yor.Lexicon(np.append(keys[:40], pitman_yor.START), np.argsort(keys[:40]), count, np.append(count, 1), 4000, 40, 0.5)
+    for pair in ((0, 0), (1, 3), (39, 2), (40, 40)):
+        us, vs, ws = np.append(u, np.full(41, pair[0])), np.append(v, np.full(41, pair[1])), np.append(w, np.arange(41))
+        code = lambda x: np.where(x < 40, x, 41)
+        group = pitman_yor.groups_of(lex, code(vs), code(us), keys[us], np.zeros(len(us), np.uint64), limit)
+        rooms = pitman_yor.Bucket(keys[vs], group, keys[us], keys[ws], ws, np.append(np.ones(len(u)), np.zeros(41)))
+        p0 = rng.dirichlet(np.ones(41))
+        a, b = rooms.predictive(p0, strengths=(4.0, 2.0), burn_in=2, samples=3, rng=rng)
+        p = (a + b * p0[rooms.w[rooms.up]])[rooms.of_token[-41:]]
+        assert p.sum() == pytest.approx(1) and (p > 0).all()
+
+
+def test_score_takes_repeats_and_hot_words_in_groups(spark):
+    """A word pair that most tokens are part of, rows given many times, and one long text."""
+    rows = [row(i, "of the " * 40 + prose(i, 30)) for i in range(60)] + [row(7, "again and again")] * 20 + [row(900, prose(1, 30_000))]
+    got = pitman_yor.score(docs(spark, rows), F.col("doc_id") % 10 != 0, bucket=5_000, limit=200).collect()
+    assert len(got) == len(rows) and all(math.isfinite(r.score) and r.score < 0 for r in got)
+    assert {r.n_tokens for r in got if r.doc_id == 900} == {30_001}
+    assert sum(r.score > r.base_score for r in got) > 75
 
 
 def test_table_counts_follow_the_conditional():
