@@ -9,7 +9,8 @@ hit the overlap is then counted token by token.
 
 Defined results: null and empty texts and items overlap nothing; items of fewer than SHORTEST tokens
 are too short to identify and are never reported. Repeated items or documents give one row for each
-pair of ids. Null ids are kept. Extra columns are not read.
+pair of ids. Null ids are kept. Texts of any length are read whole. ``overlaps`` reads no extra
+columns; ``clean`` keeps them, whatever their names.
 """
 
 from __future__ import annotations
@@ -17,14 +18,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestar.llm.common import stored, without
+from lodestar.llm.common import stored
 
 SPAN, SUBSTITUTIONS, SHORTEST = 13, 2, 7
 #: Shown positions. Together they meet every way to put two substitutions into a span of 13.
 MASKS = ((0, 1, 2, 3, 5, 6), (0, 1, 2, 4, 7, 8))
 WIDEST = max(m[-1] for m in MASKS) + 1
 FIRST = (0, 1, 2)  # shown by every mask: looked up before the masks are hashed
-#: Seeds of a benchmark up to which they are sent to every task (about 24 bytes each).
+#: Seeds of a benchmark, and hit documents, up to which they are sent to every task (about 24 bytes each).
 BROADCAST_SEEDS = 1_000_000
 
 
@@ -67,15 +68,23 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", doc_i
     seen = seen.withColumn("first", _first()).join(sent(seeds.select("first").distinct()), "first", "left_semi")
     seen = seen.select("doc_id", "text_hash", "pos", F.explode(_seeds()).alias("seed"))
     hits = seen.join(sent(seeds.select("seed", "item", "item_pos")), "seed").select("doc_id", "text_hash", "item", (F.col("pos") - F.col("item_pos")).alias("shift"))
-    hits = stored(hits.distinct())
-    told = hits.join(sent(items), "item").groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("item_id", "b", "shift")).alias("hits"))
+    hits = hits.groupBy("doc_id", "text_hash", "item").agg(F.collect_set("shift").alias("shifts"))
+    hits = stored(hits)
+    told = hits.join(sent(items), "item").groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("item_id", "b", "shifts")).alias("hits"))
     told = told.withColumnsRenamed({"doc_id": "_id", "text_hash": "_hash"})
+    # Texts without a hit need not travel.
+    keys = hits.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct()
+    if hits.count() <= BROADCAST_SEEDS:
+        own = own.join(F.broadcast(keys), own["text_hash"].eqNullSafe(keys["_hash"]) & own["doc_id"].eqNullSafe(keys["_id"]), "left_semi")
     texts = own.join(told, own["text_hash"].eqNullSafe(told["_hash"]) & own["doc_id"].eqNullSafe(told["_id"])).select("doc_id", "text_hash", _hashed("_text").alias("h"), "hits")
 
-    def counted(hit: Column) -> Column:
-        equal = F.transform(hit["b"], lambda w, i: F.when(F.get(F.col("h"), i + hit["shift"]) == w, 1).otherwise(0))
+    def matched(b: Column, shift: Column) -> Column:
+        equal = F.transform(b, lambda w, i: F.when(F.get(F.col("h"), i + shift) == w, 1).otherwise(0))
         return F.array_max(F.transform(equal, lambda _, i: F.aggregate(F.slice(equal, i + 1, F.lit(SPAN)), F.lit(0), lambda a, x: a + x)))
 
+    def counted(hit: Column) -> Column:
+        return F.array_max(F.transform(hit["shifts"], lambda shift: matched(hit["b"], shift)))
+
     found = texts.select("doc_id", "text_hash", F.inline(F.transform("hits", lambda x: F.struct(x["item_id"].alias("item_id"), counted(x).alias("n_matched"), F.size(x["b"]).alias("n_tokens")))))
     need = F.when(F.col("n_tokens") >= SPAN, F.lit(SPAN - SUBSTITUTIONS)).otherwise(F.col("n_tokens"))
     return found.where(F.col("n_matched") >= need).groupBy("doc_id", "text_hash", "item_id").agg(F.max("n_matched").alias("n_matched"), F.max("n_tokens").alias("n_tokens"))
@@ -84,5 +93,4 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", doc_i
 def clean(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """Rows of ``docs`` that overlap no item; the columns stay as they are."""
     bad = stored(overlaps(docs, benchmark, text=text, doc_id=doc_id).select(F.col("doc_id").alias("_bad_id"), F.col("text_hash").alias("_bad_hash")).distinct())
-    marked = docs.withColumn("_text_hash", F.xxhash64(text))
-    return marked.join(bad, (F.col("_text_hash") == F.col("_bad_hash")) & F.col(doc_id).eqNullSafe(F.col("_bad_id")), "left_anti").drop("_text_hash")
+    return docs.join(bad, F.xxhash64(docs[text]).eqNullSafe(bad["_bad_hash"]) & docs[doc_id].eqNullSafe(bad["_bad_id"]), "left_anti")

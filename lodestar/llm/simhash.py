@@ -2,12 +2,16 @@
 
 Words are lower-cased (A-Z) runs of non-blank bytes; every shingle of three words votes with the
 bits of its XXH64 (seed 42). Fingerprints that differ in at most two bits share at least six of
-their eight positional bytes, so they share the bytes of at least two of four byte pairs: the index
-holds a posting for each of the six choices of two byte pairs. Pairs within a posting list are kept
-when they share six positional bytes, and verified bit by bit. Posting lists over ``LIST_MOST``
-fingerprints are not paired up: each member posts its variants with one bit of the other four bytes
-flipped, and fingerprints that meet in a variant are at most two bits apart, or two that are within
-two bits always meet; one link to the smallest member of a meeting stands for all.
+their eight positional bytes. The index posts a fingerprint under its bytes at four positions, for
+each of the 14 BLOCKS of positions: every three positions are in exactly one block, so two
+fingerprints that share 4, 5, 6, 7 or 8 positional bytes meet in at most 1, in 1, 3, 7 or 14 lists.
+Meetings are tallied for each pair; the pairs that reach the guaranteed 3, those that share six bytes,
+are kept and verified bit by bit.
+
+Lists over ``LIST_MOST`` fingerprints are not paired up: each member posts its variants with one bit of
+the other four bytes flipped, and fingerprints that meet in a variant are at most two bits apart, or
+two that are within two bits always meet; one link to the smallest member of a meeting stands for
+all. So a pair is either tallied in all of its lists or linked through a long one.
 
 Defined results: a text without words (null too) has fingerprint zero and is linked like any other.
 Equal fingerprints form one class before the index is built, so copies never make pairs. Rows
@@ -30,8 +34,11 @@ from lodestar.llm.common import checkpoint_dir, small_batches, stored, widened,
 
 LIST_MOST = 24
 DISTANCE = 2
-#: The four byte pairs of a fingerprint, as masks of 16 bits.
-PAIRS = tuple(0xFFFF << s for s in (48, 32, 16, 0))
+#: Every four of the eight byte positions whose numbers cancel out by exclusive or.
+BLOCKS = tuple(c for c in combinations(range(8), 4) if not c[0] ^ c[1] ^ c[2] ^ c[3])
+MASKS = tuple(sum(0xFF << 8 * i for i in c) for c in BLOCKS)
+#: Lists that two fingerprints with 8 - DISTANCE equal positional bytes meet in, at least.
+MEETINGS = 3
 
 
 def fingerprint(text: bytes, width: int = 3) -> int:
@@ -82,31 +89,22 @@ def signed(value: int) -> int:
     return value - (1 << 64) if value >> 63 else value
 
 
-def _shared_bytes(x: Column) -> Column:
-    """How many positional bytes two fingerprints share, given their xor."""
-    total = F.lit(0)
-    for i in range(8):
-        total = total + F.when(x.bitwiseAND(F.lit(signed(0xFF << 8 * i))) == 0, 1).otherwise(0)
-    return total
-
-
 def links(prints: DataFrame, column: str = "fp") -> DataFrame:
     """Links (a, b) between different fingerprints at most two bits apart: enough of them to
     connect all that are linked, and no pair of a long posting list twice over."""
     one = prints.select(F.col(column).alias("fp")).distinct()
-    choices = [PAIRS[i] | PAIRS[j] for i, j in combinations(range(4), 2)]
-    posting = one.select("fp", F.posexplode(F.array(*(F.col("fp").bitwiseAND(F.lit(signed(m))) for m in choices))).alias("slot", "bytes"))
+    posting = one.select("fp", F.posexplode(F.array(*(F.col("fp").bitwiseAND(F.lit(signed(m))) for m in MASKS))).alias("slot", "bytes"))
     posting = stored(posting)
     lists = stored(posting.groupBy("slot", "bytes").agg(F.count("*").alias("n")).where("n > 1"))
     short = posting.join(lists.where(F.col("n") <= LIST_MOST), ["slot", "bytes"]).select("slot", "bytes", "fp")
     met = short.select("slot", "bytes", F.col("fp").alias("a")).join(short.select("slot", "bytes", F.col("fp").alias("b")), ["slot", "bytes"]).where("a < b")
-    x = F.col("a").bitwiseXOR(F.col("b"))
-    met = met.where((_shared_bytes(x) >= 6) & (F.bit_count(x) <= DISTANCE)).select("a", "b")
+    tally = met.groupBy("a", "b").agg(F.count("*").alias("n")).where(F.col("n") >= MEETINGS)
+    met = tally.where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= DISTANCE).select("a", "b")
     # Long lists: variants of the bytes outside the list's own.
     flips = F.array(
         *(
             F.array(F.lit(0).cast("long"), *(F.lit(signed(1 << b)) for b in range(64) if not m >> b & 1))
-            for m in choices
+            for m in MASKS
         )
     )
     long = posting.join(lists.where(F.col("n") > LIST_MOST), ["slot", "bytes"]).select("fp", F.explode(F.get(flips, F.col("slot"))).alias("flip"))

@@ -194,6 +194,21 @@ def test_overlaps_match_sql(spark):
     assert decontaminate.clean(d, b.limit(0)).count() == len(rows)
 
 
+def test_columns_that_clash_and_long_texts(spark):
+    """Extra columns named like the operators' own, and an item late in a long text of repeated words."""
+    item = prose(800, 40)
+    d = docs(spark, [row(1, prose(1, 50)), row(2, "a b " * 30_000 + item), row(3, None), row(4, item)])
+    extra = {c: F.lit("x") for c in ("size", "target", "u", "copies", "taken", "source_size", "_text_hash", "_bad_id", "_row", "item_id", "h", "sid", "r")}
+    d = d.drop("u").withColumns(extra)
+    b = spark.createDataFrame([(1, item), (2, "a b " * 20)], "item_id bigint, text string")
+    kept = decontaminate.clean(d, b)
+    assert kept.columns == d.columns and {r.doc_id for r in kept.collect()} == {1, 3}
+    assert {(r.doc_id, r.item_id) for r in decontaminate.overlaps(d, b).collect()} == {(2, 1), (2, 2), (4, 1)}
+    mixed = mixing.mix(d)
+    assert set(d.columns) <= set(mixed.columns) and len(mixed.columns) == len(set(mixed.columns))
+    assert {r.u for r in mixed.collect()} == {"x"} and {r["size"] for r in mixed.collect()} >= {0, 50, 60_040}
+
+
 # --- the pipeline
 
 

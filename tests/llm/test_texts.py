@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import itertools
 import os
 import math
 import re
@@ -120,6 +121,34 @@ def test_components_match_brute_force(spark, folder):
     assert len(pairs) == len({a for a, _ in pairs}) == len({b for _, b in pairs})
 
 
+def test_meetings_count_shared_bytes():
+    """Pairs that share 6 positional bytes meet in 3 lists, those that share fewer in at most one."""
+    for n, want in ((4, {0, 1}), (5, {1}), (6, {3}), (7, {7}), (8, {14})):
+        assert {sum(set(c) <= set(own) for c in simhash.BLOCKS) for own in itertools.combinations(range(8), n)} == want
+
+
+def test_simhash_query_matches_brute_force(spark, tmp_path):
+    """The whole query against fingerprints and links by definition."""
+    rng = np.random.default_rng(12)
+    rows, texts = [], []
+    for i in range(90):
+        words = (texts[int(rng.integers(0, i))] if i and rng.random() < 0.6 else prose(6000 + i, 400)).split()
+        for _ in range(int(rng.integers(0, 3))):
+            words[int(rng.integers(0, len(words)))] = f"n{i}"
+        texts.append(" ".join(words))
+        rows.append(row(i, texts[-1]))
+    rows += [row(500 + i, t) for i, t in enumerate(["", None, " \n", "one", "one two", "One  TWO", "É é", texts[0].upper()])]
+    docs(spark, rows).write.parquet(str(tmp_path / "documents.parquet"))
+    prints = {r[0]: simhash.fingerprint((r[1] or "").encode()) for r in rows}
+    root = brute_components(prints.values())
+    least = {}
+    for i, v in prints.items():
+        least[root[v]] = min(i, least.get(root[v], i))
+    got = queries.op2_simhash(spark, str(tmp_path)).collect()
+    assert {r.doc_id: (r.fingerprint, r.component_id) for r in got} == {i: (f"{v:016x}", least[root[v]]) for i, v in prints.items()}
+    assert 20 < len(set(least.values())) < 80
+
+
 def test_simhash_query_on_odd_rows(spark, folder):
     got = queries.op2_simhash(spark, folder[0]).collect()
     by = {}
