@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from lodestar import errors, html
 from lodestar.config import Config
 from lodestar.functions import text as T
-from lodestar.functions import timefn
+from lodestar.functions import timefn, web
 from lodestar.operators import control, passages, relation
 from lodestar.plans import recipe as R
 from lodestar.sources import parsers, registry
@@ -72,6 +72,7 @@ class Lodestar:
     def fetch(self, urls: list[str], query: str | None = None, k: int = 5, markdown: bool = False) -> DataFrame:
         """(_seq, url, title, chars, truncated, text, kind) of each URL, in order; a failed one keeps its row."""
         asked = self.spark.createDataFrame(list(enumerate(urls, 1)), "_seq bigint, url string")
+        asked = asked.withColumn("egress_error", web.egress_error("url", self.config.allow_private_network))
         found = asked.join(self.pages, "url", "left")
         for name, value in (("status", F.when(F.col("html").isNull(), 404).otherwise(200)), ("content_type", F.lit("text/html")), ("robots_allowed", F.lit(True)), ("cached", F.lit(False))):
             if name not in found.columns:

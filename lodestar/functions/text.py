@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column
@@ -156,18 +157,34 @@ def encode_path(c: Column | str, keep_slashes: bool = True) -> Column:
 def fold_width(c: Column | str) -> Column:
     """Full-width forms become ASCII."""
     wide = "".join(map(chr, range(0xFF01, 0xFF5F))) + "　"
-    return F.translate(col(c), wide, "".join(map(chr, range(0x21, 0x7F))) + " ")
+    folded = F.translate(col(c), wide, "".join(map(chr, range(0x21, 0x7F))) + " ")
+    return F.when(col(c).rlike(r"[\x{FF01}-\x{FF5E}\x{3000}]"), folded).otherwise(col(c))
 
 
 def tokenize(c: Column | str) -> Column:
-    """Lower-case words without stopwords; runs of CJK characters as overlapping pairs."""
-    runs = F.regexp_extract_all(F.lower(fold_width(c)), F.lit(rf"[{CJK}]+|[[\p{{IsAlphabetic}}\p{{N}}]&&[^{CJK}]]+"), F.lit(0))
+    """Lower-case words without stopwords; runs of CJK characters as overlapping pairs.
+
+    Texts without such characters take the short way: one match of words, one filter."""
+    low = F.lower(fold_width(c))
+    mixed = F.regexp_extract_all(low, F.lit(rf"[{CJK}]+|[[\p{{IsAlphabetic}}\p{{N}}]&&[^{CJK}]]+"), F.lit(0))
+    plain = F.regexp_extract_all(low, F.lit(r"[\p{IsAlphabetic}\p{N}]+"), F.lit(0))
 
     def pieces(run: Column) -> Column:
         pairs = F.transform(F.sequence(F.lit(1), F.length(run) - 1), lambda i: F.substring(run, i, F.lit(2)))
         return F.when(run.rlike(rf"^[{CJK}]") & (F.length(run) > 1), pairs).otherwise(F.array(run))
 
-    return F.filter(F.flatten(F.transform(runs, pieces)), lambda w: ~w.isin(*STOPWORDS))
+    words = F.when(col(c).rlike(f"[{CJK}]"), F.flatten(F.transform(mixed, pieces))).otherwise(plain)
+    return F.filter(words, lambda w: ~w.isin(*STOPWORDS))
+
+
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is worked out once however often it is named."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def with_tokens(c: Column | str, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a text's tokens, made once."""
+    return let(tokenize(c), use)
 
 
 def query_terms(c: Column | str) -> Column:

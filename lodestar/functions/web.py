@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import ipaddress
 import re
+from functools import reduce
+from operator import or_
 from urllib.parse import urljoin, urlsplit, urlunsplit
 
 import pandas as pd
@@ -11,7 +13,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from lodestar.functions.udf import vectorised
-from lodestar.functions.text import col
+from lodestar.functions.text import col, let
 
 #: Lone subtags read as a country, not a language.
 COUNTRIES = (
@@ -21,10 +23,11 @@ COUNTRIES = (
 )
 #: The language that a search region's country implies.
 REGION_LANGUAGES = {
-    "en": "us gb uk ca au nz ie in sg za ph", "jp": "jp", "zh": "cn", "tzh": "hk tw", "kr": "kr", "pt": "br pt",
-    "es": "mx ar cl co es", "de": "de at ch", "fr": "fr be", "it": "it", "nl": "nl", "sv": "se", "no": "no", "fi": "fi",
-    "da": "dk", "pl": "pl", "cs": "cz", "el": "gr", "tr": "tr", "ru": "ru", "uk": "ua", "th": "th", "vi": "vn",
-    "id": "id", "ms": "my", "he": "il", "ar": "sa ae eg",
+    "ae": "ar", "ar": "es", "at": "de", "au": "en", "be": "fr", "br": "pt", "ca": "en", "ch": "de", "cl": "es", "cn": "zh",
+    "co": "es", "cz": "cs", "de": "de", "dk": "da", "eg": "ar", "es": "es", "fi": "fi", "fr": "fr", "gb": "en", "gr": "el",
+    "hk": "tzh", "id": "id", "ie": "en", "il": "he", "in": "en", "it": "it", "jp": "jp", "kr": "kr", "mx": "es", "my": "ms",
+    "nl": "nl", "no": "no", "nz": "en", "ph": "en", "pl": "pl", "pt": "pt", "ru": "ru", "sa": "ar", "se": "sv", "sg": "en",
+    "th": "th", "tr": "tr", "tw": "tzh", "ua": "uk", "uk": "en", "us": "en", "vn": "vi", "za": "en",
 }
 #: Markup found only on pages that ask for a human.
 CHALLENGE_MARKUP = (
@@ -45,6 +48,7 @@ IMAGE_TYPES = {
     "image/jpeg": "jpg", "image/png": "png", "image/gif": "gif", "image/webp": "webp", "image/avif": "avif",
     "image/bmp": "bmp", "image/x-icon": "ico", "image/tiff": "tiff", "image/svg+xml": "svg",
 }
+ROBOTS_MOST = 512 * 1024
 PAGE_TYPES = ("", "text/html", "application/xhtml+xml", "text/plain")
 
 
@@ -53,7 +57,9 @@ def part(url: Column | str, name: str) -> Column:
 
 
 def host(url: Column | str) -> Column:
-    return F.lower(part(url, "HOST"))
+    """The host in lower case, brackets of IPv6 included; also where it is only a number."""
+    named = F.regexp_extract(part(url, "AUTHORITY"), r"^(?:[^@]*@)?(\[[^\]]*\]|[^:\[\]]+)(?::\d*)?$", 1)
+    return F.lower(F.coalesce(part(url, "HOST"), F.nullif(named, F.lit(""))))
 
 
 def http_url(url: Column | str) -> Column:
@@ -92,49 +98,118 @@ def ipv4_number(address: Column | str) -> Column:
     return F.when(good, ((octet(0) * 256 + octet(1)) * 256 + octet(2)) * 256 + octet(3))
 
 
+def blocked_number(number: Column) -> Column:
+    """Whether an IPv4 address, as a number, is out of bounds."""
+    nets = [ipaddress.ip_network(text) for text in BLOCKED_V4]
+    return let(number, lambda n: reduce(or_, (n.between(int(x.network_address), int(x.broadcast_address)) for x in nets)))
+
+
 def blocked_ipv4(address: Column | str) -> Column:
-    n = ipv4_number(address)
-    out = F.lit(False)
-    for text in BLOCKED_V4:
-        net = ipaddress.ip_network(text)
-        out = out | n.between(int(net.network_address), int(net.broadcast_address))
-    return out
+    return blocked_number(ipv4_number(address))
 
 
-def blocked_address(text: str) -> bool:
-    """Whether an address of either family is out of bounds, IPv4 inside IPv6 included."""
-    try:
-        ip = ipaddress.ip_address(text)
-    except ValueError:
-        return False
-    if ip.version == 4:
-        return any(ip in ipaddress.ip_network(n) for n in BLOCKED_V4)
-    n = int(ip)
-    inner = ip.ipv4_mapped or ip.sixtofour or (ip.teredo and ip.teredo[1])
-    if not inner and (n >> 32 in (0x0064FF9B << 64, 0xFFFF << 16) or (n >> 32 == 0 and n > 1)):
-        inner = ipaddress.IPv4Address(n & 0xFFFFFFFF)
-    return any(ip in ipaddress.ip_network(b) for b in BLOCKED_V6) or bool(inner and blocked_address(str(inner)))
+def host_number(name: Column | str) -> Column:
+    """The IPv4 address that a host means, as a number: one to four parts, each decimal, octal or hex,
+    the last one filling what is left. Null for names and for numbers out of range."""
+    parts = F.split(F.regexp_replace(col(name), r"\.$", ""), r"\.")
+
+    def value(x: Column) -> Column:
+        hexa = F.when(x == "0x", F.lit("0")).otherwise(F.conv(F.substring(x, 3, 99), 16, 10))
+        short = F.length(x) < 15
+        return F.when(short & x.rlike("^0x[0-9a-f]*$"), hexa).when(short & x.rlike("^0[0-7]+$"), F.conv(x, 8, 10)).when(short & x.rlike(r"^(0|[1-9]\d*)$"), x).try_cast("bigint")
+
+    def number(numbers: Column) -> Column:
+        n = F.size(numbers)
+        head, last = F.slice(numbers, 1, F.greatest(n - 1, F.lit(0))), F.element_at(numbers, -1)
+        fits = ~F.exists(head, lambda x: x > 255) & (last < F.pow(F.lit(256), 5 - n))
+        total = F.aggregate(F.transform(head, lambda x, i: x * F.pow(F.lit(256.0), 3 - i).cast("bigint")), F.lit(0).cast("bigint"), lambda a, x: a + x)
+        return F.when((n <= 4) & ~F.exists(numbers, lambda x: x.isNull()) & fits, total + last)
+
+    return let(F.transform(parts, value), number)
+
+
+def ipv6_groups(address: Column | str) -> Column:
+    """The eight 16-bit groups of an IPv6 address, with ``::`` filled in and a dotted end read; null if it is none."""
+
+    def plain(a: Column) -> Column:
+        """With a dotted end as two groups."""
+        dotted = ipv4_number(F.regexp_extract(a, r":(\d{1,3}(?:\.\d{1,3}){3})$", 1))
+        low = let(dotted, lambda n: F.lower(F.concat(F.hex(F.shiftright(n, 16)), F.lit(":"), F.hex(n.bitwiseAND(F.lit(0xFFFF))))))
+        return F.when(a.contains("."), F.concat(F.regexp_extract(a, r"^(.*:)[\d.]+$", 1), low)).otherwise(a)
+
+    def side(a: Column, i: int) -> Column:
+        half = F.get(F.split(a, "::", -1), F.lit(i))
+        return F.coalesce(F.filter(F.split(half, ":", -1), lambda x: x != ""), F.array().cast("array<string>"))
+
+    def filled(sides: Column) -> Column:
+        gap = 8 - F.size(sides["l"]) - F.size(sides["r"])
+        fits = F.when(sides["two"], gap >= 1).otherwise(gap == 0)
+        return F.when(sides["shape"] & fits, F.concat(sides["l"], F.array_repeat(F.lit("0"), F.greatest(gap, F.lit(0))), sides["r"]))
 
+    def groups(a: Column) -> Column:
+        shape = ~a.rlike(r":::|^:[^:]|[^:]:$|::.*::")
+        return let(F.struct(side(a, 0).alias("l"), side(a, 1).alias("r"), a.contains("::").alias("two"), shape.alias("shape")), filled)
 
-@vectorised("boolean")
-def blocked_ip(s: pd.Series) -> pd.Series:
-    return s.map(lambda x: blocked_address(x) if isinstance(x, str) else None).astype("object")
+    number = lambda x: F.when(x.rlike("^[0-9a-f]{1,4}$"), F.conv(x, 16, 10).cast("bigint"))
+    found = let(let(F.lower(col(address)), plain), groups)
+    return let(F.transform(found, number), lambda g: F.when(~F.exists(g, lambda x: x.isNull()), g))
+
+
+def blocked_ipv6(address: Column | str) -> Column:
+    """Whether an IPv6 address is out of bounds, by itself or by the IPv4 address inside it; null if it is none."""
+    return let(ipv6_groups(address), _blocked_groups)
+
+
+def _blocked_groups(g: Column) -> Column:
+    at = lambda i: F.get(g, F.lit(i))
+    out = F.lit(False)
+    for text in BLOCKED_V6:
+        net = ipaddress.ip_network(text)
+        inside = F.lit(True)
+        for i in range(-(-net.prefixlen // 16)):
+            shift = 16 * (7 - i)
+            mask = int(net.netmask) >> shift & 0xFFFF
+            inside = inside & (at(i).bitwiseAND(F.lit(mask)) == (int(net.network_address) >> shift & 0xFFFF))
+        out = out | inside
+    starts = lambda *groups: F.slice(g, 1, len(groups)) == F.array(*(F.lit(x).cast("bigint") for x in groups))
+    pair = lambda i: at(i) * 65536 + at(i + 1)
+    end = starts(0, 0, 0, 0, 0, 0) | starts(0, 0, 0, 0, 0, 0xFFFF) | starts(0, 0, 0, 0, 0xFFFF, 0) | starts(0x64, 0xFF9B, 0, 0, 0, 0)
+    inner = F.when(end, pair(6)).when(starts(0x2002), pair(1)).when(starts(0x2001, 0), F.lit(0xFFFFFFFF) - pair(6))
+    return out | F.coalesce(blocked_number(inner), F.lit(False))
+
+
+def blocked_ip(address: Column | str) -> Column:
+    """Whether an address of either family is out of bounds; what is no address is not."""
+    a = col(address)
+    return F.when(a.isNotNull(), F.coalesce(F.when(a.contains(":"), blocked_ipv6(a)).otherwise(blocked_ipv4(a)), F.lit(False)))
 
 
 def egress_error(url: Column | str, allow_private: bool = False) -> Column:
-    """Why a URL must not be fetched, or null."""
+    """Why a URL must not be fetched, or null. Hosts that are numbers in any spelling, and IPv6
+    addresses, are judged as addresses; those that are malformed are no URLs."""
     u = F.trim(col(url))
-    scheme, name = F.lower(part(u, "PROTOCOL")), host(u)
-    out = F.when(scheme.isNull(), "not a URL").when(~scheme.isin("http", "https"), F.concat(F.lit("scheme not allowed: "), scheme))
-    out = out.when(part(u, "USERINFO").isNotNull() | part(u, "AUTHORITY").contains("@"), "credentials in URL").when(name.isNull(), "no host")
-    if not allow_private:
-        out = out.when(name.isin("localhost") | name.endswith(".localhost") | blocked_ipv4(name), F.concat(F.lit("refusing to connect to "), name))
-    return out
+    told = F.struct(F.lower(part(u, "PROTOCOL")).alias("scheme"), host(u).alias("name"), (part(u, "USERINFO").isNotNull() | part(u, "AUTHORITY").contains("@")).alias("login"))
+
+    def error(x: Column) -> Column:
+        scheme, name = x["scheme"], x["name"]
+        out = F.when(scheme.isNull(), "not a URL").when(~scheme.isin("http", "https"), F.concat(F.lit("scheme not allowed: "), scheme))
+        out = out.when(x["login"], "credentials in URL").when(name.isNull(), "no host")
+        six = F.regexp_replace(name, r"^\[|\]$", "")
+        blocked = F.when(name.startswith("["), blocked_ipv6(six)).when(name.rlike(r"(^|\.)(0x[0-9a-f]*|\d+)\.?$"), blocked_number(host_number(name))).otherwise(name.rlike(r"(^|\.)localhost\.?$"))
+        return let(F.struct(out.alias("out"), blocked.alias("b")), lambda y: F.coalesce(y["out"], F.when(y["b"].isNull(), "not a URL"), F.lit(None) if allow_private else F.when(y["b"], F.concat(F.lit("refusing to connect to "), name))))
+
+    return let(told, error)
 
 
 def allowed_addresses(addresses: Column | str) -> Column:
-    """The resolved addresses that may be connected to."""
-    return F.filter(col(addresses), lambda a: ~blocked_ipv4(a))
+    """The resolved addresses, of either family, that may be connected to."""
+    return F.filter(col(addresses), lambda a: ~F.coalesce(blocked_ip(a), F.lit(True)))
+
+
+def resolve_error(addresses: Column | str) -> Column:
+    """Why a resolved name cannot be connected to, or null: it has no address, or only blocked ones."""
+    a = col(addresses)
+    return F.when(F.coalesce(F.size(a), F.lit(0)) <= 0, "no addresses").when(F.size(allowed_addresses(a)) == 0, "refusing to connect: all addresses are blocked")
 
 
 def open_error(url: Column | str, any_scheme: bool = False) -> Column:
@@ -244,9 +319,7 @@ def ddg_region(region: Column | str) -> Column:
     """country-language as the web engine spells it; null without a usable country."""
     loc = parse_region(region)
     country, language = loc["country"], loc["language"]
-    implied = F.lit(None).cast("string")
-    for name, countries in REGION_LANGUAGES.items():
-        implied = F.when(country.isin(*countries.split()), name).otherwise(implied)
+    implied = F.try_element_at(F.create_map(*(F.lit(x) for pair in REGION_LANGUAGES.items() for x in pair)), country)
     traditional = (language == "zh") & (country.isin("hk", "tw") | F.coalesce(loc["script"] == "Hant", F.lit(False)))
     spelled = F.when(language == "ja", "jp").when(language == "ko", "kr").when(traditional, "tzh").otherwise(language)
     place = F.when(country == "gb", "uk").otherwise(country)
@@ -284,6 +357,14 @@ def robots_match(pattern: Column | str, path: Column | str) -> Column:
     return F.regexp_like(col(path), robots_regex(pattern))
 
 
+def normal_path(path: Column | str) -> Column:
+    """A path spelled as robots patterns are: escapes in upper case, characters beyond ASCII escaped."""
+    plain = F.array_join(F.transform(F.split(col(path), ""), lambda c: F.when(c.rlike(r"[^\x00-\x7F]"), F.url_encode(c)).otherwise(c)), "")
+    parts = F.split(F.when(col(path).rlike(r"[^\x00-\x7F]"), plain).otherwise(col(path)), "(?=%[0-9a-fA-F]{2})")
+    upper = F.transform(parts, lambda x: F.when(x.rlike("^%[0-9a-fA-F]{2}"), F.concat(F.upper(F.substring(x, 1, 3)), F.substring(x, 4, 1 << 30))).otherwise(x))
+    return F.when(col(path).rlike(r"%[0-9a-fA-F]{2}|[^\x00-\x7F]"), F.array_join(upper, "")).otherwise(col(path))
+
+
 def encode_robots_text(s: str) -> str:
     """Escapes in upper case, bytes over 0x7F escaped."""
     out = re.sub(r"%([0-9a-fA-F]{2})", lambda m: "%" + m[1].upper(), s)
@@ -291,8 +372,12 @@ def encode_robots_text(s: str) -> str:
 
 
 def parse_robots_text(body: str) -> list[tuple[str, bool]]:
-    """(pattern, allow) of the groups that bind every agent, in order."""
+    """(pattern, allow) of the groups that bind every agent, in order. Of a body over ROBOTS_MOST bytes
+    only the whole lines before that are read."""
     out, ours, naming = [], False, False
+    data = body.encode()
+    if len(data) > ROBOTS_MOST:
+        body = data[: data.rfind(b"\n", 0, ROBOTS_MOST) + 1].decode()
     for line in body.lstrip("﻿").splitlines():
         key, colon, value = line.split("#", 1)[0].strip().partition(":")
         if not colon:

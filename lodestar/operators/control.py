@@ -23,7 +23,7 @@ def fallback_resolve(attempts: DataFrame) -> DataFrame:
     """(request_id, engine, kind) from attempts (request_id, priority, engine, n_results, kind).
 
     In order of priority: the first with results wins; an error that is not retryable ends the
-    chain; else the first error stands, else the first (empty) answer."""
+    chain; else the last error stands, else the first (empty) answer."""
     ends = (F.col("kind").isNull() & (F.col("n_results") > 0)) | (F.col("kind").isNotNull() & ~is_retryable("kind"))
     first = lambda test: F.min(F.when(test, F.struct("priority", "engine", "kind")))
     last = lambda test: F.max(F.when(test, F.struct("priority", "engine", "kind")))
@@ -35,9 +35,10 @@ def fallback_resolve(attempts: DataFrame) -> DataFrame:
 def gate(pages: DataFrame, allow_private: bool = False) -> DataFrame:
     """The first failing gate of each request: egress, robots, cache, status, type, size; else fetch.
 
-    ``pages``: url, robots_allowed, cached, status, content_type."""
+    ``pages``: url, robots_allowed, cached, status, content_type, and egress_error if it is known."""
+    refused = F.col("egress_error") if "egress_error" in pages.columns else web.egress_error("url", allow_private)
     kind = (
-        F.when(web.egress_error("url", allow_private).isNotNull(), "blocked_by_policy")
+        F.when(refused.isNotNull(), "blocked_by_policy")
         .when(~F.coalesce("robots_allowed", F.lit(True)), "robots")
         .when(F.coalesce("cached", F.lit(False)), "cached")
         .when(~F.col("status").between(200, 299), "http")
@@ -51,11 +52,15 @@ def robots_gate(requests: DataFrame, rules: DataFrame) -> DataFrame:
     """requests (url) with ``robots_allowed``: the longest matching rule of the origin, allow before
     disallow; no rule allows. Rules are joined by origin; the best is an aggregate, so a hot origin
     is combined before the shuffle."""
-    own = requests.withColumns({"origin": web.origin("url"), "_path": web.path_query("url")})
+    own = requests.withColumns({"origin": web.origin("url"), "_path": web.normal_path(web.path_query("url"))})
     r = rules.select(F.col("origin").alias("_origin"), "pattern", "allow")
-    met = own.join(r, (F.col("origin") == F.col("_origin")) & web.robots_match("pattern", "_path"), "left")
+    # Requests that are alike share a verdict, and each keeps its row.
+    asked = own.groupBy(*requests.columns, "origin", "_path").agg(F.count("*").alias("_times"))
+    met = asked.join(r, (F.col("origin") == F.col("_origin")) & web.robots_match("pattern", "_path"), "left")
     best = F.max(F.when(F.col("pattern").isNotNull(), F.struct(F.octet_length("pattern"), "allow")))
-    return met.groupBy(*requests.columns).agg(best.alias("_best")).withColumn("robots_allowed", F.coalesce(F.col("_best.allow"), F.lit(True))).drop("_best")
+    found = met.groupBy(*requests.columns).agg(best.alias("_best"), F.max("_times").alias("_times"))
+    found = found.select(*requests.columns, F.coalesce(F.col("_best.allow"), F.lit(True)).alias("robots_allowed"), F.explode(F.sequence(F.lit(1), F.col("_times"))).alias("_time"))
+    return found.drop("_time")
 
 
 def batch_summary(items: DataFrame) -> DataFrame:
@@ -75,6 +80,13 @@ def backoff_ms(attempt: Column, base: int = BASE_MS, most: int = MOST_MS) -> Col
     return F.least(F.lit(base) * F.pow(F.lit(2.0), F.least(attempt, F.lit(10))), F.lit(most)).cast("bigint")
 
 
+def backoff_wait_ms(attempt: Column, key: Column | str, base: int = BASE_MS, most: int = MOST_MS) -> Column:
+    """A wait between half of the backoff and all of it, by a hash of the request and attempt: reruns agree."""
+    whole = backoff_ms(attempt, base, most)
+    share = F.pmod(F.xxhash64(key if isinstance(key, Column) else F.col(key), attempt), F.lit(1 << 20)) / float(1 << 20)
+    return F.floor(whole / 2 + whole / 2 * share).cast("bigint")
+
+
 def retry_after_s(value: Column, now: Column) -> Column:
     """Seconds to wait from a header of seconds or an HTTP date; null if unreadable or over a minute."""
     date = timefn.rfc2822(value)

@@ -21,11 +21,14 @@ def packed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataF
     return docs.select(doc_id, F.posexplode(T.split_passages(text)).alias("idx", "passage"))
 
 
+def _counts(terms: list[str]):
+    """Of tokens: their number, and the frequency of each term."""
+    return lambda t: F.struct(F.size(t).alias("n_tokens"), F.array(*(F.size(t) - F.size(F.array_remove(t, x)) for x in terms)).alias("tf"))
+
+
 def measured(passages: DataFrame, terms: list[str]) -> DataFrame:
     """Each passage with its token count and the frequency of each term, in one row: no token leaves it."""
-    tokens = T.tokenize("passage")
-    f = F.array(*(F.size("_t") - F.size(F.array_remove("_t", t)) for t in terms))
-    return passages.withColumn("_t", tokens).withColumn("n_tokens", F.size("_t")).withColumn("tf", f).drop("_t")
+    return passages.withColumn("_m", T.with_tokens("passage", _counts(terms))).select(*passages.columns, "_m.n_tokens", "_m.tf")
 
 
 def stats(rows: DataFrame, terms: list[str], doc_id: str = "doc_id") -> DataFrame:
@@ -63,10 +66,36 @@ def top(rows: DataFrame, k: int = 5, doc_id: str = "doc_id") -> DataFrame:
     return rows.withColumn("_rank", F.row_number().over(best)).where(F.col("_rank") <= max(1, k)).drop("_rank")
 
 
+def scored_pages(docs: DataFrame, query_terms: list[str], doc_id: str = "doc_id", text: str = "text", lines: bool = False) -> DataFrame:
+    """(doc_id, total, hits): the passages of a page with a positive score, as (idx, passage, score).
+
+    A page is one row and stays one: its passages are measured, counted and scored in place, without a shuffle."""
+    if not query_terms:
+        raise ConfigError("the query has no searchable terms")
+    count = _counts(query_terms)
+    passages = (T.lines if lines else T.split_passages)(text)
+    rows = docs.select(doc_id, F.transform(passages, lambda p, i: F.struct(i.alias("idx"), p.alias("passage"), T.with_tokens(p, count).alias("m"))).alias("_p"))
+    total = F.size("_p")
+    words = F.aggregate("_p", F.lit(0).cast("bigint"), lambda a, x: a + x["m"]["n_tokens"])
+    holds = lambda i: lambda x: F.get(x["m"]["tf"], F.lit(i)) > 0
+    df = F.array(*(F.size(F.filter("_p", holds(i))) for i in range(len(query_terms))))
+    rows = rows.select(doc_id, "_p", total.cast("bigint").alias("total"), F.greatest(words / F.greatest(total, F.lit(1)), F.lit(1.0)).alias("_avg"), df.alias("_df"))
+    value = lambda x: score(query_terms, F.col("total"), F.col("_avg"), F.col("_df"), x["m"]["n_tokens"], x["m"]["tf"])
+    hits = F.transform(F.filter("_p", lambda x: F.exists(x["m"]["tf"], lambda f: f > 0)), lambda x: F.struct(x["idx"].alias("idx"), x["passage"].alias("passage"), value(x).alias("score")))
+    return rows.select(doc_id, "total", F.filter(hits, lambda h: h["score"] > 0).alias("hits"))
+
+
+def best(hits: Column | str, k: int) -> Column:
+    """The k best of (idx, passage, score), ties to the earlier, by falling score."""
+    ranked = F.array_sort(F.transform(hits, lambda h: F.struct((-F.round(h["score"], 9)).alias("rank"), h["idx"].alias("idx"), h["score"].alias("score"), h["passage"].alias("passage"))))
+    return F.slice(ranked, 1, max(1, k))
+
+
 def select(docs: DataFrame, query_terms: list[str], k: int = 5, doc_id: str = "doc_id", text: str = "text", lines: bool = False) -> DataFrame:
-    """(doc_id, text, total, kept): the best passages of each page, in page order."""
-    rows = top(scored((by_line if lines else packed)(docs, doc_id, text), query_terms, doc_id), k, doc_id)
-    kept = F.sort_array(F.collect_list(F.struct("idx", F.round("score", 3).alias("score"), "passage")))  # at most k
-    return rows.groupBy(doc_id).agg(kept.alias("hits"), F.first("total").alias("total")).select(
-        doc_id, F.array_join(F.col("hits.passage"), "\n").alias("text"), "total", F.transform("hits", lambda h: F.struct(h["idx"].alias("index"), h["score"].alias("score"))).alias("passages")
-    )
+    """(doc_id, text, total, passages): the best passages of each page, in page order."""
+    rows = scored_pages(docs, query_terms, doc_id, text, lines)
+    in_order = F.array_sort(F.transform(best("hits", k), lambda h: F.struct(h["idx"].alias("index"), F.round(h["score"], 3).alias("score"), h["passage"].alias("passage"))))
+    made = lambda h: F.struct(F.array_join(h["passage"], "\n").alias("text"), F.transform(h, lambda x: F.struct(x["index"].alias("index"), x["score"].alias("score"))).alias("passages"))
+    # One or no result a page, without a filter that would work the hits out twice.
+    found = F.transform(F.filter(F.array(in_order), lambda h: F.size(h) > 0), made)
+    return rows.select(doc_id, "total", F.inline(found)).select(doc_id, "text", "total", "passages")

@@ -150,9 +150,9 @@ def _cache(spark: SparkSession, sf_dir: str) -> DataFrame:
 CACHE = f"c AS (SELECT 'k' || doc_id AS key, {NOW} - doc_id * 7 AS ts, doc_id * 37 % 1009 * 1000 + doc_id % 1000 AS seq, n_chars AS bytes, source AS value FROM documents)"
 
 
-@query(f"WITH {CACHE}, q AS (SELECT 'k' || event_id * 3 AS key FROM events WHERE event_id < 700), l AS (SELECT * FROM c WHERE {NOW} - ts < 3600) SELECT q.key, l.value, l.key IS NOT NULL AS hit FROM q LEFT JOIN l USING (key)")
+@query(f"WITH {CACHE}, q AS (SELECT 'k' || event_id * 3 AS key FROM events), l AS (SELECT * FROM c WHERE {NOW} - ts < 3600) SELECT q.key, l.value, l.key IS NOT NULL AS hit FROM q LEFT JOIN l USING (key)")
 def cache_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    asked = table(spark, sf_dir, "events").where("event_id < 700").select(F.concat(F.lit("k"), F.col("event_id") * 3).alias("key"))
+    asked = table(spark, sf_dir, "events").select(F.concat(F.lit("k"), F.col("event_id") * 3).alias("key"))
     return state.lookup(asked, _cache(spark, sf_dir), NOW).select("key", "value", "hit")
 
 
@@ -213,9 +213,9 @@ def sink_jsonl(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sinks.jsonl(result_rows(spark, sf_dir))
 
 
-@query(f"WITH {ROWS} SELECT _seq, CASE WHEN length(_seq::VARCHAR) > 3 THEN substr(_seq::VARCHAR, 1, 3) ELSE lpad(_seq::VARCHAR, 3, ' ') END || '. ' || title || coalesce('  (' || strftime(published, '%Y-%m-%d') || ')', '') || chr(10) || '     ' || url || chr(10) || '     ' || snippet AS block FROM r WHERE _seq <= 200")
+@query(f"WITH {ROWS} SELECT _seq, CASE WHEN length(_seq::VARCHAR) > 3 THEN substr(_seq::VARCHAR, 1, 3) ELSE lpad(_seq::VARCHAR, 3, ' ') END || '. ' || title || coalesce('  (' || strftime(published, '%Y-%m-%d') || ')', '') || chr(10) || '     ' || url || chr(10) || '     ' || snippet AS block FROM r")
 def sink_pretty_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sinks.pretty(relation.take(result_rows(spark, sf_dir), 200))
+    return sinks.pretty(result_rows(spark, sf_dir))
 
 
 @query("""SELECT page_id AS _seq, CASE WHEN page_id % 4 = 0 THEN '{"url":"' || url || '","error":"gone","kind":"http"}' ELSE '{"url":"' || url || '","title":' || CASE WHEN page_id % 3 = 0 THEN 'null' ELSE '"t"' END || ',"chars":1,"truncated":false,"text":"x"}' END AS item FROM pages""")
@@ -234,10 +234,10 @@ def cache_put(spark: SparkSession, sf_dir: str) -> DataFrame:
     return state.put(c, c.where("bytes % 4 < 2").withColumn("value", empty), most_bytes=5000).select("key", "value", "ts")
 
 
-@query("""SELECT '{"query":"q","engine":"bing","count":' || count(*) || ',"results":[' || string_agg('{"title":"t' || p_partkey || '","url":"u","page_url":"p","width":' || CASE WHEN p_partkey % 2 = 0 THEN 'null' ELSE '7' END || ',"height":9,"format":"jpg"}', ',' ORDER BY p_partkey) || '],"downloaded":' || count(*) || '}' AS doc FROM part WHERE p_partkey < 20""")
+@query("""SELECT '{"query":"q","engine":"bing","count":' || count(*) || ',"results":[' || string_agg('{"title":"t' || p_partkey || '","url":"u","page_url":"p","width":' || CASE WHEN p_partkey % 2 = 0 THEN 'null' ELSE '7' END || ',"height":9,"format":"jpg"}', ',' ORDER BY p_partkey) || '],"downloaded":' || count(*) || '}' AS doc FROM part""")
 def sink_images_doc(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("p_partkey")
-    rows = table(spark, sf_dir, "part").where(k < 20).select(k.alias("_seq"), F.concat(F.lit("t"), k).alias("title"), F.lit("u").alias("url"), F.lit("p").alias("page_url"), F.when(k % 2 == 1, 7).alias("width"), F.lit(9).alias("height"), F.lit("jpg").alias("format"))
+    rows = table(spark, sf_dir, "part").select(k.alias("_seq"), F.concat(F.lit("t"), k).alias("title"), F.lit("u").alias("url"), F.lit("p").alias("page_url"), F.when(k % 2 == 1, 7).alias("width"), F.lit(9).alias("height"), F.lit("jpg").alias("format"))
     return sinks.images_doc(rows, "q", "bing", downloaded=True)
 
 

@@ -39,13 +39,10 @@ def _sql(source: str, key: str, title: str, url: str, snippet: str, published: s
     )
 
 
-SHORT = "trim(regexp_replace(substr(text, 1, 400), '[ \\t\\n\\r\\f\\v]+', ' ', 'g'))"
-
-
-@query(_sql("documents", "doc_id", "lang || ' ' || doc_id", "'https://en.wikipedia.org/wiki/' || lang || '_' || doc_id", "substr(text, 1, 400)"))
+@query(_sql("documents", "doc_id", "lang || ' ' || doc_id", "'https://en.wikipedia.org/wiki/' || lang || '_' || doc_id", "text"))
 def src_wikipedia_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents")
-    escaped = F.replace(F.replace(F.substring("text", 1, 400), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
+    escaped = F.replace(F.replace(F.col("text"), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
     item = F.struct(F.concat_ws(" ", "lang", F.col("doc_id").cast("string")).alias("title"), F.concat(F.lit('<span class="m">'), escaped, F.lit("</span>")).alias("snippet"))
     return _out(S.wikipedia(_payloads(d, "doc_id", item, _json(query=lambda i: F.struct(i.alias("search"))))))
 
@@ -220,11 +217,7 @@ def _esc(c: Column) -> Column:
     return c
 
 
-def _text(n: int) -> Column:
-    return _esc(F.substring("text", 1, n))
-
-
-@query(_sql("documents", "doc_id", "lang || ' ' || doc_id", "'https://r.example/' || doc_id", "source || ' · by u' || doc_id || ' · ' || substr(text, 1, 200)", "make_timestamp(2024, 2, 1 + doc_id % 28, 3, 4, 5)", "doc_id % 5 <> 0"))
+@query(_sql("documents", "doc_id", "lang || ' ' || doc_id", "'https://r.example/' || doc_id", "source || ' · by u' || doc_id || ' · ' || text", "make_timestamp(2024, 2, 1 + doc_id % 28, 3, 4, 5)", "doc_id % 5 <> 0"))
 def src_atom_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Atom entries; every fifth has no web link and is dropped."""
     k = F.col("doc_id")
@@ -232,14 +225,14 @@ def src_atom_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
     link = F.when(k % 5 == 0, F.lit("mailto:x@y.z")).otherwise(F.concat(F.lit("https://r.example/"), k))
     entry = F.concat(
         F.lit("<entry><title>"), F.col("lang"), F.lit(" "), k, F.lit('</title><link rel="self" href="https://no.example/"/><link href="'), link, F.lit('"/><author><name>u'), k,
-        F.lit('</name></author><category term="t" label="'), F.col("source"), F.lit('"/><content type="html">&lt;p&gt;'), _esc(_text(200)), F.lit("&lt;/p&gt;</content><updated>2024-02-"),
+        F.lit('</name></author><category term="t" label="'), F.col("source"), F.lit('"/><content type="html">&lt;p&gt;'), _esc(_esc(F.col("text"))), F.lit("&lt;/p&gt;</content><updated>2024-02-"),
         F.lpad((1 + k % 28).cast("string"), 2, "0"), F.lit("T03:04:05</updated></entry>"),
     )
     wrap = lambda i: F.concat(F.lit('<feed xmlns="http://www.w3.org/2005/Atom"><title>all</title>'), F.array_join(i, ""), F.lit("</feed>"))
     return _out(S.feed(_payloads(d, "doc_id", entry, wrap)))
 
 
-@query(_sql("documents", "doc_id", "lang || ' ' || doc_id", "'https://r.example/' || doc_id", "substr(text, 1, 200)", "make_timestamp(2024, 2, 1 + doc_id % 28, 3, 4, 5)"))
+@query(_sql("documents", "doc_id", "lang || ' ' || doc_id", "'https://r.example/' || doc_id", "text", "make_timestamp(2024, 2, 1 + doc_id % 28, 3, 4, 5)"))
 def src_bing_rss(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("doc_id")
     d = table(spark, sf_dir, "documents").withColumn("text", F.regexp_replace("text", "[\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f]", ""))
@@ -247,7 +240,7 @@ def src_bing_rss(spark: SparkSession, sf_dir: str) -> DataFrame:
     b64 = F.rtrim(F.translate(F.base64(target.cast("binary")), "+/\r\n", "-_"), F.lit("="))
     link = F.when(k % 2 == 0, target).otherwise(F.concat(F.lit("https://www.bing.com/ck/a?u=a1"), b64, F.lit("&amp;ntb=1")))
     item = F.concat(
-        F.lit("<item><title>"), F.col("lang"), F.lit(" "), k, F.lit("</title><link>"), link, F.lit("</link><description>"), _esc(_text(200)),
+        F.lit("<item><title>"), F.col("lang"), F.lit(" "), k, F.lit("</title><link>"), link, F.lit("</link><description>"), _esc(_esc(F.col("text"))),
         F.lit("</description><pubDate>"), (1 + k % 28).cast("string"), F.lit(" Feb 2024 03:04:05 GMT</pubDate></item>"),
     )
     wrap = lambda i: F.concat(F.lit('<?xml version="1.0"?><rss version="2.0"><channel><title>r</title>'), F.array_join(i, ""), F.lit("</channel></rss>"))
@@ -255,37 +248,37 @@ def src_bing_rss(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _out(out.withColumn("published", F.to_utc_timestamp("published", F.current_timezone())))
 
 
-@query(_sql("documents", "doc_id", "lang || ' ' || doc_id", "'https://r.example/' || doc_id", "substr(text, 1, 200)", seen="doc_id % 6 <> 0"))
+@query(_sql("documents", "doc_id", "lang || ' ' || doc_id", "'https://r.example/' || doc_id", "text", seen="doc_id % 6 <> 0"))
 def src_ddg_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Result pages; every sixth result is an ad, links are wrapped."""
     k = F.col("doc_id")
     d = table(spark, sf_dir, "documents")
     item = F.concat(
         F.lit('<div class="result '), F.when(k % 6 == 0, "result--ad").otherwise("shadow"), F.lit('"><h2><a class="result__a" href="//duckduckgo.com/l/?uddg='), F.url_encode(F.concat(F.lit("https://r.example/"), k)),
-        F.lit('&amp;rut=1">'), F.col("lang"), F.lit(" <b>"), k, F.lit('</b></a></h2><a class="result__snippet">'), _text(200), F.lit("</a></div>"),
+        F.lit('&amp;rut=1">'), F.col("lang"), F.lit(" <b>"), k, F.lit('</b></a></h2><a class="result__snippet">'), _esc(F.col("text")), F.lit("</a></div>"),
     )
     return _out(S.ddg_html(_payloads(d, "doc_id", item, lambda i: F.concat(F.lit("<html><body>"), F.array_join(i, "\n"), F.lit("</body></html>")))))
 
 
-@query(_sql("documents", "doc_id", "lang || ' ' || doc_id", "'https://r.example/' || doc_id", "substr(text, 1, 200)", seen="doc_id % 7 <> 0"))
+@query(_sql("documents", "doc_id", "lang || ' ' || doc_id", "'https://r.example/' || doc_id", "text", seen="doc_id % 7 <> 0"))
 def src_bing_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Result pages; every seventh item has no link."""
     k = F.col("doc_id")
     d = table(spark, sf_dir, "documents")
     head = F.when(k % 7 == 0, F.lit("<h2>none</h2>")).otherwise(F.concat(F.lit('<h2><a href="https://r.example/'), k, F.lit('">'), F.col("lang"), F.lit(" "), k, F.lit("</a></h2>")))
-    item = F.concat(F.lit('<li class="b_algo">'), head, F.lit('<div class="b_caption"><p>'), _text(200), F.lit("</p></div></li>"))
+    item = F.concat(F.lit('<li class="b_algo">'), head, F.lit('<div class="b_caption"><p>'), _esc(F.col("text")), F.lit("</p></div></li>"))
     return _out(S.bing_html(_payloads(d, "doc_id", item, lambda i: F.concat(F.lit("<html><body><ol>"), F.array_join(i, ""), F.lit("</ol></body></html>")))))
 
 
-@query(_sql("documents", "doc_id", "'@chan' || (doc_id // 10)", "CASE WHEN doc_id % 3 = 0 THEN 'https://t.me/chan/' || doc_id ELSE 'https://t.me/other/' || doc_id END", "substr(text, 1, 200) || ' · 1.2K views'", "make_timestamp(2024, 2, 1 + doc_id % 28, 3, 4, 5)", seen="doc_id % 8 <> 0"))
+@query(_sql("documents", "doc_id", "'@chan' || (doc_id // 10)", "CASE WHEN doc_id % 3 = 0 THEN 'https://t.me/chan/' || doc_id ELSE 'https://t.me/other/' || doc_id END", "text || ' · 1.2K views'", "make_timestamp(2024, 2, 1 + doc_id % 28, 3, 4, 5)", seen="doc_id % 8 <> 0"))
 def src_channel_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Channel pages; a post without a link is named by its reference, one without a reference dropped."""
     k = F.col("doc_id")
-    d = table(spark, sf_dir, "documents").withColumn("text", F.substring("text", 1, 200))
+    d = table(spark, sf_dir, "documents")
     href = F.when(k % 3 == 0, F.lit("")).otherwise(F.concat(F.lit(' href="https://t.me/other/'), k, F.lit('"')))
     ref = F.when(k % 8 == 0, F.lit("")).otherwise(F.concat(F.lit(' data-post="chan/'), k, F.lit('"')))
     item = F.concat(
-        F.lit('<div class="tgme_widget_message_wrap"><div class="tgme_widget_message"'), ref, F.lit('><div class="tgme_widget_message_text">'), _text(200),
+        F.lit('<div class="tgme_widget_message_wrap"><div class="tgme_widget_message"'), ref, F.lit('><div class="tgme_widget_message_text">'), _esc(F.col("text")),
         F.lit('</div><span class="tgme_widget_message_views">1.2K</span><a class="tgme_widget_message_date"'), href, F.lit('><time datetime="2024-02-'), F.lpad((1 + k % 28).cast("string"), 2, "0"),
         F.lit('T03:04:05"></time></a></div></div>'),
     )

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from lodestar import config, html, sinks
 from lodestar.errors import ConfigError
+from lodestar.operators import control
 from lodestar.functions import text, timefn, web
 from lodestar.operators import relation
 from lodestar.plans import recipe
@@ -170,3 +171,12 @@ def test_payload_source(spark, tmp_path):
     payloads.register(spark)
     df = spark.read.format("lodestar").option("path", str(tmp_path / "p")).option("engine", "hackernews").load()
     assert sorted(x.request_id for x in df.where((F.col("created") >= 30) & (F.col("created") < 80)).collect()) == [3, 5, 7]
+
+
+def test_robots_keep_repeated_requests_and_normal_paths(spark):
+    asked = spark.createDataFrame([("https://a.example/caf%c3%a9/x",)] * 3 + [("https://a.example/open",)], "url string")
+    rules = spark.createDataFrame([("https://a.example", "/caf%C3%A9/", False)], "origin string, pattern string, allow boolean")
+    got = [tuple(r) for r in control.robots_gate(asked, rules).collect()]
+    assert sorted(got) == [("https://a.example/caf%c3%a9/x", False)] * 3 + [("https://a.example/open", True)]
+    body = "User-agent: *\n" + "# pad\n" * 90_000 + "Disallow: /late\n"
+    assert web.parse_robots_text(body) == [] and web.parse_robots_text(body.replace("# pad\n", "")) == [("/late", False)]
