@@ -1,7 +1,9 @@
 """Exact top-k search over integer inner products, by norm buckets.
 
 Vectors are grouped by length (quantiles of the norm, large groups split by a hash of the id).
-A block of queries meets each bucket in one task, which sorts its vectors by length and walks them
+All queries meet the bucket of the longest vectors first; the k-th best product they find there goes
+with them, and they are sent on only to buckets whose longest vector could reach it. A block of
+queries meets a part of a bucket in one task, which sorts its vectors by length and walks them
 from the longest, keeping each query's k-th best product. From it follows a local cosine threshold
 for the vectors still to come: where it is over 1 the query is done (length pruning), where it is
 high only vectors whose coordinates lie in the feasible range of the query's strongest ones are
@@ -18,7 +20,7 @@ from math import ceil
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestar.llm.common import stored
@@ -65,13 +67,14 @@ def _best(who: np.ndarray, ids: np.ndarray, score: np.ndarray, k: int) -> tuple[
     return who[keep], ids[keep], score[keep]
 
 
-def search(query_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, c: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row of the query, id, score) of the k best of ``c`` for each row of ``q``, its own id left out."""
+def search(query_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, c: np.ndarray, k: int, known: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row of the query, id, score) of the k best of ``c`` for each row of ``q``, its own id left out;
+    those under the query's ``known`` score need not be found."""
     length = np.sqrt((c.astype(np.float64) ** 2).sum(axis=1))
     order = np.lexsort((ids, -length))
     ids, c, length = ids[order], c[order], length[order]
     size = np.sqrt((q.astype(np.float64) ** 2).sum(axis=1))
-    floor = np.full(len(q), -np.inf)  # k-th best so far
+    floor = np.full(len(q), -np.inf) if known is None else known.astype(np.float64)  # k-th best so far
     who = found = score = np.zeros(0, np.int64)
     slack = 1 + 1e-9
     for a in range(0, len(c), STEP):
@@ -111,7 +114,7 @@ def search(query_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, c: np.ndarray,
         who, found, score = _best(np.concatenate((who, live[i])), np.concatenate((found, own[j])), np.concatenate((score, products[i, j])), k)
         ends = np.searchsorted(who, np.arange(len(q)), "right")
         full = ends - np.searchsorted(who, np.arange(len(q)), "left") >= k
-        floor[full] = score[ends[full] - 1]
+        floor[full] = np.maximum(floor[full], score[ends[full] - 1])
     return who, found, score
 
 
@@ -126,26 +129,47 @@ def top_k(vectors: DataFrame, *, k: int = 20, every: int = 20) -> DataFrame:
     most = min(BUCKET_MOST, max(256, ceil(n / 32)))
     # One row for each of at most BUCKETS buckets: how many parts it has, and where they start.
     parts, at = {}, 0
-    for r in sorted(rows.groupBy(bucket.alias("b")).count().collect()):
-        parts[r[0]] = (at, ceil(r[1] / most))
-        at += parts[r[0]][1]
-    blocks, groups = max(at, 1), max(1, ceil(asked / QUERY_BLOCK))
+    for b, size, longest in sorted(rows.groupBy(bucket.alias("b")).agg(F.count("*"), F.max("norm")).collect()):
+        parts[b] = (at, ceil(size / most), longest)
+        at += parts[b][1]
+    groups = max(1, ceil(asked / QUERY_BLOCK))
     start, count = F.lit(0), F.lit(1)
-    for b, (s, m) in parts.items():
-        start, count = F.when(bucket == b, s).otherwise(start), F.when(bucket == b, m).otherwise(count)
+    for b, (first, m, _) in parts.items():
+        start, count = F.when(bucket == b, first).otherwise(start), F.when(bucket == b, m).otherwise(count)
     part = (start + F.pmod(F.xxhash64("vec_id", F.lit("part")), count)).cast("int")
-    candidates = rows.select("vec_id", "v", part.alias("block"), F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("group"))
+    candidates = rows.select("vec_id", "v", bucket.alias("bucket"), part.alias("block"), F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("group"))
     group = F.pmod(F.xxhash64("vec_id", F.lit("group")), F.lit(groups)).cast("int")
-    queries = rows.where(F.pmod("vec_id", F.lit(every)) == 0).select("vec_id", "v", group.alias("group"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
+    queries = rows.where(F.pmod("vec_id", F.lit(every)) == 0).select("vec_id", "v", "norm", group.alias("group"))
 
     def work(left: pa.Table, right: pa.Table) -> pa.Table:
         query_ids, ids = (t.column("vec_id").to_numpy() for t in (left, right))
         if len(query_ids) and len(ids):
-            who, found, score = search(query_ids, _matrix(left.column("v"), width), ids, _matrix(right.column("v"), width), k)
+            known = left.column("floor").to_numpy()
+            who, found, score = search(query_ids, _matrix(left.column("v"), width), ids, _matrix(right.column("v"), width), k, known)
         else:
             who = found = score = np.zeros(0, np.int64)
         return pa.table({"query_id": pa.array(query_ids[who], pa.int64()), "vec_id": pa.array(found, pa.int64()), "score": pa.array(score, pa.int64())})
 
-    best = queries.groupBy("group", "block").cogroup(candidates.groupBy("group", "block")).applyInArrow(work, "query_id bigint, vec_id bigint, score bigint")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return best.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    def met(asking: DataFrame, kept: Column) -> DataFrame:
+        return asking.groupBy("group", "block").cogroup(candidates.where(kept).groupBy("group", "block")).applyInArrow(work, "query_id bigint, vec_id bigint, score bigint")
+
+    def ranked(found: DataFrame) -> DataFrame:
+        rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+        return found.withColumn("rank", rank).where(F.col("rank") <= k)
+
+    def blocks(b: int) -> Column:
+        return F.explode(F.sequence(F.lit(parts[b][0]), F.lit(parts[b][0] + parts[b][1] - 1))).alias("block")
+
+    if not parts:
+        return ranked(met(queries.withColumns({"floor": F.lit(0.0), "block": F.lit(0)}), F.lit(True))).select("query_id", "rank", "vec_id", "score")
+    longest = max(parts)
+    best = stored(ranked(met(queries.select("vec_id", "v", "group", F.lit(float("-inf")).alias("floor"), blocks(longest)), F.col("bucket") == longest)))
+    floor = best.where(F.col("rank") == k).select(F.col("query_id").alias("vec_id"), F.col("score").cast("double").alias("floor"))
+    asking = stored(queries.join(floor, "vec_id", "left").withColumn("floor", F.coalesce("floor", F.lit(float("-inf")))))
+    # The blocks of every other bucket that a query could still gain from.
+    none = F.array().cast("array<int>")
+    useful = [F.when(F.col("norm") * top * (1 + 1e-9) + 1e-6 >= F.col("floor"), F.sequence(F.lit(first), F.lit(first + m - 1))).otherwise(none) for b, (first, m, top) in parts.items() if b != longest]
+    if not useful:
+        return best.select("query_id", "rank", "vec_id", "score")
+    others = met(asking.select("vec_id", "v", "group", "floor", F.explode(F.flatten(F.array(*useful))).alias("block")), F.col("bucket") != longest)
+    return ranked(best.drop("rank").unionByName(others)).select("query_id", "rank", "vec_id", "score")

@@ -59,6 +59,44 @@ def test_quality_separates_and_scores_empty(spark):
     assert 0 <= got[5000] <= 1
 
 
+def test_prior_from_positives_and_unlabelled():
+    rng = np.random.default_rng(4)
+    hist = lambda x: np.histogram(x, np.linspace(0, 1, quality.BINS + 1))[0]
+    for share in (0.2, 0.6, 0.9):
+        good, bad = rng.beta(6, 2, 40_000), rng.beta(2, 6, 40_000)
+        mixed = np.where(rng.random(40_000) < share, good, bad)
+        assert abs(quality.prior_of(hist(rng.beta(6, 2, 5_000)), hist(mixed)) - share) < 0.07
+
+
+def test_sums_match_plain_ones(spark):
+    rng = np.random.default_rng(1)
+    x = rng.normal(0, 1, (500, 4))
+    side = rng.integers(0, 3, 500)
+    cuts = np.sort(rng.normal(0, 1, (4, 5)), axis=1)
+    w = rng.normal(0, 0.5, 21)
+    table = spark.createDataFrame([(int(s), bytearray(c.tobytes())) for s, c in zip(side, quality._codes(x, cuts), strict=True)], "side int, code binary").repartition(3)
+    sums = quality._Sums(table, cuts)
+    binned = quality._binned(x, cuts).astype(float)
+    for got, own in zip(sums.risk(w), (side == 0, side > 0), strict=True):
+        z = binned[own] @ w
+        assert np.allclose(got[:21], (binned[own] * quality._sigmoid(z)[:, None]).mean(axis=0))
+        assert np.allclose(got[21:42], binned[own].mean(axis=0)) and np.isclose(got[-1], np.logaddexp(0, z).mean())
+    score = quality._sigmoid(binned @ w)
+    for s, got in enumerate(sums.histogram(w)):
+        assert np.array_equal(got, np.bincount((score[side == s] * quality.BINS).astype(int), minlength=quality.BINS))
+
+
+def test_label_conflicts_count_as_one(spark):
+    """Labels 0 are never read, so a second label 0 of a row changes nothing."""
+    good = [row(i, prose(i, 80)) for i in range(80)]
+    bad = [row(1000 + i, "BUY!! " * 30 + str(i)) for i in range(40)]
+    d = docs(spark, good + bad)
+    ones = [(r[0], 1, 0) for r in good]
+    a = quality.fit(d, spark.createDataFrame(ones, "doc_id bigint, quality int, toxic int"), quality.learn_on("doc_id"))
+    b = quality.fit(d, spark.createDataFrame([*ones, (3, 0, 0), (1001, 0, 0), (5, None, None)], "doc_id bigint, quality int, toxic int"), quality.learn_on("doc_id"))
+    assert np.allclose(a.weights, b.weights) and a.prior == b.prior
+
+
 def test_quality_without_positives(spark):
     d = docs(spark, [row(1, "a"), row(2, None)])
     none = spark.createDataFrame([], "doc_id bigint, quality int, toxic int")
