@@ -1,16 +1,20 @@
-"""python -m lodestar: search, fetch, run and list engines over stored payloads and pages."""
+"""python -m lodestar: search, fetch, run, engines, cache and watch over stored payloads, pages and state."""
 
 from __future__ import annotations
 
 import argparse
+import os
 import sys
+import time
 
 from pyspark.sql import SparkSession
 
 from lodestar import config, sinks
 from lodestar.api import Lodestar
-from lodestar.errors import LodestarError
+from lodestar.errors import ConfigError, LodestarError
+from lodestar.operators import state
 from lodestar.plans import recipe
+from lodestar.streaming.watch import WatchState
 
 
 def main(argv: list[str] | None = None) -> int:
@@ -19,6 +23,9 @@ def main(argv: list[str] | None = None) -> int:
     p.add_argument("--pages", help="Parquet of pages")
     p.add_argument("--config")
     p.add_argument("--format", choices=recipe.FORMATS)
+    p.add_argument("--cache", help="Parquet of cached answers")
+    p.add_argument("--watches", help="folder of watch state")
+    p.add_argument("--quiet", action="store_true", help="no notes on stderr")
     sub = p.add_subparsers(dest="command", required=True)
     s = sub.add_parser("search")
     s.add_argument("query")
@@ -31,14 +38,24 @@ def main(argv: list[str] | None = None) -> int:
     f.add_argument("--query")
     f.add_argument("--passages", type=int, default=5)
     f.add_argument("--markdown", action="store_true")
+    f.add_argument("--html", action="store_true")
+    f.add_argument("--max-chars", type=int)
     sub.add_parser("run").add_argument("recipe")
     sub.add_parser("engines")
     sub.add_parser("init").add_argument("path")
+    sub.add_parser("config-path")
+    sub.add_parser("cache-info")
+    sub.add_parser("watch-list")
+    sub.add_parser("watch-clear").add_argument("name", nargs="?")
     a = p.parse_args(argv)
+    note = lambda text: None if a.quiet else print(text, file=sys.stderr)
     try:
         if a.command == "init":
             config.write_default(a.path)
             return 0
+        if a.command == "config-path":
+            print(a.config or os.environ.get("LODESTAR_CONFIG") or "")
+            return 0
         spark = SparkSession.builder.config("spark.ui.showConsoleProgress", "false").getOrCreate()
         none = lambda ddl: spark.createDataFrame([], ddl)
         payloads = spark.read.parquet(a.payloads) if a.payloads else none("request_id bigint, engine string, query string, status int, body string")
@@ -47,8 +64,25 @@ def main(argv: list[str] | None = None) -> int:
         mode = sinks.output_mode(a.format, None, False, sys.stdout.isatty())
         if a.command == "engines":
             lines = [r.line for r in star.engines().select(sinks.as_json("name", "kind", "aliases", "description").alias("line")).collect()]
+        elif a.command == "cache-info":
+            kept = spark.read.parquet(a.cache) if a.cache else none("key string, value string, ts bigint, seq bigint, bytes bigint")
+            lines = [r.line for r in state.cache_info(kept, int(time.time())).select(sinks.as_json("entries", "bytes", "expired").alias("line")).collect()]
+        elif a.command in ("watch-list", "watch-clear"):
+            if not a.watches:
+                raise ConfigError("--watches names no folder")
+            store = WatchState(spark, a.watches)
+            if a.command == "watch-clear":
+                store.clear(a.name)
+                note("cleared")
+            lines = [r.line for r in state.watch_list(store.read()).orderBy("watch").select(sinks.as_json("watch", "seen", "last_new").alias("line")).collect()]
         elif a.command == "fetch":
-            lines = [r.item for r in sinks.fetch_batch(star.fetch(a.urls, a.query, a.passages, a.markdown)).orderBy("_seq").collect()]
+            got = star.fetch(a.urls, a.query, a.passages, a.markdown, a.html, a.max_chars).cache()
+            failed = got.where("kind is not null").count()
+            if failed:
+                note(f"{failed} of {len(a.urls)} pages failed")
+            made = sinks.fetch_batch(got).orderBy("_seq").select("item") if mode == "jsonl" else sinks.fetch_doc(got)
+            print("\n".join(r[0] for r in made.collect()))
+            return 1 if failed == len(a.urls) else 0
         else:
             if a.command == "run":
                 with open(a.recipe, encoding="utf-8") as file:
@@ -58,6 +92,8 @@ def main(argv: list[str] | None = None) -> int:
             made = {"json": lambda: sinks.run_doc(rows).select("doc"), "jsonl": lambda: sinks.jsonl(rows).orderBy("_seq").select("line"), "pretty": lambda: sinks.pretty(rows).orderBy("_seq").select("block")}
             lines = [r[0] for r in made[mode]().collect()]
         print("\n".join(lines))
+    except BrokenPipeError:
+        return 0
     except LodestarError as e:
         print(f"{e.kind}: {e}", file=sys.stderr)
         return 2 if e.kind == "config" else 1

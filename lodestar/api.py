@@ -36,16 +36,21 @@ class Lodestar:
     def engines(self) -> DataFrame:
         return registry.catalog(self.spark)
 
-    def _answer(self, engine: str, query: str, count: int) -> tuple[DataFrame, str | None]:
-        """The first ``count`` rows of an engine's answer, or the kind of its failure."""
+    def _answer(self, engine: str, query: str, count: int, **asked: object) -> tuple[DataFrame, str | None]:
+        """The first ``count`` rows of an engine's answer, or the kind of its failure. What else was
+        ``asked`` for picks payloads where these say what they answer."""
         own = self.payloads.where((F.col("engine") == engine) & (F.col("query") == query))
+        for name, value in asked.items():
+            if value is not None and name in self.payloads.columns:
+                own = own.where(F.col(name) == F.lit(value))
         kind = errors.of_status(F.col("status"), scraped=engine in ("duckduckgo", "bing"))
         rows = parsers.PARSERS[engine](own.where(kind.isNull()))
         failed = own.where(kind.isNotNull()).select(kind.alias("kind")).unionByName(rows.where("kind is not null").select("kind")).first()
-        good = rows.where("kind is null").drop("kind", "request_id")
+        # Rows of a later payload come after those of an earlier one.
+        good = rows.where("kind is null").withColumn("_seq", F.shiftleft("request_id", 20) + F.col("_seq")).drop("kind", "request_id")
         return relation.dedupe_and_truncate(good, count), failed and failed.kind
 
-    def search(self, query: str, engine: str | None = None, count: int | None = None, since: str | None = None, until: str | None = None) -> DataFrame:
+    def search(self, query: str, engine: str | None = None, count: int | None = None, since: str | None = None, until: str | None = None, **asked: object) -> DataFrame:
         """Results of an engine or, if it has none or fails in a way that another may not, of the next
         in its order. The count is cut before the time window, and emptiness is judged before it too."""
         if not query.strip():
@@ -56,7 +61,7 @@ class Lodestar:
         order = [first] + ([e.name for e in registry.TEXT if e.kind == "web" and e.name != first] if kinds[first] == "web" and self.config.fallback else [])
         empty, failure = None, None
         for name in order:
-            rows, kind = self._answer(name, query, count or self.config.max_results)
+            rows, kind = self._answer(name, query, count or self.config.max_results, **asked)
             if kind is None and not rows.isEmpty():
                 return relation.time_window(rows, *window)
             if kind is None and empty is None:
@@ -69,7 +74,7 @@ class Lodestar:
             raise errors.CLASSES.get(failure, errors.ParseError)(f"{first} answered with {failure}")
         return relation.time_window(empty, *window)
 
-    def fetch(self, urls: list[str], query: str | None = None, k: int = 5, markdown: bool = False) -> DataFrame:
+    def fetch(self, urls: list[str], query: str | None = None, k: int = 5, markdown: bool = False, raw: bool = False, max_chars: int | None = None) -> DataFrame:
         """(_seq, url, title, chars, truncated, text, kind) of each URL, in order; a failed one keeps its row."""
         asked = self.spark.createDataFrame(list(enumerate(urls, 1)), "_seq bigint, url string")
         asked = asked.withColumn("egress_error", web.egress_error("url", self.config.allow_private_network))
@@ -80,7 +85,9 @@ class Lodestar:
         if not self.config.respect_robots:
             found = found.withColumn("robots_allowed", F.lit(True))
         gated = control.gate(found, self.config.allow_private_network)
-        got = html.fetch(gated.withColumn("html", F.when(F.col("gate").isin("fetch", "cached"), F.col("html"))), markdown, self.config.max_chars)
+        open_ = gated.withColumn("html", F.when(F.col("gate").isin("fetch", "cached"), F.col("html")))
+        most = max_chars or self.config.max_chars
+        got = html.fetch_raw(open_, most).withColumn("kind", F.lit(None).cast("string")) if raw else html.fetch(open_, markdown, most)
         got = got.withColumn("kind", F.when(~F.col("gate").isin("fetch", "cached"), F.col("gate")).otherwise(F.col("kind")))
         if query is not None:
             terms = [r.t for r in self.spark.range(1).select(F.explode(T.query_terms(F.lit(query))).alias("t")).collect()]
@@ -98,8 +105,9 @@ class Lodestar:
             try:
                 if s.kind == "search":
                     a = s.args
-                    return self.search(a["query"], a["engine"], a["count"], a.get("since"), a.get("until")).select("_seq", "title", "url", "snippet", "published")
-                got = self.fetch(s.args["urls"], s.args.get("query"), s.args.get("passages", 5), s.args.get("markdown", False))
+                    asked = {name: a.get(name) for name in ("lang", "region", "safe", "feed")}
+                    return self.search(a["query"], a["engine"], a["count"], a.get("since"), a.get("until"), **asked).select("_seq", "title", "url", "snippet", "published")
+                got = self.fetch(s.args["urls"], s.args.get("query"), s.args.get("passages", 5), s.args.get("markdown", False), s.args.get("html", False), s.args.get("max_chars"))
                 good = got.where("kind is null")
                 if good.isEmpty():
                     raise errors.NoResultsError("every page failed")

@@ -80,5 +80,28 @@ def merge(mine: DataFrame, disk: DataFrame) -> DataFrame:
     return both.where(~gone & (own | F.col("d.key").isNotNull())).select(*(pick(c) for c in ("key", "value", "ts", "seq", "bytes")))
 
 
+def touch(cache: DataFrame, hits: DataFrame, seq: int) -> DataFrame:
+    """The cache with hit keys as the most recent, in the order of their keys' first use from ``seq`` on."""
+    used = hits.where("hit").select("key").distinct().select(F.col("key").alias("_key"))
+    return cache.join(used, F.col("key") == F.col("_key"), "left").withColumn("seq", F.when(F.col("_key").isNotNull(), F.greatest("seq", F.lit(seq))).otherwise(F.col("seq"))).drop("_key")
+
+
+def entry_bytes(key: Column | str, value: Column | str) -> Column:
+    """What an entry counts for: the bytes of its key and value."""
+    return (F.octet_length(key) + F.coalesce(F.octet_length(value), F.lit(0))).cast("bigint")
+
+
+def clear(cache: DataFrame, now: int | None = None, ttl: int = CACHE_TTL) -> DataFrame:
+    """An empty cache, or with a time only expired entries gone."""
+    return cache.limit(0) if now is None else cache.where(~is_expired("ts", now, ttl))
+
+
+def decoded(answers: DataFrame, schema: str) -> DataFrame:
+    """Answers of ``lookup`` with their values read as JSON; what cannot be read is a miss."""
+    value = F.from_json("value", schema, {"mode": "PERMISSIVE"})
+    good = F.get_json_object("value", "$").isNotNull()
+    return answers.withColumn("hit", F.col("hit") & F.coalesce(good, F.lit(False))).withColumn("value", F.when(F.col("hit"), value))
+
+
 def cache_info(cache: DataFrame, now: int, ttl: int = CACHE_TTL) -> DataFrame:
     return cache.agg(F.count("*").alias("entries"), F.coalesce(F.sum("bytes"), F.lit(0)).alias("bytes"), F.count_if(is_expired("ts", now, ttl)).alias("expired"))

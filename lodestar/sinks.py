@@ -20,6 +20,9 @@ def result_struct() -> Column:
     return F.struct("title", "url", "snippet", timefn.render("published").alias("published"))
 
 
+DOCUMENT_MOST = 200
+
+
 def as_json(*columns: Column | str) -> Column:
     return F.to_json(F.struct(*columns), KEEP_NULLS)
 
@@ -60,6 +63,13 @@ def fetch_batch(rows: DataFrame) -> DataFrame:
     return rows.select("_seq", fetch_item().alias("item"))
 
 
+def fetch_doc(rows: DataFrame) -> DataFrame:
+    """One document: the object of a single page, else the array of all, in order. The list of pages is the caller's."""
+    listed = F.transform(F.sort_array(F.collect_list(F.struct("_seq", "item"))), lambda x: x["item"])
+    made = fetch_batch(rows).agg(listed.alias("items"))
+    return made.select(F.when(F.size("items") == 1, F.get("items", F.lit(0))).otherwise(F.concat(F.lit("["), F.array_join("items", ","), F.lit("]"))).alias("doc"))
+
+
 def pretty(rows: DataFrame) -> DataFrame:
     """Numbered lines for people: title and date, URL, snippet."""
     date = F.coalesce(F.concat(F.lit("  ("), F.date_format("published", "yyyy-MM-dd"), F.lit(")")), F.lit(""))
@@ -73,20 +83,23 @@ def output_mode(flag: str | None, recipe_format: str | None, to_file: bool, term
 
 
 def write_file(rows: DataFrame, path: str, fmt: str = "json") -> int:
-    """A recipe's small result (at most 200 rows) in one file: a regular file is replaced, a link
-    refused, no folder made."""
+    """A recipe's result in one file, private to its owner: a regular file is replaced, a link
+    refused, no folder made. A JSON document holds at most 200 rows; lines are streamed."""
     if os.path.lexists(path) and not stat.S_ISREG(os.lstat(path).st_mode):
         raise ConfigError(f"{path} is not a regular file")
     if not os.path.isdir(os.path.dirname(os.path.abspath(path))):
         raise ConfigError(f"{path}: no such folder")
     if fmt == "json":
-        text = [r.doc for r in run_doc(rows).collect()]
+        if rows.limit(DOCUMENT_MOST + 1).count() > DOCUMENT_MOST:
+            raise ConfigError(f"a document holds at most {DOCUMENT_MOST} results; write them as jsonl")
+        text = (r.doc for r in run_doc(rows).toLocalIterator())
     elif fmt == "jsonl":
-        text = [r.line for r in jsonl(rows).orderBy("_seq").collect()]
+        text = (r.line for r in jsonl(rows).orderBy("_seq").toLocalIterator())
     else:
-        text = [r.block for r in pretty(rows).orderBy("_seq").collect()]
-    part = f"{path}.part-{os.getpid()}"
-    with open(part, "w", encoding="utf-8") as f:
-        f.writelines(x + "\n" for x in text)
+        text = (r.block for r in pretty(rows).orderBy("_seq").toLocalIterator())
+    part, n = f"{path}.part-{os.getpid()}", 0
+    with os.fdopen(os.open(part, os.O_WRONLY | os.O_CREAT | os.O_TRUNC, 0o600), "w", encoding="utf-8") as f:
+        for n, x in enumerate(text, 1):
+            f.write(x + "\n")
     os.replace(part, path)
-    return len(text)
+    return n

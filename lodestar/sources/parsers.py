@@ -421,7 +421,13 @@ def download_plan(images: DataFrame, most_bytes: int = 5 * 1024 * 1024, limit: i
     return named.withColumn("skip", skip if overwrite else skip.when(F.coalesce("on_disk", F.lit(False)), "exists"))
 
 
+def bing(payloads: DataFrame) -> DataFrame:
+    """A feed where the engine answered with one, else its result page."""
+    is_feed = F.coalesce(F.col("body").rlike(r"(?is)^\s*(<\?xml[^>]*>\s*)?<(rss|feed)\b"), F.lit(False))
+    return web_rss(payloads.where(is_feed)).unionByName(bing_html(payloads.where(~is_feed)))
+
+
 PARSERS = {
-    "duckduckgo": ddg_html, "bing": web_rss, "wikipedia": wikipedia, "hackernews": hackernews, "reddit": feed, "fxtwitter": social, "telegram": channel,
+    "duckduckgo": ddg_html, "bing": bing, "wikipedia": wikipedia, "hackernews": hackernews, "reddit": feed, "fxtwitter": social, "telegram": channel,
     "stackexchange": stackexchange, "openalex": openalex, "crossref": crossref, "pubmed": pubmed, "crates": crates, "npm": npm, "pypi": pypi, "nominatim": nominatim,
 }

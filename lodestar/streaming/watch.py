@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from lodestar.errors import ConfigError
 from lodestar.operators import relation, state
 
 STATE = "watch string, url string, first_seen bigint"
@@ -34,7 +35,15 @@ class WatchState:
         versions = self._versions()
         if not versions:
             return self.spark.createDataFrame([], STATE)
-        return self.spark.read.schema(STATE).parquet(f"{self.path}/v={versions[-1]}")
+        found = self.spark.read.parquet(f"{self.path}/v={versions[-1]}")
+        if found.schema.simpleString() != self.spark.createDataFrame([], STATE).schema.simpleString():
+            raise ConfigError(f"{self.path} holds watch state of another layout: {found.schema.simpleString()}")
+        return found
+
+    def clear(self, watch: str | None = None) -> None:
+        """Forget one watch, or all, in a new version."""
+        left = self.read().where(F.col("watch") != watch) if watch else self.read().limit(0)
+        self.save(left, self.last() + 1)
 
     def save(self, seen: DataFrame, version: int) -> None:
         state.evict_seen(seen).select("watch", "url", F.col("first_seen").cast("bigint")).write.mode("overwrite").parquet(f"{self.path}/v={version}")

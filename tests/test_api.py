@@ -11,6 +11,8 @@ from lodestar.__main__ import main
 from lodestar.api import Lodestar
 from lodestar.config import Config
 from lodestar.errors import ConfigError, LodestarError, NoResultsError
+from lodestar.operators import state
+from lodestar.streaming.watch import WatchState
 
 HITS = json.dumps({"hits": [{"objectID": str(i), "title": f"t{i}", "url": f"https://x.org/{i % 3}", "points": 1, "num_comments": 2, "author": "a", "created_at_i": 1_700_000_000 + i * 86_400} for i in range(5)]})
 WEB = '<li class="b_algo"><h2><a href="https://b.org/">B</a></h2><p>said</p></li>'
@@ -62,3 +64,51 @@ def test_command_line(star, tmp_path, capsys):
     assert main(["engines"]) == 0 and len(capsys.readouterr().out.splitlines()) == 17
     assert main(["search", "q", "--engine", "nope"]) == 2
     assert main(["init", str(tmp_path / "c.toml")]) == 0 and Config().engine in (tmp_path / "c.toml").read_text()
+
+
+def test_bing_page_without_a_feed(spark, star):
+    only_page = spark.createDataFrame([(1, "bing", "q", 200, WEB)], "request_id bigint, engine string, query string, status int, body string")
+    assert [r.url for r in Lodestar(spark, only_page, star.pages).search("q", "bing").collect()] == ["https://b.org/"]
+
+
+def test_arguments_of_steps_count(spark, star):
+    rows = [(1, "hackernews", "q", 200, HITS, "de"), (2, "hackernews", "q", 200, HITS.replace("t0", "other"), "en")]
+    told = spark.createDataFrame(rows, "request_id bigint, engine string, query string, status int, body string, lang string")
+    here = Lodestar(spark, told, star.pages)
+    assert here.search("q", "hn", 1, lang="en").first().title == "other"
+    assert star.fetch(["https://x.org/1"], raw=True).first().text == PAGE
+    cut = star.fetch(["https://x.org/1"], max_chars=4).first()
+    assert (cut.text, cut.chars, cut.truncated) == ("Rust", 4, True)
+
+
+def test_commands_over_state(spark, star, tmp_path, capsys):
+    store = WatchState(spark, str(tmp_path / "w"))
+    store.save(spark.createDataFrame([("a", "u1", 5), ("b", "u2", 6)], "watch string, url string, first_seen bigint"), 0)
+    assert main(["--watches", store.path, "watch-list"]) == 0
+    assert [json.loads(x)["watch"] for x in capsys.readouterr().out.splitlines()] == ["a", "b"]
+    assert main(["--watches", store.path, "--quiet", "watch-clear", "a"]) == 0
+    out = capsys.readouterr()
+    assert [json.loads(x)["watch"] for x in out.out.splitlines()] == ["b"] and out.err.strip() == ""
+    spark.createDataFrame([("k", "v", 1, 1, 2)], "key string, value string, ts bigint, seq bigint, bytes bigint").write.parquet(str(tmp_path / "c"))
+    assert main(["--cache", str(tmp_path / "c"), "cache-info"]) == 0
+    assert json.loads(capsys.readouterr().out) == {"entries": 1, "bytes": 2, "expired": 1}
+    star.pages.write.parquet(str(tmp_path / "p"))
+    assert main(["--pages", str(tmp_path / "p"), "--format", "json", "fetch", "https://x.org/1"]) == 0
+    assert json.loads(capsys.readouterr().out)["title"] == "T"
+    assert main(["--pages", str(tmp_path / "p"), "--format", "json", "fetch", "https://x.org/1", "http://[::1]/"]) == 0
+    out = capsys.readouterr()
+    assert [x.get("kind") for x in json.loads(out.out)] == [None, "blocked_by_policy"] and "1 of 2" in out.err
+    spark.createDataFrame([(1,)], "other int").write.parquet(str(tmp_path / "w" / "v=9"))
+    with pytest.raises(ConfigError):
+        store.read()
+
+
+def test_cache_life_cycle(spark):
+    cache = spark.createDataFrame([("a", "{}", 100, 1, 2), ("b", "not json", 100, 2, 8), ("c", "{}", 1, 3, 2)], "key string, value string, ts bigint, seq bigint, bytes bigint")
+    asked = spark.createDataFrame([("a",), ("b",), ("c",), ("d",)], "key string")
+    hits = state.lookup(asked, cache, 150, ttl=100)
+    assert {r.key for r in hits.where("hit").collect()} == {"a", "b"}
+    assert {r.key for r in state.decoded(hits, "x int").where("hit").collect()} == {"a"}
+    assert {r.key: r.seq for r in state.touch(cache, hits, 9).collect()} == {"a": 9, "b": 9, "c": 3}
+    assert state.clear(cache).count() == 0 and {r.key for r in state.clear(cache, 150, 100).collect()} == {"a", "b"}
+    assert [r.n for r in cache.select(state.entry_bytes("key", "value").alias("n")).collect()] == [3, 9, 3]
