@@ -20,6 +20,7 @@ def vectorised(kind: str) -> Callable[[Callable], Callable[..., Column]]:
             return made()(*columns)
 
         del call.__wrapped__
+        call.made = made
         return call
 
     return wrap

@@ -237,10 +237,26 @@ def images_attr(payloads: DataFrame) -> DataFrame:
 FEED = "array<struct<title:string,link:string,summary:string,author:string,category:string,published:string>>"
 
 
+class _Shallow(ET.TreeBuilder):
+    """A tree that refuses to nest deeper than DEPTH_MOST."""
+
+    depth = 0
+
+    def start(self, tag: str, attrs: dict) -> ET.Element:
+        self.depth += 1
+        if self.depth > DEPTH_MOST:
+            raise ET.ParseError("nested too deep")
+        return super().start(tag, attrs)
+
+    def end(self, tag: str) -> ET.Element:
+        self.depth -= 1
+        return super().end(tag)
+
+
 def feed_entries(body: str) -> list[dict] | None:
-    """Entries of an RSS or Atom document, by local names; None if it is neither."""
+    """Entries of an RSS or Atom document, by local names; None if it is neither or nests too deep."""
     try:
-        root = ET.fromstring(body.strip())  # noqa: S314  entities are not resolved
+        root = ET.fromstring(body.strip(), ET.XMLParser(target=_Shallow()))  # noqa: S314  entities are not resolved
     except (ET.ParseError, RecursionError):
         return None
     local = lambda e: e.tag.rsplit("}", 1)[-1] if isinstance(e.tag, str) else ""

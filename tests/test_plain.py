@@ -9,9 +9,8 @@ from pyspark.sql import functions as F
 
 from lodestar import config, html, sinks
 from lodestar.errors import ConfigError
-from lodestar.operators import control
-from lodestar.functions import text, timefn, web
-from lodestar.operators import relation
+from lodestar.functions import registered, text, timefn, web
+from lodestar.operators import control, relation
 from lodestar.plans import recipe
 from lodestar.sources import parsers, registry
 from lodestar.streaming import watch
@@ -180,3 +179,21 @@ def test_robots_keep_repeated_requests_and_normal_paths(spark):
     assert sorted(got) == [("https://a.example/caf%c3%a9/x", False)] * 3 + [("https://a.example/open", True)]
     body = "User-agent: *\n" + "# pad\n" * 90_000 + "Disallow: /late\n"
     assert web.parse_robots_text(body) == [] and web.parse_robots_text(body.replace("# pad\n", "")) == [("/late", False)]
+
+
+def test_deep_feeds_are_refused():
+    item = "<item><title>x</title></item>"
+    assert len(parsers.feed_entries(f"<rss><channel>{item}</channel></rss>")) == 1
+    assert parsers.feed_entries("<rss>" + "<a>" * 1600 + item + "</a>" * 1600 + "</rss>") is None
+    assert len(parsers.feed_entries("<rss>" + "<a>" * 1400 + item + "</a>" * 1400 + "</rss>")) == 1
+
+
+def test_functions_in_sql(spark):
+    registered.register(spark)
+    got = spark.sql("SELECT split_passages('# One\\nbody') AS p, size(feed_entries('<rss><item><title>t</title></item></rss>')) AS n, parse_robots('User-agent: *\\nDisallow: /x')[0].pattern AS r").first()
+    assert (got.p, got.n, got.r) == (["# One\nbody"], 1, "/x")
+
+
+def test_waits_lie_within_the_backoff(spark):
+    rows = spark.range(200).select(control.backoff_wait_ms(F.lit(3), "id").alias("w")).collect()
+    assert {1600 <= r.w <= 3200 for r in rows} == {True} and len({r.w for r in rows}) > 100
