@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestar.llm import decontaminate, language_id, mixing, pitman_yor, quality, repeats, secret_scan, simhash, token_counts, topk
+from lodestar.llm import decontaminate, group_ranks, language_id, mixing, pitman_yor, quality, repeats, secret_scan, simhash, token_counts, topk
 from lodestar.llm.common import remainder, table
 
 
@@ -74,3 +74,23 @@ def op3_norm_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.remove(table(spark, sf_dir, "documents"))
+
+
+def op12_group_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = table(spark, sf_dir, "sale_lines")
+    whole = lambda x: F.when(F.abs(x) < float("inf"), F.floor(x))  # noqa: E731  null for what is no finite number
+    alone = F.coalesce(remainder("sale_id", 5) == 0, F.lit(False))
+    of_group = lambda x: F.when(alone, F.lit(-1)).otherwise(F.coalesce(x, F.lit(-1))).cast("long")
+    keys = lines.select(
+        F.when(alone, F.lit(-1)).otherwise(F.col("vendor_id")).cast("long").alias("vendor_id"),
+        of_group(F.col("item_id") % 10).alias("part"),
+        of_group(100 * F.year("shipped_at") + F.month("shipped_at")).alias("month"),
+        F.floor(F.col("quantity") / 10).alias("tens"),
+        whole(100 * F.col("discount") + 0.5).alias("percent"),
+        "sale_id",
+        F.col("line_no").cast("long").alias("line_no"),
+        F.col("quantity").cast("long").alias("quantity"),
+        whole(100 * F.col("amount") + 0.5).alias("amount_cents"),
+    )
+    found = group_ranks.ranked(keys, ["vendor_id", "part", "month"], [("tens", True), ("percent", False)], ["sale_id", "line_no", "quantity", "amount_cents"], most=3)
+    return found.drop("tens")

@@ -63,4 +63,29 @@ FROM d JOIN s USING (sid) LEFT JOIN x ON d.doc_id IS NOT DISTINCT FROM x.doc_id
 """
 
 
-ORACLES: dict[str, str] = {"op3_norm_buckets": TOP_K, "op4_mixing": mixing(), "op9_decontaminate": DECONTAMINATE}
+GROUP_RANKS = r"""
+WITH ids AS (
+    SELECT sale_id, list_reduce(list_prepend(4294967295, list_transform(string_split(CAST(sale_id AS VARCHAR), ''), lambda c: CAST(ascii(c) AS BIGINT))),
+        lambda crc, b: list_reduce(list_prepend(xor(crc, b), [0, 0, 0, 0, 0, 0, 0, 0]), lambda x, z: xor(x >> 1, (x & 1) * 3988292384))) AS crc
+    FROM (SELECT DISTINCT sale_id FROM sale_lines WHERE sale_id IS NOT NULL)
+),
+l AS (
+    SELECT s.*, coalesce(xor(crc, 4294967295) % 5 = 0, FALSE) AS alone FROM sale_lines s LEFT JOIN ids USING (sale_id)
+),
+k AS (
+    SELECT CASE WHEN alone THEN -1 ELSE vendor_id END AS vendor_id, CASE WHEN alone THEN -1 ELSE coalesce(item_id % 10, -1) END AS part,
+        CASE WHEN alone THEN -1 ELSE coalesce(100 * year(shipped_at) + month(shipped_at), -1) END AS month,
+        CAST(floor(quantity / 10) AS BIGINT) AS tens, CAST(floor(100 * discount + 0.5) AS BIGINT) AS percent,
+        sale_id, CAST(line_no AS BIGINT) AS line_no, CAST(quantity AS BIGINT) AS quantity, CAST(floor(100 * amount + 0.5) AS BIGINT) AS amount_cents
+    FROM l
+),
+r AS (
+    SELECT *, rank() OVER (PARTITION BY vendor_id, part, month ORDER BY tens DESC NULLS FIRST, percent NULLS FIRST) AS place,
+        row_number() OVER (PARTITION BY vendor_id, part, month ORDER BY tens DESC NULLS FIRST, percent NULLS FIRST, sale_id NULLS LAST, line_no NULLS LAST, quantity NULLS LAST, amount_cents NULLS LAST) AS pos,
+        count(*) OVER (PARTITION BY vendor_id, part, month, tens, percent) AS tied
+    FROM k
+)
+SELECT CAST(vendor_id AS BIGINT) AS vendor_id, CAST(part AS BIGINT) AS part, CAST(month AS BIGINT) AS month, pos, place, sale_id, line_no, quantity, percent, amount_cents, tied FROM r WHERE place <= 3
+"""
+
+ORACLES: dict[str, str] = {"op3_norm_buckets": TOP_K, "op4_mixing": mixing(), "op9_decontaminate": DECONTAMINATE, "op12_group_ranks": GROUP_RANKS}
