@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestar.llm import decontaminate, group_ranks, language_id, mixing, pitman_yor, quality, repeats, secret_scan, simhash, token_counts, topk
+from lodestar.llm import decontaminate, group_ranks, language_id, mixing, pitman_yor, prefix_trie, quality, repeats, secret_scan, simhash, token_counts, topk
 from lodestar.llm.common import remainder, table
 
 
@@ -94,3 +94,21 @@ def op12_group_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     found = group_ranks.ranked(keys, ["vendor_id", "part", "month"], [("tens", True), ("percent", False)], ["sale_id", "line_no", "quantity", "amount_cents"], most=3)
     return found.drop("tens")
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conversations = table(spark, sf_dir, "conversations")
+    turns = prefix_trie.numbered(conversations.select("conv_id", "turn", "role", "text"))
+    convs = turns.select("conv").distinct()
+    turns = prefix_trie.rebuilt(turns, convs, F.col("conv") - F.col("conv") % 5, remainder("conv", 9))
+    found = prefix_trie.build(turns, convs)
+    return found.select(
+        F.col("conv").alias("conv_id"),
+        F.col("depth").cast("long").alias("depth"),
+        F.col("parent").alias("parent_conv_id"),
+        "n_convs",
+        "n_children",
+        "n_leaves",
+        F.col("saved").alias("saved_tokens"),
+        F.lower(F.hex("ends")).alias("ends_sha256"),
+    )
