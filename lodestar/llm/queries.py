@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestar.llm import decontaminate, group_ranks, language_id, mixing, pitman_yor, prefix_trie, quality, repeats, secret_scan, simhash, token_counts, topk
+from lodestar.llm import decontaminate, group_ranks, language_id, mixing, ngram_join, pitman_yor, prefix_trie, quality, repeats, secret_scan, simhash, token_counts, topk
 from lodestar.llm.common import remainder, table
 
 
@@ -76,6 +76,11 @@ def op5_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.remove(table(spark, sf_dir, "documents"))
 
 
+def op11_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = ngram_join.cluster(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.col("n").cast("long").alias("n_shingles"), "component_id")
+
+
 def op12_group_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = table(spark, sf_dir, "sale_lines")
     whole = lambda x: F.when(F.abs(x) < float("inf"), F.floor(x))  # noqa: E731  null for what is no finite number
