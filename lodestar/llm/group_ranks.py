@@ -35,7 +35,10 @@ def _changes(batch: pa.RecordBatch, columns: Sequence[int]) -> np.ndarray:
     for i in columns:
         col = batch.column(i)
         a, b = col.slice(0, len(col) - 1), col.slice(1)
-        out |= pc.fill_null(pc.not_equal(a, b), False).to_numpy(zero_copy_only=False)
+        differ = pc.fill_null(pc.not_equal(a, b), False)
+        if pa.types.is_floating(col.type):  # NaN is one value
+            differ = pc.and_not(differ, pc.fill_null(pc.and_(pc.is_nan(a), pc.is_nan(b)), False))
+        out |= differ.to_numpy(zero_copy_only=False)
         if col.null_count:
             out |= pc.xor(pc.is_null(a), pc.is_null(b)).to_numpy(zero_copy_only=False)
     return out

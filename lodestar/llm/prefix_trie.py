@@ -4,7 +4,7 @@ Turns are dictionary-encoded: each distinct (role, text) has one integer. Conver
 whole sequence are one class with a weight, so exact copies cost one row. The trie is built by
 most-significant-digit radix partitioning: a bucket holds the classes that share their first d turns,
 and is dealt into the buckets of the next turn by one aggregate and one join a round, in which a hot
-bucket may be split anywhere. A bucket of at most ``LOCAL`` turns is finished in one task by a multikey
+bucket may be split anywhere. A bucket of at most ``LOCAL`` turns (more at great depth) is finished in one task by a multikey
 quicksort whose recursion emits the nodes; a bucket of one class is a chain and is expanded in place.
 Sums over subtrees are taken in the task, and for the dealt buckets level by level from the deepest.
 
@@ -27,6 +27,9 @@ from lodestar.llm.common import stored
 
 #: A bucket of at most this many turns is finished in one task.
 LOCAL = 20_000
+#: From this depth on a bucket may be larger: what shares so many turns is few long conversations, and each round
+#: deals one turn only.
+DEEP, DEEP_LOCAL = 32, 1_000_000
 #: Turns of a conversation are kept in pieces of this many.
 PIECE = 128
 #: Bytes of a list of ids that are joined in one piece.
@@ -254,14 +257,14 @@ def build(turns: DataFrame, convs: DataFrame) -> DataFrame:
     if root[0] is None:
         return turns.sparkSession.createDataFrame([], NODE)
     live = found.join(first, "conv", "left").select(F.lit(root[0]).alias("bucket"), F.lit(None).cast("bigint").alias("parent"), F.lit(0).alias("depth"), F.lit(root[2]).alias("n"), F.lit(root[1]).alias("size"), "*")
-    big = (F.col("n") > 1) & (F.col("size") > LOCAL)
+    big = lambda d: (F.col("n") > 1) & (F.col("size") > (LOCAL if d < DEEP else DEEP_LOCAL))
     settled: list[DataFrame] = []  # buckets that are finished without another round
     dealt: list[DataFrame] = []  # (conv, parent, n_convs, cost, ends) of the nodes dealt at each depth
     depth = 0
     while True:
         live = stored(live)
-        settled.append(live.where(~big).drop("tids", "nbs"))
-        live = live.where(big)
+        settled.append(live.where(~big(depth)).drop("tids", "nbs"))
+        live = live.where(big(depth))
         if depth == 0:
             dealt.append(live.limit(1).select("bucket", "parent", F.lit(root[3]).alias("n_convs"), F.lit(0).cast("bigint").alias("cost"), F.lit(bytes(root[4] or NOTHING)).alias("ends")))
         if live.isEmpty():
@@ -279,7 +282,7 @@ def build(turns: DataFrame, convs: DataFrame) -> DataFrame:
             F.max(F.when(F.col("len") == depth + 1, F.col("sha"))).alias("ends"),
         )
         kids = stored(kids)
-        dealt.append(kids.where(big).select(F.col("child").alias("bucket"), F.col("bucket").alias("parent"), "n_convs", "cost", "ends"))
+        dealt.append(kids.where(big(depth + 1)).select(F.col("child").alias("bucket"), F.col("bucket").alias("parent"), "n_convs", "cost", "ends"))
         live = live.drop("n", "size", "parent", "depth").join(kids.select("bucket", "tid", "child", "n", "size"), ["bucket", "tid"])
         live = live.select(F.col("child").alias("bucket"), F.col("bucket").alias("parent"), F.lit(depth + 1).alias("depth"), "n", "size", "conv", "w", "len", "sha", "tids", "nbs")
         depth += 1
