@@ -75,25 +75,29 @@ def rebuilt(turns: DataFrame, convs: DataFrame, base: Column, head: Column) -> D
     return own.unionByName(first)
 
 
-def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sorted (rep, conv) as pieces of comma-joined ids: (rep, task, piece, joined)."""
-    task = TaskContext.get().partitionId()
-    rep, held, size, piece = None, [], 0, 0
+def _joined(most: int):
+    """Sorted (rep, conv) as pieces of about ``most`` bytes of comma-joined ids: (rep, task, piece, joined)."""
 
-    def out() -> pa.RecordBatch:
-        return pa.RecordBatch.from_pydict({"rep": [rep], "task": pa.array([task], pa.int32()), "piece": pa.array([piece], pa.int32()), "joined": [",".join(held).encode()]})
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task = TaskContext.get().partitionId()
+        rep, held, size, piece = None, [], 0, 0
 
-    for batch in batches:
-        for r, c in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            if r != rep or size > JOINED:
-                if held:
-                    yield out()
-                piece = piece + 1 if r == rep else 0
-                rep, held, size = r, [], 0
-            held.append(str(c))
-            size += len(held[-1]) + 1
-    if held:
-        yield out()
+        def out() -> pa.RecordBatch:
+            return pa.RecordBatch.from_pydict({"rep": [rep], "task": pa.array([task], pa.int32()), "piece": pa.array([piece], pa.int32()), "joined": [",".join(held).encode()]})
+
+        for batch in batches:
+            for r, c in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if r != rep or size > most:
+                    if held:
+                        yield out()
+                    piece = piece + 1 if r == rep else 0
+                    rep, held, size = r, [], 0
+                held.append(str(c))
+                size += len(held[-1]) + 1
+        if held:
+            yield out()
+
+    return work
 
 
 def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -122,7 +126,7 @@ def classes(turns: DataFrame, convs: DataFrame) -> DataFrame:
     marks = stored(convs.select("conv").join(marks, "conv", "left").fillna(0))
     found = stored(marks.groupBy("len", "x", "y").agg(F.min("conv").alias("rep"), F.count("*").alias("w")))
     members = marks.join(found.where("w > 1"), ["len", "x", "y"]).select("rep", "conv")
-    pieces = members.repartitionByRange("rep", "conv").sortWithinPartitions("rep", "conv").mapInArrow(_joined, "rep bigint, task int, piece int, joined binary")
+    pieces = members.repartitionByRange("rep", "conv").sortWithinPartitions("rep", "conv").mapInArrow(_joined(JOINED), "rep bigint, task int, piece int, joined binary")
     hashes = pieces.repartition("rep").sortWithinPartitions("rep", "task", "piece").mapInArrow(_hashed, "rep bigint, sha binary")
     one = F.unhex(F.sha2(F.col("rep").cast("string").cast("binary"), 256))
     alone = found.where("w = 1").select(F.col("rep").alias("conv"), "w", "len", one.alias("sha"))
@@ -130,19 +134,13 @@ def classes(turns: DataFrame, convs: DataFrame) -> DataFrame:
     return stored(alone.unionByName(more))
 
 
-def _start(depth: int) -> int:
-    """The turns before those a bucket at ``depth`` still needs, in whole pieces."""
-    return max(depth - 1, 0) // PIECE * PIECE
-
-
-def _finish(items: list[tuple[int, int, list, list, bytes]], depth: int, parent: int | None) -> list[list]:
+def _finish(items: list[tuple[int, int, list, list, bytes]], depth: int, parent: int | None, base: int) -> list[list]:
     """The nodes of a bucket: ``items`` are (conv, weight, codes, bytes, hash) with the same first ``depth`` codes,
-    of which ``_start(depth)`` are left out.
+    of which the first ``base`` are left out.
 
     Multikey quicksort with a stack of its own: a part is dealt into smaller, equal and larger codes at its depth;
     the equal ones share a node one deeper. Parents come before their children in what is returned.
     """
-    base = _start(depth)
     nodes: list[list] = []  # depth, conv, parent, n_convs, n_children, n_leaves, saved, ends, index of the parent
 
     def opened(part: list, at: int, above: int) -> int:
@@ -183,10 +181,11 @@ def _finish(items: list[tuple[int, int, list, list, bytes]], depth: int, parent:
 
 
 def _finished(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (bucket, conv, piece, parent, depth, w, sha, tids, nbs), sorted, as nodes."""
+    """Rows (bucket, conv, piece, parent, depth, start, w, sha, tids, nbs), sorted, as nodes; the turns before
+    ``start`` are left out."""
     names = NODE.replace(",", "").split()[::2]
     kinds = [pa.int32(), *[pa.int64()] * 6, pa.binary()]
-    bucket, items, depth, parent, turns = None, [], 0, None, 0
+    bucket, items, depth, parent, base = None, [], 0, None, 0
     done: list[list] = []
 
     def out() -> pa.RecordBatch:
@@ -195,11 +194,11 @@ def _finished(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return made
 
     for batch in batches:
-        for b, conv, _, above, at, w, sha, tids, nbs in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+        for b, conv, _, above, at, start, w, sha, tids, nbs in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             if b != bucket:
                 if items:
-                    done += _finish(items, depth, parent)
-                bucket, items, depth, parent = b, [], at, above
+                    done += _finish(items, depth, parent, base)
+                bucket, items, depth, parent, base = b, [], at, above, start
             if items and items[-1][0] == conv:
                 items[-1][2].extend(tids)
                 items[-1][3].extend(nbs)
@@ -208,7 +207,7 @@ def _finished(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if len(done) > 50_000:
                 yield out()
     if items:
-        done += _finish(items, depth, parent)
+        done += _finish(items, depth, parent, base)
     if done:
         yield out()
 
@@ -292,8 +291,9 @@ def build(turns: DataFrame, convs: DataFrame) -> DataFrame:
         rest = rest.unionByName(s)
     rest = stored(rest)
     chains = _chains(rest.where("n = 1"), pieces)
-    needed = F.col("piece").isNull() | (F.col("piece") * PIECE >= F.floor((F.greatest(F.col("depth"), F.lit(1)) - 1) / PIECE) * PIECE)
-    small = rest.where("n > 1").join(pieces, "conv", "left").where(needed).select("bucket", "conv", F.coalesce("piece", F.lit(0)).alias("piece"), "parent", "depth", "w", "sha", "tids", "nbs")
+    start = (F.floor((F.greatest(F.col("depth"), F.lit(1)) - 1) / PIECE) * PIECE).cast("int")
+    small = rest.where("n > 1").withColumn("start", start).join(pieces, "conv", "left").withColumn("piece", F.coalesce("piece", F.lit(0)))
+    small = small.where(F.col("tids").isNull() | (F.col("piece") * PIECE >= F.col("start"))).select("bucket", "conv", "piece", "parent", "depth", "start", "w", "sha", "tids", "nbs")
     small = small.repartition("bucket").sortWithinPartitions("bucket", "depth", "conv", "piece").mapInArrow(_finished, NODE)
     nodes = stored(chains.unionByName(small))
 
