@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lodestar.queries import control, pages, results, sources, texts
+from lodestar.queries import control, pages, results, sources, stateful, texts
 from lodestar.queries.base import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "control", "pages", "results", "sources", "texts"]
+__all__ = ["ORACLES", "QUERIES", "control", "pages", "results", "sources", "stateful", "texts"]

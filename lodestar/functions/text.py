@@ -214,7 +214,7 @@ def split_passages_text(text: str) -> list[str]:
     out: list[str] = []
     cur: list[str] = []
     size, bare = 0, False
-    for line in filter(None, (x.strip() for x in text.splitlines() if True)):
+    for line in filter(None, (x.strip() for x in text.split("\n"))):
         heading = line.startswith("#")
         if heading and not bare and cur:
             out.append("\n".join(cur))

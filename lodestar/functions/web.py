@@ -378,7 +378,7 @@ def parse_robots_text(body: str) -> list[tuple[str, bool]]:
     data = body.encode()
     if len(data) > ROBOTS_MOST:
         body = data[: data.rfind(b"\n", 0, ROBOTS_MOST) + 1].decode()
-    for line in body.lstrip("﻿").splitlines():
+    for line in body.lstrip("﻿").split("\n"):
         key, colon, value = line.split("#", 1)[0].strip().partition(":")
         if not colon:
             continue

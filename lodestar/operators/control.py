@@ -48,19 +48,32 @@ def gate(pages: DataFrame, allow_private: bool = False) -> DataFrame:
     return pages.withColumn("gate", kind)
 
 
+#: Lengths at which the literal starts of robots patterns are indexed.
+ROBOTS_STEPS = (0, 1, 2, 3, 4, 6, 8, 12, 16, 24, 32, 48, 64, 96, 128)
+
+
+def _start_key(text: Column, length: Column) -> Column:
+    return F.xxhash64(length, F.substring(text, 1, length))
+
+
 def robots_gate(requests: DataFrame, rules: DataFrame) -> DataFrame:
     """requests (url) with ``robots_allowed``: the longest matching rule of the origin, allow before
-    disallow; no rule allows. Rules are joined by origin; the best is an aggregate, so a hot origin
-    is combined before the shuffle."""
-    own = requests.withColumns({"origin": web.origin("url"), "_path": web.normal_path(web.path_query("url"))})
-    r = rules.select(F.col("origin").alias("_origin"), "pattern", "allow")
-    # Requests that are alike share a verdict, and each keeps its row.
-    asked = own.groupBy(*requests.columns, "origin", "_path").agg(F.count("*").alias("_times"))
-    met = asked.join(r, (F.col("origin") == F.col("_origin")) & web.robots_match("pattern", "_path"), "left")
-    best = F.max(F.when(F.col("pattern").isNotNull(), F.struct(F.octet_length("pattern"), "allow")))
-    found = met.groupBy(*requests.columns).agg(best.alias("_best"), F.max("_times").alias("_times"))
-    found = found.select(*requests.columns, F.coalesce(F.col("_best.allow"), F.lit(True)).alias("robots_allowed"), F.explode(F.sequence(F.lit(1), F.col("_times"))).alias("_time"))
-    return found.drop("_time")
+    disallow; no rule allows.
+
+    A rule is indexed by its literal start (what stands before the first ``*`` or ``$``), cut to one of
+    ROBOTS_STEPS lengths; a path asks for its own starts of these lengths. So a path meets the rules that
+    share a start with it, not all of its origin, and a hot origin is dealt out by the starts. Requests
+    that are alike are judged once."""
+    own = requests.withColumns({"_origin": web.origin("url"), "_path": web.normal_path(web.path_query("url"))})
+    steps = F.array(*map(F.lit, ROBOTS_STEPS))
+    literal = F.length(F.regexp_extract("pattern", r"^[^*$]*", 0))
+    step = F.array_max(F.filter(steps, lambda s: s <= literal))
+    r = rules.where("pattern is not null").select(F.col("origin").alias("_origin"), "pattern", "allow", _start_key(F.col("pattern"), step).alias("_key"))
+    asked = own.where("_origin is not null and _path is not null").select("_origin", "_path").distinct()
+    starts = F.transform(F.filter(steps, lambda s: s <= F.length("_path")), lambda s: _start_key(F.col("_path"), s))
+    met = asked.withColumn("_key", F.explode(starts)).join(r, ["_origin", "_key"]).where(web.robots_match("pattern", "_path"))
+    best = met.groupBy("_origin", "_path").agg(F.max(F.struct(F.octet_length("pattern"), "allow")).alias("_best"))
+    return own.join(best, ["_origin", "_path"], "left").select(*requests.columns, F.coalesce(F.col("_best.allow"), F.lit(True)).alias("robots_allowed"))
 
 
 def batch_summary(items: DataFrame) -> DataFrame:
@@ -81,10 +94,9 @@ def backoff_ms(attempt: Column, base: int = BASE_MS, most: int = MOST_MS) -> Col
 
 
 def backoff_wait_ms(attempt: Column, key: Column | str, base: int = BASE_MS, most: int = MOST_MS) -> Column:
-    """A wait between half of the backoff and all of it, by a hash of the request and attempt: reruns agree."""
+    """A wait from nothing to all of the backoff, by a hash of the request and attempt: reruns agree."""
     whole = backoff_ms(attempt, base, most)
-    share = F.pmod(F.xxhash64(key if isinstance(key, Column) else F.col(key), attempt), F.lit(1 << 20)) / float(1 << 20)
-    return F.floor(whole / 2 + whole / 2 * share).cast("bigint")
+    return F.pmod(F.xxhash64(key if isinstance(key, Column) else F.col(key), attempt), whole + 1)
 
 
 def retry_after_s(value: Column, now: Column) -> Column:

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from lodestar.operators.relation import dedupe
 
@@ -97,10 +100,16 @@ def clear(cache: DataFrame, now: int | None = None, ttl: int = CACHE_TTL) -> Dat
 
 
 def decoded(answers: DataFrame, schema: str) -> DataFrame:
-    """Answers of ``lookup`` with their values read as JSON; what cannot be read is a miss."""
-    value = F.from_json("value", schema, {"mode": "PERMISSIVE"})
-    good = F.get_json_object("value", "$").isNotNull()
-    return answers.withColumn("hit", F.col("hit") & F.coalesce(good, F.lit(False))).withColumn("value", F.when(F.col("hit"), value))
+    """Answers of ``lookup`` with their values read as JSON; what cannot be read, or lacks a field that the
+    schema declares NOT NULL or has it in another type, is a miss. If it declares none, an object without any
+    of the fields is one."""
+    kind = StructType.fromDDL(schema)
+    needed = [f.name for f in kind if not f.nullable] or None
+    loose = StructType([StructField(f.name, f.dataType) for f in kind])
+    read = answers.withColumn("_read", F.from_json("value", loose, {"mode": "PERMISSIVE"}))
+    found = [F.col("_read")[f.name].isNotNull() for f in kind if needed is None or f.name in needed]
+    good = F.get_json_object("value", "$").isNotNull() & reduce(Column.__or__ if needed is None else Column.__and__, found)
+    return read.withColumn("hit", F.col("hit") & F.coalesce(good, F.lit(False))).withColumn("value", F.when(F.col("hit"), F.col("_read"))).drop("_read")
 
 
 def cache_info(cache: DataFrame, now: int, ttl: int = CACHE_TTL) -> DataFrame:

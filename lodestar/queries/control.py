@@ -112,12 +112,18 @@ def backoff_schedule(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", control.backoff_ms(F.col("event_id") % 15).alias("cap_ms"))
 
 
-@query("SELECT event_id, TRUE AS inside FROM events")
+@query(
+    "WITH c AS (SELECT event_id % 15 AS attempt, CAST(least(400 * pow(2, least(event_id % 15, 10)), 8000) AS BIGINT) AS cap FROM events), n AS (SELECT attempt, cap, count(*) AS n FROM c GROUP BY ALL) "
+    "SELECT attempt, n, CAST(0 AS BIGINT) AS outside, n >= 200 AS low, n >= 200 AS high, n >= 200 AS even FROM n"
+)
 def backoff_wait(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A wait is between half of the backoff and all of it."""
+    """Waits of each attempt: none outside [0, cap]; of many, some in its lowest and its highest tenth, half below its half."""
     n = F.col("event_id") % 15
-    wait, most = control.backoff_wait_ms(n, F.col("event_id")), control.backoff_ms(n)
-    return table(spark, sf_dir, "events").select("event_id", ((wait * 2 >= most) & (wait <= most)).alias("inside"))
+    waits = table(spark, sf_dir, "events").select(n.alias("attempt"), (control.backoff_wait_ms(n, F.col("event_id")) / control.backoff_ms(n)).alias("share"))
+    share, many = F.col("share"), F.count("*") >= 200
+    outside = F.count_if((share < 0) | (share > 1)).alias("outside")
+    even = F.abs(F.avg((share < 0.5).cast("double")) - 0.5) < 0.15
+    return waits.groupBy("attempt").agg(F.count("*").alias("n"), outside, (many & (F.min("share") < 0.1)).alias("low"), (many & (F.max("share") > 0.9)).alias("high"), (many & even).alias("even"))
 
 
 golden(

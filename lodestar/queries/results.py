@@ -234,11 +234,15 @@ def cache_put(spark: SparkSession, sf_dir: str) -> DataFrame:
     return state.put(c, c.where("bytes % 4 < 2").withColumn("value", empty), most_bytes=5000).select("key", "value", "ts")
 
 
-@query("""SELECT '{"query":"q","engine":"bing","count":' || count(*) || ',"results":[' || string_agg('{"title":"t' || p_partkey || '","url":"u","page_url":"p","width":' || CASE WHEN p_partkey % 2 = 0 THEN 'null' ELSE '7' END || ',"height":9,"format":"jpg"}', ',' ORDER BY p_partkey) || '],"downloaded":' || count(*) || '}' AS doc FROM part""")
+@query("""SELECT p_partkey // 100 AS request_id, '{"query":"q","engine":"bing","count":' || count(*) || ',"results":[' || string_agg('{"title":"t' || p_partkey || '","url":"u","page_url":"p","width":' || CASE WHEN p_partkey % 2 = 0 THEN 'null' ELSE '7' END || ',"height":9,"format":"jpg"}', ',' ORDER BY p_partkey) || '],"downloaded":' || count(*) FILTER (p_partkey % 3 = 0) || '}' AS doc FROM part GROUP BY ALL""")
 def sink_images_doc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A document for each request."""
     k = F.col("p_partkey")
-    rows = table(spark, sf_dir, "part").select(k.alias("_seq"), F.concat(F.lit("t"), k).alias("title"), F.lit("u").alias("url"), F.lit("p").alias("page_url"), F.when(k % 2 == 1, 7).alias("width"), F.lit(9).alias("height"), F.lit("jpg").alias("format"))
-    return sinks.images_doc(rows, "q", "bing", downloaded=True)
+    rows = table(spark, sf_dir, "part").select(
+        F.floor(k / 100).alias("request_id"), k.alias("_seq"), F.concat(F.lit("t"), k).alias("title"), F.lit("u").alias("url"), F.lit("p").alias("page_url"),
+        F.when(k % 2 == 1, 7).alias("width"), F.lit(9).alias("height"), F.lit("jpg").alias("format"), (k % 3 == 0).alias("written"),
+    )
+    return sinks.images_doc(rows, "q", "bing", downloaded=True, by=("request_id",))
 
 
 golden(

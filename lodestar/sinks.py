@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 import stat
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestar.errors import ConfigError
@@ -32,10 +32,20 @@ def jsonl(rows: DataFrame) -> DataFrame:
     return rows.select("_seq", F.to_json(result_struct(), KEEP_NULLS).alias("line"))
 
 
-def _ordered(rows: DataFrame, item: Column) -> DataFrame:
-    """All rows of a document, in order. A document holds at most 200 results by the limits upstream."""
-    listed = F.sort_array(F.collect_list(F.struct("_seq", item.alias("item"))))
-    return rows.agg(F.count("*").alias("count"), F.transform(listed, lambda x: x["item"]).alias("results"))
+def _ordered(rows: DataFrame, item: Column, *by: str, **more: Column) -> DataFrame:
+    """All rows of a document, or of one for each value of ``by``, in order, with their count.
+
+    A document holds at most DOCUMENT_MOST rows: more are an error, not a larger document, and no more than
+    one row beyond are gathered."""
+    if by:
+        place = F.row_number().over(Window.partitionBy(*by).orderBy("_seq"))
+        rows = rows.withColumn("_place", place).where(F.col("_place") <= DOCUMENT_MOST + 1)
+    else:
+        rows = rows.orderBy("_seq").limit(DOCUMENT_MOST + 1)
+    listed = F.transform(F.sort_array(F.collect_list(F.struct("_seq", item.alias("item")))), lambda x: x["item"])
+    refuse = F.raise_error(F.lit(f"a document holds at most {DOCUMENT_MOST} results; write them as jsonl"))
+    made = rows.groupBy(*by).agg(F.count("*").alias("count"), listed.alias("results"), *(c.alias(n) for n, c in more.items()))
+    return made.withColumn("results", F.when(F.col("count") <= DOCUMENT_MOST, F.col("results")).otherwise(refuse))
 
 
 def search_doc(rows: DataFrame, query: str, engine: str) -> DataFrame:
@@ -46,10 +56,11 @@ def run_doc(rows: DataFrame) -> DataFrame:
     return _ordered(rows, result_struct()).select(as_json("count", "results").alias("doc"))
 
 
-def images_doc(rows: DataFrame, query: str, engine: str, downloaded: bool = False) -> DataFrame:
-    made = _ordered(rows, F.struct("title", "url", "page_url", "width", "height", "format"))
-    extra = [F.col("count").alias("downloaded")] if downloaded else []
-    return made.select(as_json(F.lit(query).alias("query"), F.lit(engine).alias("engine"), "count", "results", *extra).alias("doc"))
+def images_doc(rows: DataFrame, query: str, engine: str, downloaded: bool = False, by: tuple[str, ...] = ()) -> DataFrame:
+    """``downloaded``: also how many of the rows have ``written``."""
+    more = {"downloaded": F.count_if(F.coalesce("written", F.lit(False)))} if downloaded else {}
+    made = _ordered(rows, F.struct("title", "url", "page_url", "width", "height", "format"), *by, **more)
+    return made.select(*by, as_json(F.lit(query).alias("query"), F.lit(engine).alias("engine"), "count", "results", *more).alias("doc"))
 
 
 def fetch_item() -> Column:
@@ -65,8 +76,7 @@ def fetch_batch(rows: DataFrame) -> DataFrame:
 
 def fetch_doc(rows: DataFrame) -> DataFrame:
     """One document: the object of a single page, else the array of all, in order. The list of pages is the caller's."""
-    listed = F.transform(F.sort_array(F.collect_list(F.struct("_seq", "item"))), lambda x: x["item"])
-    made = fetch_batch(rows).agg(listed.alias("items"))
+    made = _ordered(fetch_batch(rows), F.col("item")).withColumnRenamed("results", "items")
     return made.select(F.when(F.size("items") == 1, F.get("items", F.lit(0))).otherwise(F.concat(F.lit("["), F.array_join("items", ","), F.lit("]"))).alias("doc"))
 
 

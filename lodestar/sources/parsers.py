@@ -403,20 +403,32 @@ def channel_posts(body: str) -> dict:
     return {"posts": posts, "oldest": min(ids, default=None), "has_channel": first(root, "tgme_channel_info_header") is not None}
 
 
-def channel(payloads: DataFrame, base: str = "https://t.me") -> DataFrame:
-    """Posts of channel pages. ``payloads`` also has ``channel``; ``oldest`` is the cursor of the page before."""
+@vectorised("posts array<struct<url:string,post_channel:string,post_id:bigint,published:string,text:string,views:string>>, oldest bigint, has_channel boolean")
+def channel_page(body: pd.Series) -> pd.DataFrame:
+    return pd.DataFrame([channel_posts(b or "") for b in body], columns=["posts", "oldest", "has_channel"]).astype({"oldest": "Int64"})
 
-    @F.pandas_udf("posts array<struct<url:string,post_channel:string,post_id:bigint,published:string,text:string,views:string>>, oldest bigint, has_channel boolean")
-    def run(body: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([channel_posts(b or "") for b in body], columns=["posts", "oldest", "has_channel"]).astype({"oldest": "Int64"})
 
-    rows = payloads.select("request_id", "channel", run("body").alias("_page"))
-    bad = (F.size("_page.posts") == 0) & ~F.col("_page.has_channel")
-    rows = rows.select("request_id", "channel", bad.alias("_bad"), F.col("_page.oldest").alias("oldest"), F.posexplode_outer("_page.posts").alias("_pos", "_it"))
+def _post(base: str) -> Made:
+    """The parts of a row made of a post ``_it`` of ``channel``."""
     it = F.col("_it")
     url = F.coalesce(web.http_url(it["url"]), F.concat(F.lit(base.rstrip("/") + "/"), T.encode_path(it["post_channel"], keep_slashes=False), F.lit("/"), it["post_id"]))
     seen = F.when(it["views"] == "", "").otherwise(F.concat(it["views"], F.lit(" views")))
-    return _rows(rows, F.concat(F.lit("@"), F.col("channel")), url, T.snippet(T.join_meta(it["text"], seen)), timefn.iso(it["published"]))
+    return {"title": F.concat(F.lit("@"), F.col("channel")), "url": url, "snippet": T.snippet(T.join_meta(it["text"], seen)), "published": timefn.iso(it["published"])}
+
+
+def channel(payloads: DataFrame, base: str = "https://t.me") -> DataFrame:
+    """Posts of channel pages. ``payloads`` also has ``channel``; ``oldest`` is the cursor of the page before."""
+    rows = payloads.select("request_id", "channel", channel_page("body").alias("_page"))
+    bad = (F.size("_page.posts") == 0) & ~F.col("_page.has_channel")
+    rows = rows.select("request_id", "channel", bad.alias("_bad"), F.col("_page.oldest").alias("oldest"), F.posexplode_outer("_page.posts").alias("_pos", "_it"))
+    return _rows(rows, *_post(base).values())
+
+
+def posts(rows: DataFrame, base: str = "https://t.me") -> DataFrame:
+    """Result rows of posts (request_id, channel, _seq, _it, kind); a row with a kind is a failure."""
+    made = _post(base)
+    good = F.col("kind").isNull() & made["url"].isNotNull()
+    return rows.where(F.col("kind").isNotNull() | good).select("request_id", "_seq", *(F.when(good, c).alias(n) for n, c in made.items()), "kind")
 
 
 def image_names(rows: DataFrame) -> DataFrame:

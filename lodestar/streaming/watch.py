@@ -9,59 +9,57 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from lodestar.errors import ConfigError
 from lodestar.operators import relation, state
+from lodestar.storage import Conflict, Snapshot, StateTable
 
 STATE = "watch string, url string, first_seen bigint"
 
 
 class WatchState:
-    """The seen-set of a folder: one Parquet table for each version, the last complete one counts."""
+    """The seen-set of a folder, in versions of a state table: what two runs of one watch saw is never lost."""
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path
-
-    def _versions(self) -> list[int]:
-        jvm = self.spark.sparkContext._jvm
-        root = jvm.org.apache.hadoop.fs.Path(self.path)
-        fs = root.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
-        if not fs.exists(root):
-            return []
-        names = [s.getPath().getName() for s in fs.listStatus(root)]
-        done = [n for n in names if n.startswith("v=") and fs.exists(jvm.org.apache.hadoop.fs.Path(f"{self.path}/{n}/_SUCCESS"))]
-        return sorted(int(n[2:]) for n in done)
+        self.table = StateTable(spark, path, STATE)
 
     def read(self) -> DataFrame:
-        versions = self._versions()
-        if not versions:
-            return self.spark.createDataFrame([], STATE)
-        found = self.spark.read.parquet(f"{self.path}/v={versions[-1]}")
-        if found.schema.simpleString() != self.spark.createDataFrame([], STATE).schema.simpleString():
-            raise ConfigError(f"{self.path} holds watch state of another layout: {found.schema.simpleString()}")
-        return found
-
-    def clear(self, watch: str | None = None) -> None:
-        """Forget one watch, or all, in a new version."""
-        left = self.read().where(F.col("watch") != watch) if watch else self.read().limit(0)
-        self.save(left, self.last() + 1)
-
-    def save(self, seen: DataFrame, version: int) -> None:
-        state.evict_seen(seen).select("watch", "url", F.col("first_seen").cast("bigint")).write.mode("overwrite").parquet(f"{self.path}/v={version}")
+        return self.table.read()
 
     def last(self) -> int:
-        return max(self._versions(), default=-1)
-
+        return self.table.last()
 
-def run_batch(rows: DataFrame, store: WatchState, watch: str, out: str, version: int, *, limit: int | None = None, sort: str | None = None, now: int | None = None) -> None:
-    """Filter, combine, write, record: rows that a limit cut stay unseen. Written by version, so a
-    batch that runs again after a failure replaces its own output."""
-    if version <= store.last():
+    def clear(self, watch: str | None = None) -> None:
+        """Forget one watch, or all, in a new version."""
+        self.table.update(lambda seen: seen.rows.where(F.col("watch") != watch) if watch else seen.rows.limit(0))
+
+    def save(self, seen: DataFrame, version: int, **facts: object) -> None:
+        """Commit the version after ``version - 1``; a rival that did so first makes this a ``Conflict``."""
+        self.table.commit(state.evict_seen(seen).select("watch", "url", F.col("first_seen").cast("bigint")), version - 1, **facts)
+
+    def unseen(self, rows: DataFrame, watch: str) -> tuple[DataFrame, Snapshot]:
+        """The rows that the watch has not seen, and the version that says so: what is recorded goes on top of it."""
+        found = self.table.snapshot()
+        return state.filter_new(rows, found.rows.where(F.col("watch") == watch)), found
+
+
+def run_batch(rows: DataFrame, store: WatchState, watch: str, out: str, version: int, *, limit: int | None = None, sort: str | None = None, now: int | None = None, attempts: int = 10) -> None:
+    """Filter, combine, write, record: rows that a limit cut stay unseen. A batch that runs again after a
+    failure replaces its own output, and so does one that a rival run of the watch overtook."""
+    done = f"{watch} {out}"
+    for _ in range(attempts):
+        unseen, found = store.unseen(rows, watch)
+        if version <= found.facts.get(done, -1):
+            return
+        new = relation.combine(unseen, sort=sort, limit=limit)
+        new.write.mode("overwrite").parquet(f"{out}/batch={version}")
+        written = rows.sparkSession.read.schema(new.schema).parquet(f"{out}/batch={version}")
+        seen = state.record(found.rows, written, watch, int(time.time()) if now is None else now)
+        try:
+            store.save(seen, found.version + 1, **{done: version})
+        except Conflict:
+            continue
         return
-    seen = store.read()
-    new = relation.combine(state.filter_new(rows, seen.where(F.col("watch") == watch)), sort=sort, limit=limit)
-    new.write.mode("overwrite").parquet(f"{out}/batch={version}")
-    written = rows.sparkSession.read.schema(new.schema).parquet(f"{out}/batch={version}")
-    store.save(state.record(seen, written, watch, int(time.time()) if now is None else now), version)
+    raise Conflict(f"{watch}: overtaken {attempts} times")
 
 
 def start(stream: DataFrame, store: WatchState, watch: str, out: str, checkpoint: str, **options: object) -> StreamingQuery:

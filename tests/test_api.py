@@ -12,6 +12,7 @@ from lodestar.api import Lodestar
 from lodestar.config import Config
 from lodestar.errors import ConfigError, LodestarError, NoResultsError
 from lodestar.operators import state
+from lodestar.storage import StateTable
 from lodestar.streaming.watch import WatchState
 
 HITS = json.dumps({"hits": [{"objectID": str(i), "title": f"t{i}", "url": f"https://x.org/{i % 3}", "points": 1, "num_comments": 2, "author": "a", "created_at_i": 1_700_000_000 + i * 86_400} for i in range(5)]})
@@ -98,17 +99,17 @@ def test_commands_over_state(spark, star, tmp_path, capsys):
     assert main(["--pages", str(tmp_path / "p"), "--format", "json", "fetch", "https://x.org/1", "http://[::1]/"]) == 0
     out = capsys.readouterr()
     assert [x.get("kind") for x in json.loads(out.out)] == [None, "blocked_by_policy"] and "1 of 2" in out.err
-    spark.createDataFrame([(1,)], "other int").write.parquet(str(tmp_path / "w" / "v=9"))
+    StateTable(spark, str(tmp_path / "v"), "other int").commit(spark.createDataFrame([(1,)], "other int"), -1)
     with pytest.raises(ConfigError):
-        store.read()
+        WatchState(spark, str(tmp_path / "v")).read()
 
 
 def test_cache_life_cycle(spark):
-    cache = spark.createDataFrame([("a", "{}", 100, 1, 2), ("b", "not json", 100, 2, 8), ("c", "{}", 1, 3, 2)], "key string, value string, ts bigint, seq bigint, bytes bigint")
-    asked = spark.createDataFrame([("a",), ("b",), ("c",), ("d",)], "key string")
+    cache = spark.createDataFrame([("a", '{"x":7}', 100, 1, 2), ("e", '{"y":7}', 100, 1, 2), ("b", "not json", 100, 2, 8), ("c", "{}", 1, 3, 2)], "key string, value string, ts bigint, seq bigint, bytes bigint")
+    asked = spark.createDataFrame([("a",), ("b",), ("c",), ("d",), ("e",)], "key string")
     hits = state.lookup(asked, cache, 150, ttl=100)
-    assert {r.key for r in hits.where("hit").collect()} == {"a", "b"}
+    assert {r.key for r in hits.where("hit").collect()} == {"a", "b", "e"}
     assert {r.key for r in state.decoded(hits, "x int").where("hit").collect()} == {"a"}
-    assert {r.key: r.seq for r in state.touch(cache, hits, 9).collect()} == {"a": 9, "b": 9, "c": 3}
-    assert state.clear(cache).count() == 0 and {r.key for r in state.clear(cache, 150, 100).collect()} == {"a", "b"}
-    assert [r.n for r in cache.select(state.entry_bytes("key", "value").alias("n")).collect()] == [3, 9, 3]
+    assert {r.key: r.seq for r in state.touch(cache, hits, 9).collect()} == {"a": 9, "b": 9, "c": 3, "e": 9}
+    assert state.clear(cache).count() == 0 and {r.key for r in state.clear(cache, 150, 100).collect()} == {"a", "b", "e"}
+    assert [r.n for r in cache.select(state.entry_bytes("key", "value").alias("n")).collect()] == [8, 8, 9, 3]

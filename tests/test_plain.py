@@ -19,8 +19,10 @@ NOW = datetime(2026, 9, 20, 12, tzinfo=UTC)
 
 
 def test_passages_keep_headings_with_their_body():
-    assert text.split_passages_text("# Intro\nshort\n# Usage\nbody") == ["# Intro\nshort", "# Usage\nbody"]
-    assert text.split_passages_text("# A\n## B\nx") == ["# A\n## B\nx"]
+    assert text.split_passages_text("# Soil\nloam\n# Water\nweekly\ndaily") == ["# Soil\nloam", "# Water\nweekly\ndaily"]
+    assert text.split_passages_text("# Tools\n## Spades\n## Rakes\nsteel") == ["# Tools\n## Spades\n## Rakes\nsteel"]
+    assert text.split_passages_text("# Soil\floam\u2028deep\u0085wet") == ["# Soil\floam\u2028deep\u0085wet"]
+    assert web.parse_robots_text("User-agent: *\nDisallow: /a\u2028Allow: /b") == [("/a%E2%80%A8Allow: /b", False)]
     assert [len(x) for x in text.split_long_text("あ" * 2410)] == [1200, 1200, 10]
     long = "a" * 700 + ". " + "b" * 700
     assert text.split_long_text(long) == ["a" * 700 + ".", "b" * 700]
@@ -196,4 +198,4 @@ def test_functions_in_sql(spark):
 
 def test_waits_lie_within_the_backoff(spark):
     rows = spark.range(200).select(control.backoff_wait_ms(F.lit(3), "id").alias("w")).collect()
-    assert {1600 <= r.w <= 3200 for r in rows} == {True} and len({r.w for r in rows}) > 100
+    assert {0 <= r.w <= 3200 for r in rows} == {True} and min(r.w for r in rows) < 400 and len({r.w for r in rows}) > 100
