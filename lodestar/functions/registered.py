@@ -8,8 +8,8 @@ from lodestar.functions import text, web
 from lodestar.sources import parsers
 
 FUNCTIONS = {
-    "split_passages": text.split_passages,
-    "split_long": text.split_long,
+    "split_passages": text.split_passages_rows,
+    "split_long": text.split_long_rows,
     "unescape_entities": text.unescape_entities,
     "sanitize_name": text.sanitize_name,
     "parse_robots": web.parse_robots,

@@ -231,13 +231,72 @@ def split_passages_text(text: str) -> list[str]:
     return out
 
 
+#: The start of a line up to the first sentence end at which a piece may be cut.
+_SENTENCE = rf"(?s)^(.{{{PASSAGE_TARGET - 1},{PASSAGE_MAX - 1}}}?(?:[。！？．]|[.!?](?=(?U:\s)|$)))"
+
+
+def _trimmed(c: Column) -> Column:
+    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+
+
+def split_long(c: Column | str) -> Column:
+    """Pieces of a line over PASSAGE_MAX characters: cut at the first sentence end from PASSAGE_TARGET on, or
+    where the piece is full. A fold whose state is where the next piece starts."""
+    line = col(c)
+    empty = F.struct(F.lit(0).alias("start"), F.array().cast("array<string>").alias("out"))
+
+    def step(acc: Column, _: Column) -> Column:
+        # One character more than fits, so that a full stop at the end sees what follows it.
+        window = F.substring(line, acc["start"] + 1, F.lit(PASSAGE_MAX + 1))
+        sentence = F.regexp_extract(window, _SENTENCE, 1)
+        piece = F.when(sentence != "", sentence).otherwise(F.substring(window, 1, PASSAGE_MAX))
+        end = acc["start"] + F.length(piece)
+        kept = (_trimmed(piece) != "") | (end < F.length(line))
+        return F.when(
+            acc["start"] < F.length(line),
+            F.struct(end.alias("start"), F.when(kept, F.array_append(acc["out"], _trimmed(piece))).otherwise(acc["out"]).alias("out")),
+        ).otherwise(acc)
+
+    most = F.sequence(F.lit(1), F.ceil(F.length(line) / PASSAGE_TARGET).cast("int"))
+    return F.when(F.length(line) <= PASSAGE_MAX, F.array(line)).otherwise(F.aggregate(most, empty, step, lambda acc: acc["out"]))
+
+
+def split_passages(c: Column | str) -> Column:
+    """Lines packed to about PASSAGE_TARGET characters; a heading starts a passage and keeps its body.
+
+    A fold over the pieces of all lines: its state is what is done, the passage being filled and whether that
+    holds nothing but headings."""
+
+    def pieces(line: Column) -> Column:
+        return F.transform(split_long(line), lambda p, i: F.struct(p.alias("p"), line.startswith("#").alias("heading"), (i == 0).alias("first")))
+
+    none = F.lit(None).cast("string")
+    empty = F.struct(F.array().cast("array<string>").alias("out"), none.alias("cur"), F.lit(False).alias("bare"))
+
+    def step(acc: Column, x: Column) -> Column:
+        opens = x["first"] & x["heading"] & ~acc["bare"]
+        full = (F.length(acc["cur"]) > 0) & (F.length(acc["cur"]) + F.length(x["p"]) > PASSAGE_TARGET) & ~acc["bare"]
+        flush = acc["cur"].isNotNull() & (opens | full)
+        fresh = acc["cur"].isNull() | flush
+        return F.struct(
+            F.when(flush, F.array_append(acc["out"], acc["cur"])).otherwise(acc["out"]).alias("out"),
+            F.when(fresh, x["p"]).otherwise(F.concat(acc["cur"], F.lit("\n"), x["p"])).alias("cur"),
+            (x["heading"] & (acc["bare"] | fresh)).alias("bare"),
+        )
+
+    done = lambda acc: F.when(acc["cur"].isNull(), acc["out"]).otherwise(F.array_append(acc["out"], acc["cur"]))
+    return F.aggregate(F.flatten(F.transform(lines(F.coalesce(col(c), F.lit(""))), pieces)), empty, step, done)
+
+
 @vectorised("array<string>")
-def split_long(s: pd.Series) -> pd.Series:
+def split_long_rows(s: pd.Series) -> pd.Series:
+    """``split_long`` for SQL sessions."""
     return s.map(lambda x: split_long_text(x or ""))
 
 
 @vectorised("array<string>")
-def split_passages(s: pd.Series) -> pd.Series:
+def split_passages_rows(s: pd.Series) -> pd.Series:
+    """``split_passages`` for SQL sessions."""
     return s.map(lambda x: split_passages_text(x or ""))
 
 

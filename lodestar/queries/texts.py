@@ -152,14 +152,34 @@ def focus_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return picked.select("doc_id", "total", F.size("passages").cast("bigint").alias("kept"), "text")
 
 
-@query("SELECT doc_id, md5(regexp_replace(text, '[ \\n\\t]', '', 'g')) AS all_text FROM documents")
+LINES = "list_filter(list_transform(string_split(text, chr(10)), lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g')), lambda x: x <> '')"
+#: Where a line is cut from s on: at the first sentence end of 600 to 1,200 characters, found by looking at each place.
+CUT = """coalesce(list_filter(range(600, 1201), lambda i: substr(l, s + i, 1) IN ('。', '！', '？', '．')
+    OR (substr(l, s + i, 1) IN ('.', '!', '?') AND (s + i >= length(l) OR regexp_matches(substr(l, s + i + 1, 1), '\\s'))))[1], 1200)"""
+CUTS = f"""l AS (SELECT doc_id, unnest(range(len(ls))) AS line, unnest(ls) AS l FROM (SELECT doc_id, {LINES} AS ls FROM documents)),
+c AS (SELECT doc_id, line, l, 0 AS s, CASE WHEN length(l) <= 1200 THEN length(l) ELSE {CUT.replace("s + i", "0 + i")} END AS n, 0 AS piece FROM l
+  UNION ALL SELECT doc_id, line, l, s + n AS s, {CUT.replace("s + i", "s + n + i")}, piece + 1 FROM c WHERE s + n < length(l)),
+p AS (SELECT doc_id, line, piece, l LIKE '#%' AS heading, CASE WHEN length(l) <= 1200 THEN l ELSE regexp_replace(substr(l, s + 1, n), '^\\s+|\\s+$', '', 'g') END AS p FROM c)"""
+
+
+@query(
+    f"""WITH RECURSIVE {CUTS},
+x AS (SELECT doc_id, list({{'p': p, 'h': heading, 'f': piece = 0}} ORDER BY line, piece) AS ps FROM p GROUP BY doc_id),
+f AS (SELECT doc_id, list_reduce(ps, lambda a, x: CASE WHEN a.cur IS NOT NULL AND ((x.f AND x.h AND NOT a.bare) OR (length(a.cur) > 0 AND length(a.cur) + length(x.p) > 600 AND NOT a.bare))
+    THEN {{'done': list_append(a.done, a.cur), 'cur': x.p, 'bare': x.h}}
+    ELSE {{'done': a.done, 'cur': CASE WHEN a.cur IS NULL THEN x.p ELSE a.cur || chr(10) || x.p END, 'bare': x.h AND (a.bare OR a.cur IS NULL)}} END,
+    {{'done': []::VARCHAR[], 'cur': NULL::VARCHAR, 'bare': FALSE}}) AS r FROM x),
+o AS (SELECT doc_id, list_append(r.done, r.cur) AS ps FROM f)
+SELECT doc_id, CAST(len(ps) AS BIGINT) AS n, list_max(list_transform(ps, lambda x: length(x))) AS longest, md5(array_to_string(ps, '|')) AS passages FROM o"""
+)
 def split_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """No character but blanks is lost by packing."""
-    whole = F.regexp_replace(F.array_join(T.split_passages("text"), ""), r"[ \n\t]", "")
-    return _docs(spark, sf_dir).select("doc_id", F.md5(whole.cast("binary")).alias("all_text"))
+    """Whole texts, packed."""
+    made = _docs(spark, sf_dir).select("doc_id", T.split_passages("text").alias("ps")).where(F.size("ps") > 0)
+    longest = F.array_max(F.transform("ps", F.length)).cast("bigint")
+    return made.select("doc_id", F.size("ps").cast("bigint").alias("n"), longest.alias("longest"), F.md5(F.array_join("ps", "|").cast("binary")).alias("passages"))
 
 
-@query()
+@query(f"WITH RECURSIVE {CUTS} SELECT doc_id, line, CAST(row_number() OVER (PARTITION BY doc_id, line ORDER BY piece) - 1 AS BIGINT) AS piece, length(p) AS chars FROM p")
 def split_long(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = _docs(spark, sf_dir).select("doc_id", F.posexplode(T.lines("text")).alias("line", "text")).select("doc_id", "line", F.posexplode(T.split_long("text")).alias("piece", "text"))
     return pieces.select("doc_id", F.col("line").cast("bigint").alias("line"), F.col("piece").cast("bigint").alias("piece"), F.length("text").cast("bigint").alias("chars"))

@@ -28,6 +28,19 @@ def test_passages_keep_headings_with_their_body():
     assert text.split_long_text(long) == ["a" * 700 + ".", "b" * 700]
 
 
+def test_passages_are_folded_as_they_are_looped(spark):
+    import random
+
+    rng = random.Random(4)
+    bits = ["# Head", "short line", "x" * 590 + ".", "y" * 700 + ". " + "z" * 900, "あ" * 1300 + "。" + "い" * 50, "   ", "w " * 1400, "!" * 2500, "# " + "long heading. " * 120, "a.b" * 500 + "? "]
+    texts = ["\n".join(rng.choice(bits) for _ in range(rng.randrange(0, 14))) for _ in range(60)] + [None, ""]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    got = {r.i: r.p for r in df.select("i", text.split_passages("t").alias("p")).collect()}
+    assert got == {i: text.split_passages_text(t or "") for i, t in enumerate(texts)}
+    lines = spark.createDataFrame([(b.strip(),) for b in bits], "b string")
+    assert all(r.s == text.split_long_text(r.b) for r in lines.select("b", text.split_long("b").alias("s")).collect())
+
+
 def test_bounds():
     assert timefn.parse_bound("24h", "--since", NOW) == datetime(2026, 9, 19, 12, tzinfo=UTC)
     assert timefn.parse_bound("2026-09-20", "--since", NOW) == datetime(2026, 9, 20, tzinfo=UTC)
