@@ -76,6 +76,33 @@ def robots_gate(requests: DataFrame, rules: DataFrame) -> DataFrame:
     return own.join(best, ["_origin", "_path"], "left").select(*requests.columns, F.coalesce(F.col("_best.allow"), F.lit(True)).alias("robots_allowed"))
 
 
+def robots_rules(bodies: DataFrame) -> DataFrame:
+    """(origin, place, pattern, allow) of bodies (origin, body): the rules of the groups that bind every agent.
+
+    Lines that name an agent and follow one another open one group; it lasts until the next line that names
+    one after any other field. So groups are islands: a line opens one if it names an agent and the field
+    before did not, and a running sum of these numbers them. Lines without a colon are no fields. Of a body
+    over ROBOTS_MOST bytes only the whole lines before that are read; null bodies and those without a group
+    for all give no rule; bodies given twice give their rules twice."""
+    read = F.substring(F.col("body").cast("binary"), 1, web.ROBOTS_MOST).cast("string")
+    whole = F.substring(read, 1, F.length(read) - F.length(F.substring_index(read, "\n", -1)))
+    body = F.when(F.octet_length("body") > web.ROBOTS_MOST, whole).otherwise(F.col("body"))
+    told = bodies.withColumn("_body", F.monotonically_increasing_id())  # before its lines are dealt out
+    lines = told.select("origin", "_body", F.posexplode(F.split(F.regexp_replace(body, "^\ufeff+", ""), "\n")).alias("place", "_line"))
+    trim = lambda c: F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+    line = trim(F.substring_index("_line", "#", 1))
+    cut = F.instr(line, ":")
+    fields = lines.where(cut > 0).select("origin", "_body", "place", F.lower(trim(F.substring(line, 1, cut - 1))).alias("_key"), trim(F.substring(line, cut + 1, F.length(line))).alias("_value"))
+    order = Window.partitionBy("_body").orderBy("place")
+    names = F.col("_key") == "user-agent"
+    opens = names & (F.coalesce(F.lag("_key").over(order), F.lit("")) != "user-agent")
+    grouped = fields.withColumn("_opens", opens.cast("int")).withColumn("_group", F.sum("_opens").over(order))
+    binds = F.max((names & (F.col("_value") == "*")).cast("int")).over(Window.partitionBy("_body", "_group"))
+    rule = F.col("_key").isin("allow", "disallow") & (F.col("_value") != "") & (F.col("_group") > 0)
+    ours = grouped.withColumn("_binds", binds).where(rule & (F.col("_binds") == 1))
+    return ours.select("origin", F.col("place").cast("bigint").alias("place"), web.normal_path("_value").alias("pattern"), (F.col("_key") == "allow").alias("allow"))
+
+
 def batch_summary(items: DataFrame) -> DataFrame:
     """(n, failed, any_failed, all_failed)."""
     failed = F.count_if(F.col("kind").isNotNull())

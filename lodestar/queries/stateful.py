@@ -10,7 +10,7 @@ from lodestar.operators.cache_table import Cache, Limits
 from lodestar.queries.base import ROWS, query, result_rows, table
 from lodestar.sources import image_files, parsers, walk
 from lodestar.storage import Conflict, folder
-from lodestar.streaming import dedupe
+from lodestar.streaming import dedupe, sessions
 from lodestar.streaming.watch import WatchState
 
 NOW = 1_700_000_000
@@ -142,3 +142,34 @@ def image_download(spark: SparkSession, sf_dir: str) -> DataFrame:
     image_files.write(plan.withColumn("content", F.lit(b"other")), place)  # what is there stays
     told = F.expr("substring(content, 9)").alias("name")
     return image_files.written(spark, place).select("file", F.octet_length("content").cast("bigint").alias("bytes"), F.md5(told).alias("content"))
+
+
+@query(
+    """WITH b AS (SELECT page_id // 8 AS body, page_id % 8 AS i, page_id FROM pages),
+    f AS (SELECT body, i * 2 AS n, CASE page_id % 5 WHEN 0 THEN 'agent' WHEN 1 THEN 'agent' ELSE 'rule' END AS k, page_id % 3 = 0 AS every, page_id, 0 AS half FROM b
+      UNION ALL SELECT body, i * 2 + 1, 'rule', FALSE, page_id, 1 FROM b WHERE page_id % 4 <> 2),
+    o AS (SELECT *, CASE WHEN k = 'agent' AND coalesce(lag(k) OVER (PARTITION BY body ORDER BY n), '') <> 'agent' THEN 1 ELSE 0 END AS opens FROM f),
+    g AS (SELECT *, sum(opens) OVER (PARTITION BY body ORDER BY n) AS grp FROM o),
+    m AS (SELECT *, max(CASE WHEN k = 'agent' AND every THEN 1 ELSE 0 END) OVER (PARTITION BY body, grp) AS binds FROM g)
+    SELECT body, '/p/' || page_id || CASE half WHEN 0 THEN '/%C3%A9' ELSE '/%AF*' END AS pattern, page_id % 2 = 0 AS allow FROM m WHERE k = 'rule' AND grp > 0 AND binds = 1"""
+)
+def robots_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A body of each eight pages: lines that name agents, rules, remarks and lines that are no fields."""
+    k = F.col("page_id")
+    agent = F.concat(F.lit("User-Agent : "), F.when(k % 3 == 0, "*").otherwise("other"), F.lit(" # who"))
+    rule = lambda tail: F.concat(F.when(k % 2 == 0, "ALLOW").otherwise("disallow"), F.lit(": /p/"), k, F.lit(tail))
+    one = F.when(k % 5 < 2, agent).otherwise(rule("/é"))
+    two = F.when(k % 4 == 2, "no field here # user-agent: *").otherwise(rule("/%af*"))
+    part = table(spark, sf_dir, "pages").groupBy(F.floor(k / 8).alias("body_id")).agg(F.sort_array(F.collect_list(F.struct("page_id", F.concat(one, F.lit("\n"), two, F.lit("\n")).alias("t")))).alias("t"))
+    bodies = part.select(F.col("body_id").alias("origin"), F.array_join(F.transform("t", lambda x: x["t"]), "").alias("body"))
+    return control.robots_rules(bodies).select(F.col("origin").alias("body"), "pattern", "allow")
+
+
+@query(
+    "WITH e AS (SELECT user_id, ts, value, CASE WHEN ts - lag(ts) OVER w < INTERVAL 12 HOUR THEN 0 ELSE 1 END AS opens FROM events WHERE user_id IS NOT NULL AND ts IS NOT NULL WINDOW w AS (PARTITION BY user_id ORDER BY ts)), "
+    "s AS (SELECT *, sum(opens) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM e) "
+    "SELECT user_id, min(ts) AS started, max(ts) + INTERVAL 12 HOUR AS ended, count(*) AS n, round(sum(value), 4) AS total FROM s GROUP BY user_id, k"
+)
+def event_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = sessions.sessions(table(spark, sf_dir, "events"), "user_id", gap="12 hours", value="value")
+    return found.withColumn("total", F.round("total", 4))

@@ -450,9 +450,19 @@ def download_plan(images: DataFrame, most_bytes: int = 5 * 1024 * 1024, limit: i
 
 
 def bing(payloads: DataFrame) -> DataFrame:
-    """A feed where the engine answered with one, else its result page."""
+    """A request's feed, or its result page if the feed has no rows or cannot be read.
+
+    Payloads of one ``query`` belong together where there is such a column, else those of one request_id. A
+    broken feed without a page stays a failure."""
+    key = ["query"] if "query" in payloads.columns else ["request_id"]
     is_feed = F.coalesce(F.col("body").rlike(r"(?is)^\s*(<\?xml[^>]*>\s*)?<(rss|feed)\b"), F.lit(False))
-    return web_rss(payloads.where(is_feed)).unionByName(bing_html(payloads.where(~is_feed)))
+    rss, pages = web_rss(payloads.where(is_feed)), payloads.where(~is_feed)
+    request = payloads.select("request_id", *(F.col(k).alias("_of") for k in key)).distinct()
+    told = rss.join(request, "request_id")
+    answered = told.where("kind is null").select("_of").distinct()
+    asked = pages.withColumn("_of", F.col(key[0])).join(answered, "_of", "left_anti")
+    left = told.where("kind is not null").join(asked.select("_of").unionByName(answered), "_of", "left_anti")
+    return told.where("kind is null").select(*rss.columns).unionByName(left.select(*rss.columns)).unionByName(bing_html(asked.drop("_of")))
 
 
 PARSERS = {

@@ -71,11 +71,5 @@ def start(stream: DataFrame, store: WatchState, watch: str, out: str, checkpoint
     return stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def windowed_counts(events: DataFrame, width: str = "1 hour", late: str = "10 minutes") -> DataFrame:
-    """Events by type and tumbling window; state older than the watermark is dropped."""
-    w = F.window("ts", width)
-    return events.withWatermark("ts", late).groupBy(w, "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
-
-
 def each_new(stream: DataFrame, deal: Callable[[DataFrame, int], None], checkpoint: str) -> StreamingQuery:
     return stream.writeStream.foreachBatch(deal).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -14,7 +14,7 @@ from lodestar.operators import control
 from lodestar.operators.cache_table import Cache, Limits
 from lodestar.sources import image_files, walk
 from lodestar.storage import Conflict, StateTable
-from lodestar.streaming import dedupe, watch
+from lodestar.streaming import dedupe, sessions, watch
 
 
 def test_racing_writers_lose_nothing(spark, tmp_path):
@@ -151,3 +151,51 @@ def test_images_are_all_in_place_or_none(spark, tmp_path):
     image_files.write(plan([("3.png", b"other", None), ("a.png", b"a", None), ("a.png", b"a", None)]), str(path))
     assert sorted(os.listdir(path)) == [*(f"{i}.png" for i in range(9)), "a.png"] and (path / "3.png").read_bytes() == b"3"
     assert image_files.written(spark, str(path)).count() == 10
+
+
+def test_robots_groups_equal_the_parser(spark):
+    import random
+
+    rng = random.Random(7)
+    bits = ["User-agent: *", "user-agent:bot", "Disallow: /a", "Allow: /é b", "Disallow:", "# note", "no colon", "Sitemap: /s", "  ", "DISALLOW : /%e9*$ # x", "Allow: /u\u2028Disallow: /v", "\ufeffUser-agent: *"]
+    bodies = ["\n".join(rng.choice(bits) for _ in range(rng.randrange(0, 16))) for _ in range(80)] + ["User-agent: *\n" + "# pad\n" * 90_000 + "Disallow: /late", None, "\ufeffUser-agent: *\nDisallow: /q"]
+    df = spark.createDataFrame([(i, b) for i, b in enumerate(bodies)], "origin int, body string")
+    got = {}
+    for r in control.robots_rules(df).orderBy("origin", "place").collect():
+        got.setdefault(r.origin, []).append((r.pattern, r.allow))
+    assert got == {i: rules for i, b in enumerate(bodies) if (rules := web.parse_robots_text(b or ""))}
+
+
+def test_sessions_of_a_stream_drop_what_is_too_late(spark, tmp_path):
+    from datetime import datetime
+
+    kind = "who string, ts timestamp, value double"
+    at = lambda h, m=0: datetime(2024, 3, 1, h, m)
+
+    def arrive(*rows):
+        spark.createDataFrame(rows, kind).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+
+    def run():
+        made = sessions.sessions(spark.readStream.schema(kind).parquet(str(tmp_path / "in")), "who", gap="30 minutes", late="1 hour", value="value")
+        made.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination()
+        return sorted((r.who, r.n, r.total) for r in spark.read.parquet(str(tmp_path / "out")).collect())
+
+    arrive(("a", at(1), 1.0), ("a", at(1, 20), 2.0), ("b", at(1), 4.0), (None, at(1), 9.0), ("a", None, 9.0))
+    run()
+    arrive(("a", at(1, 40), 1.0), ("c", at(6), 1.0))
+    assert run() == [("a", 3, 4.0), ("b", 1, 4.0)]
+    arrive(("a", at(1, 30), 1.0), ("c", at(6, 10), 1.0), ("d", at(9), 1.0))
+    assert run() == [("a", 3, 4.0), ("b", 1, 4.0), ("c", 2, 2.0)]
+    counts = sessions.tumbling(spark.createDataFrame([("a", at(1), 1.0), ("a", at(1, 59), 2.0), ("a", at(2), 4.0)], kind), "who")
+    assert sorted((r.n, r.total) for r in counts.collect()) == [(1, 4.0), (2, 3.0)]
+
+
+def test_result_page_follows_a_feed_without_rows(spark):
+    from lodestar.sources import parsers
+
+    page = '<html><body><ol><li class="b_algo"><h2><a href="https://p.example/">page</a></h2><p>x</p></li></ol></body></html>'
+    feed = "<rss><channel>{}</channel></rss>"
+    item = "<item><title>feed</title><link>https://f.example/</link></item>"
+    rows = [(1, "full", feed.format(item)), (2, "full", page), (3, "none", feed.format("")), (4, "none", page), (5, "broken", "<rss><channel>"), (6, "broken", page), (7, "alone", "<rss><channel>"), (8, "page", page)]
+    got = parsers.bing(spark.createDataFrame(rows, "request_id bigint, query string, body string")).collect()
+    assert sorted((r.request_id, r.title or r.kind) for r in got) == [(1, "feed"), (4, "page"), (6, "page"), (7, "parse"), (8, "page")]
