@@ -53,7 +53,11 @@ class HttpError(LodestarError):
     kind = "http"
 
 
-CLASSES = {c.kind: c for c in (ConfigError, ParseError, NoResultsError, BlockedError, RateLimitedError, HttpError)}
+class TooLargeError(LodestarError):
+    kind = "response_too_large"
+
+
+CLASSES = {c.kind: c for c in (ConfigError, ParseError, NoResultsError, BlockedError, RateLimitedError, HttpError, TooLargeError)}
 
 
 def render(kind: Column | str, detail: Column | str) -> Column:

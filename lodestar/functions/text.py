@@ -328,3 +328,18 @@ def cache_key(*parts: Column | str, version: int = 5) -> Column:
     """SHA-256 of the parts as JSON, so that no separator can be forged."""
     doc = F.to_json(F.struct(F.array(*map(col, parts)).alias("parts"), F.lit(version).alias("v")))
     return F.sha2(doc.cast("binary"), 256)
+
+
+def fetch_key(url: Column | str, *, markdown: bool, raw: bool, max_chars: int, query: str | None = None, passages: int = 5, allow_private: bool = False) -> Column:
+    """The cache key of a fetched page: every option that changes what is made of it."""
+    asked = [F.lit(query), F.lit(str(passages))] if query is not None else []
+    return cache_key(F.lit("fetch"), url, *(F.lit(str(x)) for x in (markdown, raw, max_chars, allow_private)), *asked)
+
+
+def search_key(engine: str, query: str, count: int, options: dict[str, object]) -> Column:
+    """The cache key of a search. Bounds are keyed as they were written: they are resolved when rows are filtered."""
+    return cache_key(F.lit("search"), F.lit(engine), F.lit(query), F.lit(str(count)), *(F.lit(f"{k}={options[k]}") for k in sorted(options) if options[k] not in (None, "")))
+
+
+def images_key(engine: str, query: str, count: int, options: dict[str, object]) -> Column:
+    return cache_key(F.lit("images"), F.lit(engine), F.lit(query), F.lit(str(count)), *(F.lit(f"{k}={options[k]}") for k in sorted(options) if options[k] not in (None, "")))

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from lodestar.errors import ConfigError
 from lodestar.functions import timefn
 from lodestar.functions.text import sanitize_line
+from lodestar.operators.relation import renumber
 
 KEEP_NULLS = {"ignoreNullFields": "false"}
 
@@ -106,7 +107,7 @@ def write_file(rows: DataFrame, path: str, fmt: str = "json") -> int:
     elif fmt == "jsonl":
         text = (r.line for r in jsonl(rows).orderBy("_seq").toLocalIterator())
     else:
-        text = (r.block for r in pretty(rows).orderBy("_seq").toLocalIterator())
+        text = (r.block for r in pretty(renumber(rows, None)).orderBy("_seq").toLocalIterator())
     part, n = f"{path}.part-{os.getpid()}", 0
     with os.fdopen(os.open(part, os.O_WRONLY | os.O_CREAT | os.O_TRUNC, 0o600), "w", encoding="utf-8") as f:
         for n, x in enumerate(text, 1):

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import io
 import json
+from dataclasses import replace
 from datetime import UTC, datetime
 
 import pytest
@@ -12,6 +14,7 @@ from lodestar.api import Lodestar
 from lodestar.config import Config
 from lodestar.errors import ConfigError, LodestarError, NoResultsError
 from lodestar.operators import state
+from lodestar.operators.cache_table import LAYOUT, Cache
 from lodestar.storage import StateTable
 from lodestar.streaming.watch import WatchState
 
@@ -31,7 +34,9 @@ def star(spark):
 
 def test_search(star):
     assert [r.title for r in star.search("q", "hn", 2).orderBy("_seq").collect()] == ["t0", "t1"]
-    assert [r.title for r in star.search("q", "hn", 3, since="2023-11-16").orderBy("_seq").collect()] == ["t2"]
+    # The engine takes bounds itself, so they come before the count; elsewhere the count comes first.
+    assert [r.title for r in star.search("q", "hn", 3, since="2023-11-16").orderBy("_seq").collect()] == ["t2", "t3", "t4"]
+    assert star.search("q", "bing", 3, since="2023-11-16").count() == 0
     assert [r.title for r in star.search("q", "ddg").collect()] == ["B"]  # the next web engine
     with pytest.raises(LodestarError):
         star.with_config(fallback=False).search("q", "ddg")
@@ -90,9 +95,10 @@ def test_commands_over_state(spark, star, tmp_path, capsys):
     assert main(["--watches", store.path, "--quiet", "watch-clear", "a"]) == 0
     out = capsys.readouterr()
     assert [json.loads(x)["watch"] for x in out.out.splitlines()] == ["b"] and out.err.strip() == ""
-    spark.createDataFrame([("k", "v", 1, 1, 2)], "key string, value string, ts bigint, seq bigint, bytes bigint").write.parquet(str(tmp_path / "c"))
+    StateTable(spark, str(tmp_path / "c"), LAYOUT).commit(spark.createDataFrame([("k", "v", 1, 1, 2)], LAYOUT), -1)
     assert main(["--cache", str(tmp_path / "c"), "cache-info"]) == 0
     assert json.loads(capsys.readouterr().out) == {"entries": 1, "bytes": 2, "expired": 1}
+    assert main(["--cache", str(tmp_path / "c"), "cache-clear", "--expired"]) == 0 and json.loads(capsys.readouterr().out)["entries"] == 0
     star.pages.write.parquet(str(tmp_path / "p"))
     assert main(["--pages", str(tmp_path / "p"), "--format", "json", "fetch", "https://x.org/1"]) == 0
     assert json.loads(capsys.readouterr().out)["title"] == "T"
@@ -113,3 +119,66 @@ def test_cache_life_cycle(spark):
     assert {r.key: r.seq for r in state.touch(cache, hits, 9).collect()} == {"a": 9, "b": 9, "c": 3, "e": 9}
     assert state.clear(cache).count() == 0 and {r.key for r in state.clear(cache, 150, 100).collect()} == {"a", "b", "e"}
     assert [r.n for r in cache.select(state.entry_bytes("key", "value").alias("n")).collect()] == [8, 8, 9, 3]
+
+
+IMAGES = json.dumps({"results": [{"image": f"https://i.org/{i}.png", "title": f"pic {i}", "url": "https://p.org/", "width": 5, "height": 6} for i in range(3)]})
+PNG = b"\x89PNG\r\n\x1a\n"
+
+
+def test_answers_are_cached(spark, star, tmp_path):
+    path = str(tmp_path / "c")
+    at = lambda now, **more: replace(star, cache=Cache(spark, path, now), **more)
+    one = at(1000)
+    first = sorted(map(tuple, one.search("q", "hn", 2).select("title", "url", "published").collect()))
+    page = one.fetch(["https://x.org/1", "https://x.org/2"]).orderBy("_seq").collect()
+    assert one.cache.save() and one.cache.table.read().count() == 2  # failures are not kept
+    nothing = {"payloads": star.payloads.limit(0), "pages": star.pages.limit(0)}
+    two = at(1100, **nothing)
+    assert sorted(map(tuple, two.search("q", "hn", 2).select("title", "url", "published").collect())) == first
+    assert two.fetch(["https://x.org/1", "https://x.org/2"]).orderBy("_seq").collect() == page
+    assert two.search("q", "hn", 2, fresh=True).count() == 0 and two.search("q", "hn", 3).count() == 0
+    assert [r.kind for r in two.fetch(["https://x.org/1"], markdown=True).collect()] == ["http"]
+    assert at(9000, **nothing).search("q", "hn", 2).count() == 0  # too old
+
+
+def test_robots_are_asked(spark, star):
+    rules = spark.createDataFrame([("https://x.org", "User-agent: *\nDisallow: /1")], "origin string, body string")
+    asked = replace(star, robots=rules)
+    assert [r.kind for r in asked.fetch(["https://x.org/1"]).collect()] == [None]
+    assert [r.kind for r in asked.with_config(respect_robots=True).fetch(["https://x.org/1"]).collect()] == ["robots"]
+
+
+def test_oversized_answers_fail(spark, star):
+    big = spark.createDataFrame([(1, "npm", "q", 200, "x" * (10 * 1024 * 1024 + 1))], "request_id bigint, engine string, query string, status int, body string")
+    with pytest.raises(LodestarError) as e:
+        replace(star, payloads=big).search("q", "npm")
+    assert e.value.kind == "response_too_large"
+
+
+def test_images(spark, star, tmp_path, capsys):
+    told = spark.createDataFrame([(1, "bing", "q", 429, ""), (2, "duckduckgo", "q", 200, IMAGES)], "request_id bigint, engine string, query string, status int, body string")
+    content = spark.createDataFrame([("https://i.org/0.png", PNG), ("https://i.org/1.png", b"<svg/>"), ("https://i.org/9.png", PNG)], "url string, content binary")
+    here = replace(star, image_payloads=told, image_bytes=content)
+    got = here.images("q", count=2, to=str(tmp_path / "i")).orderBy("_seq").collect()
+    assert [(r._seq, r.title, r.written) for r in got] == [(1, "pic 0", True), (2, "pic 1", False)]
+    assert [p.name for p in (tmp_path / "i").iterdir()] == ["0001_pic-0.png"]
+    with pytest.raises(LodestarError):
+        here.with_config(fallback=False).images("q", "bing")
+    told.write.parquet(str(tmp_path / "told"))
+    assert main(["--image-payloads", str(tmp_path / "told"), "images", "q", "--count", "1"]) == 0
+    assert json.loads(capsys.readouterr().out)["results"][0]["url"] == "https://i.org/0.png"
+
+
+def test_recipe_commands(star, tmp_path, capsys, monkeypatch):
+    star.payloads.write.parquet(str(tmp_path / "p"))
+    recipe = f"version: 1\nsteps: [{{search: {{query: q, engine: hn, count: 2}}}}]\nwatch: w\noutput: {{file: '{tmp_path}/out', format: jsonl}}"
+    (tmp_path / "r.yaml").write_text(recipe)
+    run = ["--payloads", str(tmp_path / "p"), "--watches", str(tmp_path / "w"), "run", str(tmp_path / "r.yaml")]
+    assert main(run) == 0
+    assert [json.loads(x)["title"] for x in (tmp_path / "out").read_text().splitlines()] == ["t0", "t1"] and "2 lines" in capsys.readouterr().err
+    assert main(run) == 0 and (tmp_path / "out").read_text() == ""
+    assert main(["--payloads", str(tmp_path / "p"), "run", str(tmp_path / "r.yaml")]) == 2
+    monkeypatch.setattr("sys.stdin", io.StringIO("version: 1\nsteps: [{search: {query: q, engine: hn, count: 1}}]\noutput: {format: pretty}"))
+    capsys.readouterr()
+    assert main(["--payloads", str(tmp_path / "p"), "run", "-"]) == 0
+    assert "1. t0" in capsys.readouterr().out
