@@ -249,9 +249,9 @@ def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, width: int, pe
 def linked(nodes: DataFrame, docs: DataFrame, postings: DataFrame, width: int, percent: int) -> DataFrame:
     """(node, root) for the nodes that are linked to others. ``postings`` is what ``prefixes`` returns."""
     posting = postings.select("node", "n", F.posexplode("tokens").alias("pos", "token"))
-    lead = F.min(F.struct("pos", "n", "node")).alias("lead")
-    lists = posting.groupBy("token").agg(lead, F.min("node").alias("x"), F.max("node").alias("y")).where("x <> y").select("token", "lead")
-    members = stored(posting.join(lists, "token"))
+    lists = posting.groupBy("token").agg(F.min("node").alias("x"), F.max("node").alias("y")).where("x <> y").select("token")
+    shared = stored(posting.join(lists, "token"))
+    members = stored(shared.join(shared.groupBy("token").agg(F.min(F.struct("pos", "n", "node")).alias("lead")), "token"))
     leads = members.select(F.col("lead.node").alias("a"), F.col("lead.n").alias("na"), F.col("lead.pos").alias("pa"), F.col("node").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("pb"))
 
     def paired(rows: DataFrame) -> DataFrame:
