@@ -11,7 +11,7 @@ kept (coordinate pruning), and what remains is verified by exact products.
 
 Defined results: vectors that are null, or hold a null or non-finite component, take no part, nor do
 rows with a null id. Vectors shorter than others count as ending in zeros. Rows that repeat an id
-are one vector (the least of them). Ties go to the smaller id; fewer than k rows give what there is.
+are vectors of their own: each is a candidate of every row but itself, and a query if its id is one. Ties go to the smaller id; fewer than k rows give what there is.
 """
 
 from __future__ import annotations
@@ -38,7 +38,7 @@ def quantised(vectors: DataFrame, *, vec_id: str = "vec_id", embedding: str = "e
     bad = F.exists(embedding, lambda x: x.isNull() | F.isnan(x) | (F.abs(x.cast("double")) == float("inf")))
     good = vectors.where(F.col(vec_id).isNotNull() & F.col(embedding).isNotNull() & ~bad)
     v = F.transform(embedding, lambda x: F.floor(scale * x.cast("double")).cast("bigint"))
-    one = good.select(F.col(vec_id).cast("bigint").alias("vec_id"), v.alias("v")).groupBy("vec_id").agg(F.min("v").alias("v"))
+    one = good.select(F.col(vec_id).cast("bigint").alias("vec_id"), v.alias("v"))
     return one.withColumn("norm", F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x)))
 
 
@@ -67,18 +67,20 @@ def _best(who: np.ndarray, ids: np.ndarray, score: np.ndarray, k: int) -> tuple[
     return who[keep], ids[keep], score[keep]
 
 
-def search(query_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, c: np.ndarray, k: int, known: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row of the query, id, score) of the k best of ``c`` for each row of ``q``, its own id left out;
-    those under the query's ``known`` score need not be found."""
+def search(query_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, c: np.ndarray, k: int, known: np.ndarray | None = None, same: tuple[np.ndarray, np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row of the query, id, score) of the k best of ``c`` for each row of ``q``, itself left out;
+    those under the query's ``known`` score need not be found. ``same`` names the rows of ``q`` and of ``c``
+    where ids may repeat."""
+    query_rows, rows = same or (query_ids, ids)
     length = np.sqrt((c.astype(np.float64) ** 2).sum(axis=1))
     order = np.lexsort((ids, -length))
-    ids, c, length = ids[order], c[order], length[order]
+    ids, rows, c, length = ids[order], rows[order], c[order], length[order]
     size = np.sqrt((q.astype(np.float64) ** 2).sum(axis=1))
     floor = np.full(len(q), -np.inf) if known is None else known.astype(np.float64)  # k-th best so far
     who = found = score = np.zeros(0, np.int64)
     slack = 1 + 1e-9
     for a in range(0, len(c), STEP):
-        part, own, lengths = c[a : a + STEP], ids[a : a + STEP], length[a : a + STEP]
+        part, own, lengths, named = c[a : a + STEP], ids[a : a + STEP], length[a : a + STEP], rows[a : a + STEP]
         live = np.flatnonzero(size * lengths[0] * slack + 1e-6 >= floor)
         if not len(live):
             break  # all others are shorter still
@@ -103,9 +105,9 @@ def search(query_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, c: np.ndarray,
             with np.errstate(divide="ignore", invalid="ignore"):
                 least = np.nanmin(np.where(size[live] > 0, floor[live] / (size[live] * slack), -np.inf))
             n = max(1, int(np.searchsorted(-lengths, -(least - 1e-6), "right"))) if np.isfinite(least) else len(part)
-            part, own = part[:n], own[:n]
+            part, own, named = part[:n], own[:n], named[:n]
             products = _products(q[live], part)
-        products[own[None, :] == query_ids[live][:, None]] = NONE
+        products[named[None, :] == query_rows[live][:, None]] = NONE
         if products.shape[1] > k:
             level = -np.partition(-products, k - 1, axis=1)[:, k - 1]
             i, j = np.nonzero((products >= np.maximum(level, floor[live])[:, None]) & (products > NONE))
@@ -121,7 +123,7 @@ def search(query_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, c: np.ndarray,
 def top_k(vectors: DataFrame, *, k: int = 20, every: int = 20) -> DataFrame:
     """(query_id, rank, vec_id, score): queries are the rows whose id is divisible by ``every``.
     ``vectors`` comes from ``quantised``; each query meets each bucket once, in blocks."""
-    rows = stored(vectors)
+    rows = stored(vectors.withColumn("row", F.monotonically_increasing_id()))
     n, width, asked = rows.agg(F.count("*"), F.max(F.size("v")), F.count_if(F.pmod("vec_id", F.lit(every)) == 0)).first()
     width = max(width or 0, 1)
     cuts = sorted({float(x) for x in rows.approxQuantile("norm", [i / BUCKETS for i in range(1, BUCKETS)], 0.01)}) if n else []
@@ -136,25 +138,26 @@ def top_k(vectors: DataFrame, *, k: int = 20, every: int = 20) -> DataFrame:
     start, count = F.lit(0), F.lit(1)
     for b, (first, m, _) in parts.items():
         start, count = F.when(bucket == b, first).otherwise(start), F.when(bucket == b, m).otherwise(count)
-    part = (start + F.pmod(F.xxhash64("vec_id", F.lit("part")), count)).cast("int")
-    candidates = rows.select("vec_id", "v", bucket.alias("bucket"), part.alias("block"), F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("group"))
-    group = F.pmod(F.xxhash64("vec_id", F.lit("group")), F.lit(groups)).cast("int")
-    queries = rows.where(F.pmod("vec_id", F.lit(every)) == 0).select("vec_id", "v", "norm", group.alias("group"))
+    part = (start + F.pmod(F.xxhash64("row", F.lit("part")), count)).cast("int")
+    candidates = rows.select("row", "vec_id", "v", bucket.alias("bucket"), part.alias("block"), F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("group"))
+    group = F.pmod(F.xxhash64("row", F.lit("group")), F.lit(groups)).cast("int")
+    queries = rows.where(F.pmod("vec_id", F.lit(every)) == 0).select("row", "vec_id", "v", "norm", group.alias("group"))
 
     def work(left: pa.Table, right: pa.Table) -> pa.Table:
         query_ids, ids = (t.column("vec_id").to_numpy() for t in (left, right))
+        query_rows, rows = (t.column("row").to_numpy() for t in (left, right))
         if len(query_ids) and len(ids):
             known = left.column("floor").to_numpy()
-            who, found, score = search(query_ids, _matrix(left.column("v"), width), ids, _matrix(right.column("v"), width), k, known)
+            who, found, score = search(query_ids, _matrix(left.column("v"), width), ids, _matrix(right.column("v"), width), k, known, (query_rows, rows))
         else:
             who = found = score = np.zeros(0, np.int64)
-        return pa.table({"query_id": pa.array(query_ids[who], pa.int64()), "vec_id": pa.array(found, pa.int64()), "score": pa.array(score, pa.int64())})
+        return pa.table({"query_row": pa.array(query_rows[who], pa.int64()), "query_id": pa.array(query_ids[who], pa.int64()), "vec_id": pa.array(found, pa.int64()), "score": pa.array(score, pa.int64())})
 
     def met(asking: DataFrame, kept: Column) -> DataFrame:
-        return asking.groupBy("group", "block").cogroup(candidates.where(kept).groupBy("group", "block")).applyInArrow(work, "query_id bigint, vec_id bigint, score bigint")
+        return asking.groupBy("group", "block").cogroup(candidates.where(kept).groupBy("group", "block")).applyInArrow(work, "query_row bigint, query_id bigint, vec_id bigint, score bigint")
 
     def ranked(found: DataFrame) -> DataFrame:
-        rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+        rank = F.row_number().over(Window.partitionBy("query_row").orderBy(F.desc("score"), "vec_id"))
         return found.withColumn("rank", rank).where(F.col("rank") <= k)
 
     def blocks(b: int) -> Column:
@@ -163,13 +166,13 @@ def top_k(vectors: DataFrame, *, k: int = 20, every: int = 20) -> DataFrame:
     if not parts:
         return ranked(met(queries.withColumns({"floor": F.lit(0.0), "block": F.lit(0)}), F.lit(True))).select("query_id", "rank", "vec_id", "score")
     longest = max(parts)
-    best = stored(ranked(met(queries.select("vec_id", "v", "group", F.lit(float("-inf")).alias("floor"), blocks(longest)), F.col("bucket") == longest)))
-    floor = best.where(F.col("rank") == k).select(F.col("query_id").alias("vec_id"), F.col("score").cast("double").alias("floor"))
-    asking = stored(queries.join(floor, "vec_id", "left").withColumn("floor", F.coalesce("floor", F.lit(float("-inf")))))
+    best = stored(ranked(met(queries.select("row", "vec_id", "v", "group", F.lit(float("-inf")).alias("floor"), blocks(longest)), F.col("bucket") == longest)))
+    floor = best.where(F.col("rank") == k).select(F.col("query_row").alias("row"), F.col("score").cast("double").alias("floor"))
+    asking = stored(queries.join(floor, "row", "left").withColumn("floor", F.coalesce("floor", F.lit(float("-inf")))))
     # The blocks of every other bucket that a query could still gain from.
     none = F.array().cast("array<int>")
     useful = [F.when(F.col("norm") * top * (1 + 1e-9) + 1e-6 >= F.col("floor"), F.sequence(F.lit(first), F.lit(first + m - 1))).otherwise(none) for b, (first, m, top) in parts.items() if b != longest]
     if not useful:
         return best.select("query_id", "rank", "vec_id", "score")
-    others = met(asking.select("vec_id", "v", "group", "floor", F.explode(F.flatten(F.array(*useful))).alias("block")), F.col("bucket") != longest)
+    others = met(asking.select("row", "vec_id", "v", "group", "floor", F.explode(F.flatten(F.array(*useful))).alias("block")), F.col("bucket") != longest)
     return ranked(best.drop("rank").unionByName(others)).select("query_id", "rank", "vec_id", "score")

@@ -19,15 +19,11 @@ from .test_texts import brute_components
 
 
 def brute_top(rows, k=20, every=20):
-    v = {}
-    for i, e in rows:
-        if i is not None and e is not None and all(x is not None and np.isfinite(x) for x in e):
-            v.setdefault(i, []).append([int(np.floor(64 * float(x))) for x in e])
-    v = {i: min(x) for i, x in v.items()}
+    v = [(i, [int(np.floor(64 * float(x))) for x in e]) for i, e in rows if i is not None and e is not None and all(x is not None and np.isfinite(x) for x in e)]
     out = []
-    for q in sorted(v):
+    for n, (q, own) in enumerate(v):
         if q % every == 0:
-            scores = sorted((-sum(a * b for a, b in zip(v[q], c, strict=False)), i) for i, c in v.items() if i != q)
+            scores = sorted((-sum(a * b for a, b in zip(own, c, strict=False)), i) for m, (i, c) in enumerate(v) if m != n)
             out += [(q, r, i, -s) for r, (s, i) in enumerate(scores[:k], 1)]
     return sorted(out)
 
@@ -42,6 +38,7 @@ def test_search_matches_brute_force(spark, kind):
         m[300:900] = m[300]
     rows = [(i, [float(x) for x in r]) for i, r in enumerate(m)]
     rows += [(3000, None), (3020, [None] * 8), (3040, [float("nan")] * 8), (3060, [float("inf")] + [0.0] * 7), (None, [1.0] * 8), (40, rows[40][1]), (3080, [1.0, 2.0]), (3100, [])]
+    rows += [(60, [3.0] + [0.0] * 7), (60, [2.0] + [0.0] * 7), (61, [3.0] + [0.0] * 7), (61, [2.0] + [0.0] * 7)]  # rows of one id
     df = spark.createDataFrame([(a, b, "x") for a, b in rows], "vec_id bigint, embedding array<float>, score string")
     got = sorted(tuple(r) for r in topk.top_k(topk.quantised(df)).select("query_id", "rank", "vec_id", "score").collect())
     assert got == brute_top(rows)
