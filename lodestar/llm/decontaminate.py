@@ -7,8 +7,12 @@ tokens; every span with at most two substitutions leaves at least one mask untou
 offset, so hashing what the masks show, on both sides, and joining misses no overlap. Around each
 hit the overlap is then counted token by token.
 
-Defined results: null and empty texts and items overlap nothing; items of fewer than SHORTEST tokens
-are too short to identify and are never reported. Repeated items or documents give one row for each
+Items of fewer than SEEDED tokens have no room for a mask: the hash of the whole item is looked up among
+those of all runs of its length.
+
+Defined results: null and empty texts and items overlap nothing. ``overlaps`` reports items of any length
+(``shortest``); ``clean`` keeps documents that hold no more than an item of fewer than SEEDED tokens, as so few
+words occur in clean texts too. Repeated items or documents give one row for each
 pair of ids. Null ids are kept. Texts of any length are read whole. ``overlaps`` reads no extra
 columns; ``clean`` keeps them, whatever their names.
 """
@@ -20,7 +24,7 @@ from pyspark.sql import functions as F
 
 from lodestar.llm.common import stored
 
-SPAN, SUBSTITUTIONS, SHORTEST = 13, 2, 7
+SPAN, SUBSTITUTIONS, SEEDED = 13, 2, 7
 #: Shown positions. Together they meet every way to put two substitutions into a span of 13.
 MASKS = ((0, 1, 2, 3, 5, 6), (0, 1, 2, 4, 7, 8))
 WIDEST = max(m[-1] for m in MASKS) + 1
@@ -43,7 +47,7 @@ def _runs(df: DataFrame, keys: list[str], hashes: str) -> DataFrame:
     n = F.size(h)
     shifted = [F.slice(h, F.lit(k + 1), F.greatest(n - k, F.lit(0))).alias(f"h{k}") for k in range(WIDEST)]
     zipped = F.arrays_zip(F.sequence(F.lit(0), n - 1).alias("pos"), *shifted)
-    return df.where(n >= SHORTEST).select(*keys, F.inline(zipped)).toDF(*keys, "pos", *(f"h{k}" for k in range(WIDEST))).where("h6 is not null")
+    return df.where(n >= SEEDED).select(*keys, F.inline(zipped)).toDF(*keys, "pos", *(f"h{k}" for k in range(WIDEST))).where("h6 is not null")
 
 
 def _first() -> Column:
@@ -54,12 +58,12 @@ def _seeds() -> Column:
     return F.array(*(F.when(F.col(f"h{m[-1]}").isNotNull(), F.xxhash64(F.lit(i), *(F.col(f"h{k}") for k in m))) for i, m in enumerate(MASKS)))
 
 
-def overlaps(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", doc_id: str = "doc_id", item_text: str = "text", item_id: str = "item_id") -> DataFrame:
-    """(doc_id, text_hash, item_id, n_matched, n_tokens): for each document text and item that
-    overlap, the most equal tokens in a span, and the item's tokens."""
-    items = stored(
-        benchmark.select(F.col(item_id).alias("item_id"), _hashed(item_text).alias("b")).where(F.size("b") >= SHORTEST).distinct().withColumn("item", F.monotonically_increasing_id())
-    )
+def overlaps(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", doc_id: str = "doc_id", item_text: str = "text", item_id: str = "item_id", shortest: int = 1) -> DataFrame:
+    """(doc_id, text_hash, item_id, n_matched, n_tokens): for each document text and item of ``shortest`` tokens
+    or more that overlap, the most equal tokens in a span, and the item's tokens."""
+    known = benchmark.select(F.col(item_id).alias("item_id"), _hashed(item_text).alias("b")).where(F.size("b") >= shortest).distinct()
+    known = stored(known.withColumn("item", F.monotonically_increasing_id()))
+    items = known.where(F.size("b") >= SEEDED)
     seeds = _runs(items, ["item"], "b").select("item", F.col("pos").alias("item_pos"), _first().alias("first"), F.explode(_seeds()).alias("seed")).where("seed is not null")
     seeds = stored(seeds)
     sent = F.broadcast if seeds.count() <= BROADCAST_SEEDS else (lambda x: x)
@@ -87,10 +91,24 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", doc_i
 
     found = texts.select("doc_id", "text_hash", F.inline(F.transform("hits", lambda x: F.struct(x["item_id"].alias("item_id"), counted(x).alias("n_matched"), F.size(x["b"]).alias("n_tokens")))))
     need = F.when(F.col("n_tokens") >= SPAN, F.lit(SPAN - SUBSTITUTIONS)).otherwise(F.col("n_tokens"))
-    return found.where(F.col("n_matched") >= need).groupBy("doc_id", "text_hash", "item_id").agg(F.max("n_matched").alias("n_matched"), F.max("n_tokens").alias("n_tokens"))
+    found = found.where(F.col("n_matched") >= need)
+    short = known.where(F.size("b") < SEEDED)
+    lengths = sorted(r.n for r in short.select(F.size("b").alias("n")).distinct().collect())  # of six at most
+    if lengths:
+        own = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("text_hash"), _hashed(text).alias("h"))
+
+        def runs_of(n: int) -> Column:
+            return F.when(F.size("h") >= n, F.transform(F.sequence(F.lit(0), F.size("h") - n), lambda i: F.xxhash64(F.slice("h", i + 1, F.lit(n)))))
+
+        none = F.array().cast("array<bigint>")
+        keyed = own.select("doc_id", "text_hash", F.explode(F.array_distinct(F.flatten(F.array(*(F.coalesce(runs_of(n), none) for n in lengths))))).alias("key"))
+        few = short.select(F.xxhash64("b").alias("key"), "item_id", F.size("b").alias("n_matched"), F.size("b").alias("n_tokens"))
+        send = F.broadcast if few.count() <= BROADCAST_SEEDS else (lambda x: x)
+        found = found.unionByName(keyed.join(send(few), "key").drop("key"))
+    return found.groupBy("doc_id", "text_hash", "item_id").agg(F.max("n_matched").alias("n_matched"), F.max("n_tokens").alias("n_tokens"))
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """Rows of ``docs`` that overlap no item; the columns stay as they are."""
-    bad = stored(overlaps(docs, benchmark, text=text, doc_id=doc_id).select(F.col("doc_id").alias("_bad_id"), F.col("text_hash").alias("_bad_hash")).distinct())
+    bad = stored(overlaps(docs, benchmark, text=text, doc_id=doc_id, shortest=SEEDED).select(F.col("doc_id").alias("_bad_id"), F.col("text_hash").alias("_bad_hash")).distinct())
     return docs.join(bad, F.xxhash64(docs[text]).eqNullSafe(bad["_bad_hash"]) & docs[doc_id].eqNullSafe(bad["_bad_id"]), "left_anti")

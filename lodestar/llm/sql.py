@@ -7,7 +7,7 @@ DECONTAMINATE = r"""
 WITH d AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS t FROM documents),
 b AS (SELECT item_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS t FROM benchmark),
 dw AS (SELECT doc_id, unnest(t) AS w, unnest(range(len(t))) AS p FROM d),
-bw AS (SELECT item_id, len(t) AS n, unnest(t) AS w, unnest(range(len(t))) AS p FROM b WHERE len(t) >= 7),
+bw AS (SELECT item_id, len(t) AS n, unnest(t) AS w, unnest(range(len(t))) AS p FROM b),
 m AS (SELECT doc_id, item_id, n, dw.p - bw.p AS shift, dw.p AS p FROM dw JOIN bw USING (w)),
 c AS (SELECT doc_id, item_id, n, count(*) OVER (PARTITION BY doc_id, item_id, shift ORDER BY p RANGE BETWEEN CURRENT ROW AND 12 FOLLOWING) AS k FROM m)
 SELECT doc_id, item_id, max(k) AS n_matched FROM c WHERE k >= CASE WHEN n >= 13 THEN 11 ELSE n END GROUP BY doc_id, item_id
