@@ -187,6 +187,17 @@ def with_tokens(c: Column | str, use: Callable[[Column], Column]) -> Column:
     return let(tokenize(c), use)
 
 
+def term_counts(tokens: Column) -> Column:
+    """(term, n) of each different token of an array: its sorted tokens' runs, found without leaving the row."""
+
+    def counted(ordered: Column) -> Column:
+        starts = F.filter(F.sequence(F.lit(0), F.size(ordered) - 1), lambda i: (i == 0) | (F.get(ordered, i) != F.get(ordered, i - 1)))
+        return let(starts, lambda at: F.transform(at, lambda i, k: F.struct(F.get(ordered, i).alias("term"), (F.coalesce(F.get(at, k + 1), F.size(ordered)) - i).cast("bigint").alias("n"))))
+
+    none = F.array().cast("array<struct<term:string,n:bigint>>")
+    return let(F.array_sort(tokens), lambda ordered: F.when(F.size(ordered) > 0, counted(ordered)).otherwise(none))
+
+
 def query_terms(c: Column | str) -> Column:
     return F.array_distinct(tokenize(c))
 
