@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+#: Literal cases by name: inputs and results, the function, the type of the input.
+CASES: dict[str, tuple[list[tuple], Callable[[Column], Column], str]] = {}
 
 
 def query(sql: str | None = None, name: str | None = None) -> Callable:
@@ -32,7 +34,8 @@ def quoted(v: object) -> str:
 
 
 def golden(name: str, cases: list[tuple], fn: Callable[[Column], Column], kind: str = "string", given: str = "string") -> None:
-    """A query over literal cases: (input, result); its SQL states the results."""
+    """Literal cases of a function: (input, result). They are tests; a query of the same name over a table follows in ``rules``."""
+    CASES[name] = (cases, fn, given)
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         df = spark.createDataFrame([(i, c[0]) for i, c in enumerate(cases)], f"n int, given {given}")

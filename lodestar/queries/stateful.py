@@ -56,7 +56,7 @@ def cache_life(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     f"WITH {ROWS}, w AS (SELECT 'even' AS watch, url, {NOW} AS seen_at FROM r WHERE _seq % 2 = 0 UNION ALL SELECT 'odd', url, {NOW + 5} FROM r WHERE _seq % 2 = 1) "
-    "SELECT watch, url, min(seen_at) AS first_seen, 1 AS refused, 1 AS version FROM w GROUP BY watch, url QUALIFY row_number() OVER (PARTITION BY watch ORDER BY min(seen_at) DESC, url DESC) <= 20000"
+    "SELECT watch, url, CAST(min(seen_at) AS BIGINT) AS first_seen, 1 AS refused, 1 AS version FROM w GROUP BY watch, url QUALIFY row_number() OVER (PARTITION BY watch ORDER BY min(seen_at) DESC, url DESC) <= 20000"
 )
 def watch_rivals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two writers start from one version: one is refused, starts over, and nothing of either is lost."""

@@ -9,6 +9,7 @@ import duckdb
 import pytest
 
 from lodestar import catalog
+from lodestar.queries.base import CASES
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -44,3 +45,11 @@ def test_query(spark, duck, name):
         rel = duck.sql(catalog.ORACLES[name])
         assert sorted(df.columns) == sorted(rel.columns)
         assert rows_of(df.columns, got) == rows_of(rel.columns, rel.fetchall())
+
+
+@pytest.mark.parametrize("name", sorted(CASES))
+def test_cases(spark, name):
+    cases, fn, given = CASES[name]
+    df = spark.createDataFrame([(i, c[0]) for i, c in enumerate(cases)], f"n int, given {given}")
+    got = {r.n: r.result for r in df.select("n", fn(df["given"]).alias("result")).collect()}
+    assert got == {i: c[1] for i, c in enumerate(cases)}
