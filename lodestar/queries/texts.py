@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestar.functions import registered
 from lodestar.functions import text as T
 from lodestar.operators import passages as P
 from lodestar.queries.base import golden, query, quoted, table
@@ -163,16 +164,17 @@ c AS (SELECT doc_id, line, l, 0 AS s, CASE WHEN length(l) <= 1200 THEN length(l)
 p AS (SELECT doc_id, line, piece, l LIKE '#%' AS heading, CASE WHEN length(l) <= 1200 THEN l ELSE regexp_replace(substr(l, s + 1, n), '^\\s+|\\s+$', '', 'g') END AS p FROM c)"""
 
 
-@query(
-    f"""WITH RECURSIVE {CUTS},
+PACKED = f"""WITH RECURSIVE {CUTS},
 x AS (SELECT doc_id, list({{'p': p, 'h': heading, 'f': piece = 0}} ORDER BY line, piece) AS ps FROM p GROUP BY doc_id),
 f AS (SELECT doc_id, list_reduce(ps, lambda a, x: CASE WHEN a.cur IS NOT NULL AND ((x.f AND x.h AND NOT a.bare) OR (length(a.cur) > 0 AND length(a.cur) + length(x.p) > 600 AND NOT a.bare))
     THEN {{'done': list_append(a.done, a.cur), 'cur': x.p, 'bare': x.h}}
     ELSE {{'done': a.done, 'cur': CASE WHEN a.cur IS NULL THEN x.p ELSE a.cur || chr(10) || x.p END, 'bare': x.h AND (a.bare OR a.cur IS NULL)}} END,
     {{'done': []::VARCHAR[], 'cur': NULL::VARCHAR, 'bare': FALSE}}) AS r FROM x),
 o AS (SELECT doc_id, list_append(r.done, r.cur) AS ps FROM f)
-SELECT doc_id, CAST(len(ps) AS BIGINT) AS n, list_max(list_transform(ps, lambda x: length(x))) AS longest, md5(array_to_string(ps, '|')) AS passages FROM o"""
-)
+SELECT doc_id, CAST(len(ps) AS BIGINT) AS n, list_max(list_transform(ps, lambda x: length(x))) AS longest"""
+
+
+@query(f"{PACKED}, md5(array_to_string(ps, '|')) AS passages FROM o")
 def split_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whole texts, packed."""
     made = _docs(spark, sf_dir).select("doc_id", T.split_passages("text").alias("ps")).where(F.size("ps") > 0)
@@ -180,6 +182,16 @@ def split_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("doc_id", F.size("ps").cast("bigint").alias("n"), longest.alias("longest"), F.md5(F.array_join("ps", "|").cast("binary")).alias("passages"))
 
 
+@query(f"{PACKED} FROM o")
+def sql_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same in Spark SQL alone, by a table function over partitions."""
+    registered.register(spark)
+    _docs(spark, sf_dir).select("doc_id", "text").createOrReplaceTempView("lodestar_documents")
+    return spark.sql(
+        "SELECT doc_id, count(*) AS n, CAST(max(length(passage)) AS BIGINT) AS longest FROM passages_of(TABLE(SELECT doc_id, text FROM lodestar_documents) PARTITION BY doc_id) GROUP BY doc_id"
+    )
+
+
 @query(f"WITH RECURSIVE {CUTS} SELECT doc_id, line, CAST(row_number() OVER (PARTITION BY doc_id, line ORDER BY piece) - 1 AS BIGINT) AS piece, length(p) AS chars FROM p")
 def split_long(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = _docs(spark, sf_dir).select("doc_id", F.posexplode(T.lines("text")).alias("line", "text")).select("doc_id", "line", F.posexplode(T.split_long("text")).alias("piece", "text"))

@@ -207,6 +207,8 @@ def test_functions_in_sql(spark):
     registered.register(spark)
     got = spark.sql("SELECT split_passages('# One\\nbody') AS p, size(feed_entries('<rss><item><title>t</title></item></rss>')) AS n, parse_robots('User-agent: *\\nDisallow: /x')[0].pattern AS r").first()
     assert (got.p, got.n, got.r) == (["# One\nbody"], 1, "/x")
+    got = spark.sql("SELECT f.place, f.title FROM VALUES ('<rss><item><title>t</title></item><item><title>u</title></item></rss>'), ('no'), (NULL) AS p(body), LATERAL feed_of(body) AS f").collect()
+    assert sorted(map(tuple, got)) == [(1, "t"), (2, "u")]
 
 
 def test_waits_lie_within_the_backoff(spark):
