@@ -247,11 +247,14 @@ def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, width: int, pe
 
 
 def linked(nodes: DataFrame, docs: DataFrame, postings: DataFrame, width: int, percent: int) -> DataFrame:
-    """(node, root) for the nodes that are linked to others. ``postings`` is what ``prefixes`` returns."""
+    """(node, root) for the nodes that are linked to others. ``postings`` is what ``prefixes`` returns, stored; it is
+    dropped when the tokens that sets share are known."""
     posting = postings.select("node", "n", F.posexplode("tokens").alias("pos", "token"))
     lists = posting.groupBy("token").agg(F.min("node").alias("x"), F.max("node").alias("y")).where("x <> y").select("token")
     shared = stored(posting.join(lists, "token"))
+    dropped(postings)
     members = stored(shared.join(shared.groupBy("token").agg(F.min(F.struct("pos", "n", "node")).alias("lead")), "token"))
+    dropped(shared)
     leads = members.select(F.col("lead.node").alias("a"), F.col("lead.n").alias("na"), F.col("lead.pos").alias("pa"), F.col("node").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("pb"))
 
     def paired(rows: DataFrame) -> DataFrame:
@@ -264,6 +267,7 @@ def linked(nodes: DataFrame, docs: DataFrame, postings: DataFrame, width: int, p
     # What is left: pairs of a list in different components. One of the two is outside the leader's.
     named = members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     named = stored(named.select("token", "node", "n", "pos", "root", F.col("lead.node").alias("leader")))
+    dropped(members)
     of = named.where("node = leader").select("token", F.col("root").alias("of")).distinct()
     outside = stored(named.join(of, "token").where("root <> of").select("token", F.col("node").alias("a"), F.col("n").alias("na"), F.col("pos").alias("pa"), F.col("root").alias("ra")))
     if outside.isEmpty():
