@@ -255,7 +255,7 @@ def test_run_and_empty(spark, folder, tmp_path):
 
 
 def test_registry():
-    assert sorted(int(n[2:].split("_")[0]) for n in registry.QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in registry.QUERIES) == list(range(1, 14))
     assert set(registry.ORACLES) <= set(registry.QUERIES) and callable(queries.op3_norm_buckets)
 
 
