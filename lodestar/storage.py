@@ -103,7 +103,7 @@ class StateTable:
     be created once only, so of two rivals one gets ``Conflict`` and has to start over from what the other
     left. Readers see the last entry, whole."""
 
-    def __init__(self, spark: SparkSession, path: str, schema: str, keep: int = 2):
+    def __init__(self, spark: SparkSession, path: str, schema: str, keep: int = 10):
         self.spark, self.root, self.schema, self.kept = spark, path.rstrip("/"), schema, keep
         self.files = Files(spark, path)
 
