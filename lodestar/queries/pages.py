@@ -58,9 +58,20 @@ def fetch_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("page_id", T.snippet(F.coalesce(F.nullif("title", F.lit("")), "url")).alias("title"), T.snippet("text").alias("snippet"))
 
 
-@query("SELECT page_id, 'semantic' AS container FROM pages")
+@query(
+    f"WITH d AS (SELECT doc_id, doc_id % 4 AS k, length(regexp_replace(text, '^\\s+|\\s+$', '', 'g')) AS n FROM documents) "
+    f"SELECT doc_id, CASE WHEN k = 0 THEN 'semantic' WHEN k < 3 AND n >= {H.DENSE} THEN 'dense' ELSE 'body' END AS container FROM d"
+)
 def container_kind(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return H.extracted(_pages(spark, sf_dir)).select("page_id", F.col("page.container").alias("container"))
+    """Texts in an element that says what it is, in a plain block, in one among links, and in none."""
+    k = F.col("doc_id") % 4
+    text = F.replace(F.replace(F.replace("text", F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+    inside = (
+        F.when(k == 0, F.concat(F.lit("<main><p>"), text, F.lit("</p></main>"))).when(k == 1, F.concat(F.lit("<div><p>"), text, F.lit("</p></div><footer><p>foot</p></footer>")))
+        .when(k == 2, F.concat(F.lit("<nav><p>menu</p></nav><section><p>"), text, F.lit("</p></section>"))).otherwise(F.concat(F.lit("<span>"), text, F.lit("</span>")))
+    )
+    made = table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("<html><body>"), inside, F.lit("</body></html>")).alias("html"), F.lit("https://e.example/").alias("url"))
+    return H.extracted(made).select("doc_id", F.col("page.container").alias("container"))
 
 
 @query()
