@@ -68,6 +68,12 @@ def test_charset():
     assert html.charset(b"x", "text/html; charset=nope") == "utf-8"
 
 
+def test_references_without_a_semicolon_stay_in_titles():
+    assert html.extract("<title>a &amp; b&amp</title><article><p>x</p></article>")["title"] == "a & b&amp"
+    assert html.extract("<title>&lt;&#233;&copy;&lt &nosuch; \ue000&</title><main>x</main>")["title"] == "<é©&lt &nosuch; \ue000&"
+    assert html.tree("<p>a&amp b</p>").text() == "a& b"  # result pages are read as browsers do
+
+
 def test_robots_groups():
     body = "﻿User-agent: a\nUser-agent: *\nDisallow: /p # c\nCrawl-delay: 1\nAllow: /é\nUser-agent: b\nDisallow: /\n"
     assert web.parse_robots_text(body) == [("/p", False), ("/%C3%A9", True)]
