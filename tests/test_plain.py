@@ -71,6 +71,10 @@ def test_charset():
 def test_references_without_a_semicolon_stay_in_titles():
     assert html.extract("<title>a &amp; b&amp</title><article><p>x</p></article>")["title"] == "a & b&amp"
     assert html.extract("<title>&lt;&#233;&copy;&lt &nosuch; \ue000&</title><main>x</main>")["title"] == "<é©&lt &nosuch; \ue000&"
+    got = html.extract('<main><h1>t&am</h1><p>x&lt<b>y &quot;&amp</b></p></main>', markdown=True)
+    assert got["text"] == '# t&am\nx&lty "&amp'
+    link = html.extract('<main><a href="https://e.org/?a=1&copy=2&amp;b">l</a></main>', markdown=True)
+    assert link["text"] == "[l](https://e.org/?a=1&copy=2&b)"
     assert html.tree("<p>a&amp b</p>").text() == "a& b"  # result pages are read as browsers do
 
 
