@@ -141,7 +141,7 @@ def image_download(spark: SparkSession, sf_dir: str) -> DataFrame:
     image_files.write(plan, place)
     image_files.write(plan.withColumn("content", F.lit(b"other")), place)  # what is there stays
     told = F.expr("substring(content, 9)").alias("name")
-    return image_files.written(spark, place).select("file", F.octet_length("content").cast("bigint").alias("bytes"), F.md5(told).alias("content"))
+    return image_files.in_place(plan, place).select("file", F.octet_length("content").cast("bigint").alias("bytes"), F.md5(told).alias("content"))
 
 
 @query(

@@ -3,7 +3,7 @@
 Rows are (file, content). Each task writes its files into a staging folder of its own below ``path``; the driver
 moves them into place when all tasks have succeeded, and removes the staging folder of a job that failed, so a
 failed or repeated task leaves no file. A file that is already there is never replaced: the new one is skipped.
-The driver handles names only, and of one job, whose number of images the plan limits.
+The driver handles names only, those of one task's folder at a time. Rows of one name meet in one task.
 """
 
 from __future__ import annotations
@@ -11,8 +11,10 @@ from __future__ import annotations
 import posixpath
 import uuid
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
 from pyspark.sql.types import Row
@@ -39,10 +41,9 @@ class ImageFiles(DataSource):
 
 @dataclass
 class Written(WriterCommitMessage):
-    """What a task staged: its folder and the names in it."""
+    """What a task staged: its folder, if it has files."""
 
-    folder: str
-    names: list[str]
+    folder: str | None
 
 
 class ImageWriter(DataSourceWriter):
@@ -51,34 +52,40 @@ class ImageWriter(DataSourceWriter):
         self.staging = f"{self.path}/_staging-{uuid.uuid4().hex}"
 
     def write(self, iterator: Iterator[Row]) -> WriterCommitMessage:
+        from pyarrow import fs
+
         store, root = _store(self.staging)
+        place = _store(self.path)[1]
         mine = f"{root}/{uuid.uuid4().hex}"  # a task that runs twice writes to two folders; one of them counts
-        names: list[str] = []
+        names: set[str] = set()
         for row in iterator:
             name = row["file"]
             if not name or posixpath.basename(name) != name or name.startswith((".", "_")):
                 raise ValueError(f"no file name: {name!r}")
-            if name in names:
+            if name in names or store.get_file_info(f"{place}/{name}").type != fs.FileType.NotFound:
                 continue
             if not names:
                 store.create_dir(mine, recursive=True)
             with store.open_output_stream(f"{mine}/{name}") as f:
                 f.write(row["content"] or b"")
-            names.append(name)
-        return Written(mine, names)
+            names.add(name)
+        return Written(mine if names else None)
 
     def commit(self, messages: list[WriterCommitMessage | None]) -> None:
         from pyarrow import fs
 
         store, root = _store(self.path)
         store.create_dir(root, recursive=True)
-        for m in messages:
-            if not isinstance(m, Written):
-                continue
-            there = store.get_file_info([f"{root}/{n}" for n in m.names]) if m.names else []
-            for name, info in zip(m.names, there, strict=True):
-                if info.type == fs.FileType.NotFound:
-                    store.move(f"{m.folder}/{name}", f"{root}/{name}")
+
+        def settle(name: str, staged: str) -> None:
+            if store.get_file_info(f"{root}/{name}").type == fs.FileType.NotFound:  # another job may have been faster
+                store.move(staged, f"{root}/{name}")
+
+        with ThreadPoolExecutor(8) as pool:
+            for m in messages:
+                if isinstance(m, Written) and m.folder:
+                    found = store.get_file_info(fs.FileSelector(m.folder))
+                    list(pool.map(settle, (f.base_name for f in found), (f.path for f in found), chunksize=1))
         self._clean()
 
     def abort(self, messages: list[WriterCommitMessage | None]) -> None:
@@ -96,10 +103,17 @@ def register(spark: SparkSession) -> None:
     spark.dataSource.register(ImageFiles)
 
 
+def _tasks(spark: SparkSession) -> int:
+    """Small tables of many images come in few partitions: a number that a plan is dealt to."""
+    return 4 * spark.sparkContext.defaultParallelism
+
+
 def write(plan: DataFrame, path: str) -> None:
     """Write what a download plan (file, content, skip) does not skip."""
-    register(plan.sparkSession)
-    plan.where("skip is null").select("file", "content").write.format("lodestar_images").option("path", path).mode("append").save()
+    spark = plan.sparkSession
+    register(spark)
+    rows = plan.where("skip is null").select("file", "content").repartition(_tasks(spark), "file")
+    rows.write.format("lodestar_images").option("path", path).mode("append").save()
 
 
 def written(spark: SparkSession, path: str) -> DataFrame:
@@ -108,3 +122,31 @@ def written(spark: SparkSession, path: str) -> DataFrame:
 
     found = spark.read.format("binaryFile").option("pathGlobFilter", "[!._]*").load(path)
     return found.select(F.element_at(F.split("path", "/"), -1).alias("file"), "content")
+
+
+def in_place(plan: DataFrame, path: str) -> DataFrame:
+    """(file, content) of those files of a plan that are in place: looked up by tasks, without a list of the folder."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, root = _store(path)
+        made, held = [], 0
+        for batch in batches:
+            for name in batch.column(0).to_pylist():
+                try:
+                    with store.open_input_file(f"{root}/{name}") as f:
+                        made.append((name, f.read()))
+                except FileNotFoundError:
+                    continue
+                held += len(made[-1][1])
+                if held > 8 << 20 or len(made) == 10_000:
+                    yield _named(made)
+                    made, held = [], 0
+        if made:
+            yield _named(made)
+
+    names = plan.select("file").where("file is not null").repartition(_tasks(plan.sparkSession), "file").distinct()
+    return names.mapInArrow(work, "file string, content binary")
+
+
+def _named(made: list[tuple[str, bytes]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([n for n, _ in made], pa.string()), pa.array([c for _, c in made], pa.binary())], ["file", "content"])

@@ -151,6 +151,26 @@ def test_images_are_all_in_place_or_none(spark, tmp_path):
     image_files.write(plan([("3.png", b"other", None), ("a.png", b"a", None), ("a.png", b"a", None)]), str(path))
     assert sorted(os.listdir(path)) == [*(f"{i}.png" for i in range(9)), "a.png"] and (path / "3.png").read_bytes() == b"3"
     assert image_files.written(spark, str(path)).count() == 10
+    asked = plan([("3.png", b"", None), ("3.png", b"", None), ("absent.png", b"", None), (None, b"", None)])
+    assert [(r.file, bytes(r.content)) for r in image_files.in_place(asked, str(path)).collect()] == [("3.png", b"3")]
+
+
+def test_many_images_of_one_task_cost_no_more_each(tmp_path):
+    class Name(str):
+        compared = 0
+
+        def __eq__(self, other):
+            Name.compared += 1
+            return str.__eq__(self, other)
+
+        __hash__ = str.__hash__
+
+    writer = image_files.ImageWriter({"path": str(tmp_path / "i")})
+    told = writer.write(iter([{"file": Name(f"{i}.png"), "content": b"x"} for i in range(2000)]))
+    assert Name.compared < 20_000  # not every pair
+    assert not os.path.exists(tmp_path / "i" / "1.png")
+    writer.commit([told, None])
+    assert len(os.listdir(tmp_path / "i")) == 2000
 
 
 def test_robots_groups_equal_the_parser(spark):
