@@ -11,11 +11,10 @@ import re
 import xml.etree.ElementTree as ET
 from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestar.functions.udf import vectorised
+from lodestar.functions.udf import rowwise
 from lodestar import html as H
 from lodestar.functions import text as T
 from lodestar.functions import timefn, web
@@ -216,16 +215,13 @@ def token(body: Column | str, name: str = "vqd") -> Column:
     return F.nullif(F.regexp_extract(T.col(body), rf"""{name}=["']?([\d-]+)""", 1), F.lit(""))
 
 
-@vectorised("array<struct<m:string,alt:string>>")
-def _image_attrs(body: pd.Series) -> pd.Series:
-    def one(b: str) -> list[dict]:
-        found = []
-        for n in H.tree(b or "").walk():
-            if n.tag == "a" and n.has_class("iusc") and "m" in n.attrs:
-                found.append({"m": n.attrs["m"], "alt": next((x.attrs.get("alt", "") for x in n.walk() if x.tag == "img"), "")})
-        return found
-
-    return body.map(one)
+@rowwise("array<struct<m:string,alt:string>>")
+def _image_attrs(body: str | None) -> list[dict]:
+    found = []
+    for n in H.tree(body or "").walk():
+        if n.tag == "a" and n.has_class("iusc") and "m" in n.attrs:
+            found.append({"m": n.attrs["m"], "alt": next((x.attrs.get("alt", "") for x in n.walk() if x.tag == "img"), "")})
+    return found
 
 
 def images_attr(payloads: DataFrame) -> DataFrame:
@@ -285,9 +281,9 @@ def feed_entries(body: str) -> list[dict] | None:
     return out
 
 
-@vectorised(FEED)
-def _feed(body: pd.Series) -> pd.Series:
-    return body.map(lambda b: feed_entries(b or ""))
+@rowwise(FEED)
+def _feed(body: str | None) -> list[dict] | None:
+    return feed_entries(body or "")
 
 
 def feed(payloads: DataFrame) -> DataFrame:
@@ -346,14 +342,14 @@ def bing_results(body: str) -> list[dict]:
     return out
 
 
-@vectorised(SELECTED)
-def _ddg(body: pd.Series) -> pd.Series:
-    return body.map(lambda b: ddg_results(b or ""))
+@rowwise(SELECTED)
+def _ddg(body: str | None) -> list[dict]:
+    return ddg_results(body or "")
 
 
-@vectorised(SELECTED)
-def _bing(body: pd.Series) -> pd.Series:
-    return body.map(lambda b: bing_results(b or ""))
+@rowwise(SELECTED)
+def _bing(body: str | None) -> list[dict]:
+    return bing_results(body or "")
 
 
 def _scraped(payloads: DataFrame, items: Column, unwrap: Callable[[Column], Column]) -> DataFrame:
@@ -403,9 +399,9 @@ def channel_posts(body: str) -> dict:
     return {"posts": posts, "oldest": min(ids, default=None), "has_channel": first(root, "tgme_channel_info_header") is not None}
 
 
-@vectorised("posts array<struct<url:string,post_channel:string,post_id:bigint,published:string,text:string,views:string>>, oldest bigint, has_channel boolean")
-def channel_page(body: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([channel_posts(b or "") for b in body], columns=["posts", "oldest", "has_channel"]).astype({"oldest": "Int64"})
+@rowwise("posts array<struct<url:string,post_channel:string,post_id:bigint,published:string,text:string,views:string>>, oldest bigint, has_channel boolean")
+def channel_page(body: str | None) -> dict:
+    return channel_posts(body or "")
 
 
 def _post(base: str) -> Made:

@@ -78,6 +78,23 @@ def test_references_without_a_semicolon_stay_in_titles():
     assert html.tree("<p>a&amp b</p>").text() == "a& b"  # result pages are read as browsers do
 
 
+def test_payloads_are_parsed_a_few_at_a_time(spark):
+    """A worker holds some hundred payloads, not an Arrow batch of 10,000."""
+    page = '<li class="b_algo"><h2><a href="https://e.org/">t</a></h2><p>s</p></li>'
+    rss = "<rss><channel><item><title>t</title><link>https://e.org/</link><description>s</description></item></channel></rss>"
+    ddg = '<div class="result"><a class="result__a" href="https://e.org/">t</a><a class="result__snippet">s</a></div>'
+    wrap = '<div class="tgme_channel_info_header"></div><div class="tgme_widget_message_wrap" data-post="c/7"><a class="tgme_widget_message_date" href="https://e.org/"></a><div class="tgme_widget_message_text">s</div></div>'
+    for parse, body, title in ((parsers.bing_html, page, "t"), (parsers.web_rss, rss, "t"), (parsers.ddg_html, ddg, "t"), (parsers.feed, rss, "t"), (parsers.channel, wrap, "@c")):
+        payloads = spark.range(5).select(F.col("id").alias("request_id"), F.lit(body).alias("body"), F.lit("c").alias("channel"))
+        rows = parse(payloads)
+        assert [(r._seq, r.title, r.url, r.snippet, r.kind) for r in rows.collect()] == [(1, title, "https://e.org/", "s", None)] * 5
+        plan = rows._jdf.queryExecution().executedPlan().toString()
+        arrow = [line for line in plan.split("\n") if "ArrowEvalPython" in line and "body" in line]
+        assert "BatchEvalPython" in plan and not arrow
+    got = spark.range(1).select(parsers.channel_page(F.lit("<p>x</p>")).alias("p"), parsers._image_attrs(F.lit('<a class="iusc" m="{}"><img alt="a"></a>')).alias("a")).first()
+    assert got.p.asDict(True) == {"posts": [], "oldest": None, "has_channel": False} and [tuple(x) for x in got.a] == [("{}", "a")]
+
+
 def test_robots_groups():
     body = "﻿User-agent: a\nUser-agent: *\nDisallow: /p # c\nCrawl-delay: 1\nAllow: /é\nUser-agent: b\nDisallow: /\n"
     assert web.parse_robots_text(body) == [("/p", False), ("/%C3%A9", True)]
