@@ -517,3 +517,14 @@ def test_model_beats_base_on_held_out_text(spark):
     assert p.model < 0.85 * p.base
 
 
+def test_buckets_are_made_of_rooms_without_their_words():
+    """Words and groups before a token can be dropped once its restaurants are known: the bucket is the same."""
+    rng = np.random.default_rng(3)
+    keys = pitman_yor.mixed(np.arange(50, dtype=np.uint64) + np.uint64(1))
+    v, u, w = rng.integers(0, 50, (3, 4000))
+    group, learn = rng.integers(0, 2, 4000), rng.integers(0, 2, 4000)
+    one = pitman_yor.Bucket(keys[v], group, keys[u], keys[w], w, learn)
+    other = pitman_yor.Bucket.of(*pitman_yor.Bucket.rooms(keys[v], group, keys[u]), keys[w], w.astype(np.int32), learn.astype(np.uint32))
+    for name in ("of_token", "n2", "room2", "up", "room1", "w"):
+        assert np.array_equal(getattr(one, name), getattr(other, name))
+    assert one.cells1 == other.cells1
