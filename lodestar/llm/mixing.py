@@ -9,7 +9,8 @@ taken first. The others are ranked by the odds of a random number (a hash of id
 odds of their own probability, and taken in that order while their words fit. What the first
 document that does not fit leaves open is filled in the same order by those that do, ``ROUNDS``
 times in all, so the sample's size is fixed in words. The order is cut by sums over ``BUCKETS``
-ranges of the rank, twice, and then exactly, so no task sorts a whole source.
+ranges of the rank, and then exactly within one, so no task sorts a whole source. Each round is two
+small jobs over the ranked rows: a driver pays for every plan, join and exchange.
 
 Defined results: a null text has size 0 and takes no words; a null source is a source of its own,
 last in order; a source without words has target 0. Rows with the same id share their random
@@ -91,21 +92,29 @@ def inclusion(rows: DataFrame, state: DataFrame) -> DataFrame:
     return fits.groupBy("sid").agg(F.max_by("scale", "size").alias("scale"))
 
 
-def _cut(rows: DataFrame, last: bool) -> DataFrame:
-    """sid, below, upto: a row is taken if its rank is under ``below`` or at most ``upto``, in order
-    while the words before it and its own (half of them if ``last``) fit. ``rows``: sid, size, r, goal."""
-    open_ = rows.withColumn("_from", F.lit(0).cast("bigint"))
-    for level in (1, 2):
-        open_ = open_.withColumn("_b", F.floor(F.col("r") * float(BUCKETS**level)))
-        sums = open_.groupBy("sid", "_b").agg(F.sum("size").alias("_w"), F.first("_from").alias("_f"), F.first("goal").alias("_goal"))
-        before = F.col("_f") + F.coalesce(F.sum("_w").over(Window.partitionBy("sid").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-        edge = sums.withColumn("_before", before).where(F.col("_before") <= F.col("_goal")).groupBy("sid").agg(F.max_by(F.struct("_b", "_before"), "_b").alias("_e"))
-        edge = stored(edge.select("sid", F.col("_e._b").alias("_edge"), F.col("_e._before").alias("_from")))
-        open_ = open_.drop("_from").join(edge, "sid").where(F.col("_b") == F.col("_edge")).drop("_b", "_edge")
-    ties = open_.groupBy("sid", "r").agg(F.sum("size").alias("_w"), F.first("_from").alias("_from"), F.first("goal").alias("goal"))
-    before = F.col("_from") + F.coalesce(F.sum("_w").over(Window.partitionBy("sid").orderBy("r").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    upto = ties.withColumn("_before", before).where(F.col("_before") + (0.5 if last else 1.0) * F.col("_w") <= F.col("goal")).groupBy("sid").agg(F.max("r").alias("upto"))
-    return edge.select("sid", (F.col("_edge") / float(BUCKETS**2)).alias("below")).join(upto, "sid", "left").withColumn("upto", F.coalesce("upto", F.lit(-1.0)))
+def _cut(rows: DataFrame, state: DataFrame, k: int) -> DataFrame:
+    """``state`` with ``round<k>`` and what is still needed after it: open rows are taken if their rank is
+    under ``below`` or at most ``upto``, in order while the words before them and their own (half of them
+    in the last round) fit. ``rows``: sid, size, r."""
+    last, past = k == ROUNDS - 1, [f"round{j}" for j in range(k)]
+    reach = F.col("need") * (2.0 if last else 1.0)  # the last round may take one that fits by half
+    bucket = F.floor(F.col("r") * float(BUCKETS))
+
+    def open_(*columns: str) -> DataFrame:
+        return rows.join(state.select("sid", "need", *columns, *past), "sid").where((F.col("size") <= reach) & ~_taken(k, F.lit(False)))
+
+    def before(column: str) -> Column:
+        return F.coalesce(F.sum("_w").over(Window.partitionBy("sid").orderBy(column).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+
+    sums = open_().groupBy("sid", bucket.alias("_b")).agg(F.sum("size").alias("_w"), F.first("need").alias("_goal"))
+    edge = sums.withColumn("_before", before("_b")).where("_before <= _goal").groupBy("sid").agg(F.max_by(F.struct("_b", "_before"), "_b").alias("_e"))
+    state = stored(state.join(edge.select("sid", F.col("_e._b").alias("_edge"), F.col("_e._before").alias("_from")), "sid", "left"))
+    ties = open_("_edge", "_from").where(bucket == F.col("_edge")).groupBy("sid", "r").agg(F.sum("size").alias("_w"), F.first("_from").alias("_f"), F.first("need").alias("_goal"))
+    ties = ties.withColumn("_before", F.col("_f") + before("r")).where(F.col("_before") + (0.5 if last else 1.0) * F.col("_w") <= F.col("_goal"))
+    found = state.join(ties.groupBy("sid").agg(F.max("r").alias("_upto"), F.max(F.col("_before") + F.col("_w")).alias("_took")), "sid", "left")
+    cut = F.struct(reach.alias("reach"), (F.col("_edge") / float(BUCKETS)).alias("below"), F.coalesce("_upto", F.lit(-1.0)).alias("upto"))
+    found = found.withColumn(f"round{k}", F.when(F.col("_edge").isNotNull(), cut)).withColumn("need", F.col("need") - F.coalesce("_took", "_from", F.lit(0)))
+    return stored(found.drop("_edge", "_from", "_upto", "_took"))
 
 
 def _in_round(k: int) -> Column:
@@ -114,8 +123,7 @@ def _in_round(k: int) -> Column:
     return cut.isNotNull() & (F.col("size") <= cut["reach"]) & ((F.col("r") < cut["below"]) | (F.col("r") <= cut["upto"]))
 
 
-def _taken(rounds: int) -> Column:
-    found = F.col("certain")
+def _taken(rounds: int, found: Column) -> Column:
     for k in range(rounds):
         found = found | F.coalesce(_in_round(k), F.lit(False))
     return found
@@ -135,21 +143,11 @@ def allocate(rows: DataFrame, *, weights=(5, 2, 1), most: float = 3.0, seed: int
     state = stored(plan.withColumn("whole", F.floor(ratio)).withColumn("need", F.col("target") - F.col("whole") * F.col("source_size")))
     small = rows.where("size > 0").join(state.where("need > 0").select(F.col("source").alias("_s"), "sid"), F.col("source").eqNullSafe(F.col("_s"))).select("sid", "size", "u")
     state = stored(state.join(inclusion(small.select("sid", "size"), state), "sid", "left"))
-    ranked = _ranked(small.join(state.where("scale > 0").select("sid", "scale"), "sid")).select("sid", "size", "certain", "r")
+    ranked = stored(_ranked(small.join(state.where("scale > 0").select("sid", "scale"), "sid")).select("sid", "size", "certain", "r"))
     sure = ranked.where("certain").groupBy("sid").agg(F.sum("size").alias("took"))
+    state = stored(state.join(sure, "sid", "left").withColumn("need", F.col("need") - F.coalesce("took", F.lit(0))).drop("took"))
     for k in range(ROUNDS):
-        state = stored(state.join(sure, "sid", "left").withColumn("need", F.col("need") - F.coalesce("took", F.lit(0))).drop("took"))
-        past = [f"round{j}" for j in range(k)]
-        reach = 2.0 if k == ROUNDS - 1 else 1.0  # the last round may take one that fits by half
-        open_ = ranked.where("r is not null").join(state.select("sid", F.col("need").alias("goal"), *past), "sid").where(F.col("size") <= reach * F.col("goal"))
-        if past:
-            open_ = open_.where(~_taken(k))
-        cut = _cut(open_.select("sid", "size", "r", "goal"), k == ROUNDS - 1).join(state.select("sid", "need"), "sid")
-        state = state.join(cut.select("sid", F.struct((reach * F.col("need")).alias("reach"), "below", "upto").alias(f"round{k}")), "sid", "left")
-        state = stored(state)
-        if k < ROUNDS - 1:
-            now = open_.join(state.select("sid", f"round{k}"), "sid").where(_in_round(k))
-            sure = now.groupBy("sid").agg(F.sum("size").alias("took"))
+        state = _cut(ranked.where("r is not null").select("sid", "size", "r"), state, k)
     return state.drop("need", "weight")
 
 
@@ -157,7 +155,7 @@ def apply(rows: DataFrame, plan: DataFrame) -> DataFrame:
     """``rows`` (with source, size, u) and their copies under a plan."""
     plan = plan.withColumnRenamed("source", "_plan_source").drop("sid", "n_docs")
     joined = _ranked(rows.join(plan, F.col("source").eqNullSafe(F.col("_plan_source"))))
-    out = joined.withColumn("copies", (F.col("whole") + F.when(_taken(ROUNDS), 1).otherwise(0)).cast("bigint")).withColumn("taken", F.col("copies") * F.col("size"))
+    out = joined.withColumn("copies", (F.col("whole") + F.when(_taken(ROUNDS, F.col("certain")), 1).otherwise(0)).cast("bigint")).withColumn("taken", F.col("copies") * F.col("size"))
     return out.drop("_plan_source", "whole", "scale", "certain", "r", *(f"round{k}" for k in range(ROUNDS)))
 
 

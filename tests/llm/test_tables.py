@@ -147,6 +147,20 @@ def test_mix_matches_its_sql(spark):
     assert plain(got) == plain(want)
 
 
+def test_mix_takes_few_jobs_and_joins(spark, monkeypatch):
+    """A driver pays for every plan: rows are ranked once, and a round is two small jobs."""
+    rows = [row(i, prose(i, 5 + i % 40), source="abc"[i % 3]) for i in range(60)]
+    plans, plain = [], mixing.stored
+
+    def counted(df):
+        plans.append(df._jdf.queryExecution().optimizedPlan().toString().count("Join "))
+        return plain(df)
+
+    monkeypatch.setattr(mixing, "stored", counted)
+    mixing.mix(docs(spark, rows), keep=["doc_id"])
+    assert len(plans) <= 13 and sum(plans) <= 24, plans
+
+
 # --- 9
 
 
