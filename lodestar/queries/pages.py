@@ -30,7 +30,9 @@ TITLE = ENTITIES.format("trim(regexp_extract(html, '(?s)<title>(.*?)</title>', 1
 
 @query(f"WITH {ARTICLE} SELECT page_id, {TITLE} AS title, length(substr(text, 1, 20000)) AS chars, length(text) > 20000 AS truncated, substr(text, 1, 20000) AS text FROM e")
 def fetch_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return H.fetch(_pages(spark, sf_dir)).select("page_id", "title", "chars", "truncated", "text")
+    got = H.fetch(_pages(spark, sf_dir))
+    title = F.when(F.col("kind").isNull(), F.coalesce("title", F.lit("")))  # as in SQL, empty if the page has none
+    return got.select("page_id", title.alias("title"), "chars", "truncated", "text")
 
 
 @query()

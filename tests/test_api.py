@@ -182,3 +182,17 @@ def test_recipe_commands(star, tmp_path, capsys, monkeypatch):
     capsys.readouterr()
     assert main(["--payloads", str(tmp_path / "p"), "run", "-"]) == 0
     assert "1. t0" in capsys.readouterr().out
+
+
+def test_fetched_pages_without_a_title_and_with_cut_references_match_sql(spark, tmp_path):
+    import duckdb
+
+    from lodestar import catalog
+
+    heads = ["<title></title>", "<title>  </title>", "", "<title>a &amp;&am</title>", "<title>b&quo</title>"]
+    rows = [(i, f"https://e.example/{i}", f"<html><head>{h}</head><body><article><h1>x&am</h1><p><b>y&amp<br><p>z &amp;&quot;</article></body></html>") for i, h in enumerate(heads)]
+    spark.createDataFrame(rows, "page_id bigint, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM read_parquet('{tmp_path}/pages.parquet/*.parquet')")
+    want = con.execute(catalog.ORACLES["fetch_pages"]).fetchall()
+    assert sorted(map(tuple, catalog.QUERIES["fetch_pages"](spark, str(tmp_path)).collect())) == sorted(want)
