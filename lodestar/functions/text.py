@@ -65,6 +65,11 @@ def join_meta(*parts: Column) -> Column:
     return F.array_join(F.filter(trimmed, lambda x: x != ""), " · ")
 
 
+def join_all(*parts: Column) -> Column:
+    """Parts joined by a middle dot, the empty ones too."""
+    return F.concat_ws(" · ", *parts)
+
+
 def strip_tags(c: Column | str) -> Column:
     """Removes what looks like markup: no ``@``, and a leading ``!``, ``?``, ``/`` or tag name,
     with no lone ``&&`` or ``||`` among the attributes."""
