@@ -286,12 +286,12 @@ def _feed(body: str | None) -> list[dict] | None:
     return feed_entries(body or "")
 
 
-def feed(payloads: DataFrame) -> DataFrame:
-    """Posts of an Atom or RSS feed: category, author and stripped summary make the snippet."""
+def feed(payloads: DataFrame, join: Callable[..., Column] = T.join_meta) -> DataFrame:
+    """Posts of an Atom or RSS feed: category, author and stripped summary make the snippet, put together by ``join``."""
     rows = payloads.select("request_id", _feed("body").alias("_items")).select("request_id", F.col("_items").isNull().alias("_bad"), F.posexplode_outer("_items").alias("_pos", "_it"))
     it, url = F.col("_it"), web.http_url(F.col("_it.link"))
     author = F.when(it["author"] == "", "").otherwise(F.concat(F.lit("by "), it["author"]))
-    return _rows(rows, it["title"], url, T.snippet(T.join_meta(it["category"], author, T.strip_html(it["summary"]))), timefn.feed_date(it["published"]))
+    return _rows(rows, it["title"], url, T.snippet(join(it["category"], author, T.strip_html(it["summary"]))), timefn.feed_date(it["published"]))
 
 
 def web_rss(payloads: DataFrame) -> DataFrame:
@@ -404,20 +404,21 @@ def channel_page(body: str | None) -> dict:
     return channel_posts(body or "")
 
 
-def _post(base: str) -> Made:
+def _post(base: str, join: Callable[..., Column] = T.join_meta) -> Made:
     """The parts of a row made of a post ``_it`` of ``channel``."""
     it = F.col("_it")
     url = F.coalesce(web.http_url(it["url"]), F.concat(F.lit(base.rstrip("/") + "/"), T.encode_path(it["post_channel"], keep_slashes=False), F.lit("/"), it["post_id"]))
     seen = F.when(it["views"] == "", "").otherwise(F.concat(it["views"], F.lit(" views")))
-    return {"title": F.concat(F.lit("@"), F.col("channel")), "url": url, "snippet": T.snippet(T.join_meta(it["text"], seen)), "published": timefn.iso(it["published"])}
+    return {"title": F.concat(F.lit("@"), F.col("channel")), "url": url, "snippet": T.snippet(join(it["text"], seen)), "published": timefn.iso(it["published"])}
 
 
-def channel(payloads: DataFrame, base: str = "https://t.me") -> DataFrame:
-    """Posts of channel pages. ``payloads`` also has ``channel``; ``oldest`` is the cursor of the page before."""
+def channel(payloads: DataFrame, base: str = "https://t.me", join: Callable[..., Column] = T.join_meta) -> DataFrame:
+    """Posts of channel pages. ``payloads`` also has ``channel``; ``oldest`` is the cursor of the page before.
+    Text and views make the snippet, put together by ``join``."""
     rows = payloads.select("request_id", "channel", channel_page("body").alias("_page"))
     bad = (F.size("_page.posts") == 0) & ~F.col("_page.has_channel")
     rows = rows.select("request_id", "channel", bad.alias("_bad"), F.col("_page.oldest").alias("oldest"), F.posexplode_outer("_page.posts").alias("_pos", "_it"))
-    return _rows(rows, *_post(base).values())
+    return _rows(rows, *_post(base, join).values())
 
 
 def posts(rows: DataFrame, base: str = "https://t.me") -> DataFrame:

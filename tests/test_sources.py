@@ -11,7 +11,7 @@ from tests.test_oracles import rows_of
 TEXTS = ["", "  ", "\n\t", " a  b ", "a\vb\fc", "a & b", "x" * 400, "w " * 200]
 
 
-@pytest.mark.parametrize("name", ["src_atom_feed"])
+@pytest.mark.parametrize("name", ["src_atom_feed", "src_channel_html"])
 def test_odd_texts(spark, tmp_path, name):
     rows = [(i, TEXTS[i % len(TEXTS)], "en", "web", 0) for i in range(40)]
     spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint").write.parquet(f"{tmp_path}/documents.parquet")
