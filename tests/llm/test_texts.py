@@ -11,6 +11,7 @@ import re
 import struct
 import zlib
 from collections import Counter
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -528,3 +529,22 @@ def test_buckets_are_made_of_rooms_without_their_words():
     for name in ("of_token", "n2", "room2", "up", "room1", "w"):
         assert np.array_equal(getattr(one, name), getattr(other, name))
     assert one.cells1 == other.cells1
+
+
+@pytest.mark.parametrize(("hot", "bucket"), [(262_144, 10**6), (9, 40)])
+def test_scores_match_brute_force_in_groups(spark, monkeypatch, hot, bucket):
+    """The restaurant of what begins a text has more customers than the limit, and so is in several groups."""
+    monkeypatch.setattr(pitman_yor, "score", partial(pitman_yor.score, limit=3))
+    test_scores_match_brute_force(spark, hot, bucket)
+
+
+def test_restaurants_are_whole_whatever_the_limit(spark):
+    """Scores with every restaurant in groups differ from those with none by no more than another seed's do."""
+    rng = np.random.default_rng(5)
+    rows = [row(i, " ".join(f"w{j}" for j in (rng.pareto(1.0, 60) * 2).astype(int) % 30)) for i in range(400)]
+    rows += [row(1000 + i, " ".join(f"w{j}" for j in range(30))) for i in range(2)]
+    run = lambda **more: np.array([r.score for r in sorted(pitman_yor.score(docs(spark, rows), F.col("doc_id") % 10 != 0, samples=6, **more).collect())])
+    whole, other, parts = run(), run(seed=8), run(limit=40, bucket=3_000)
+    noise, change = np.abs(other / whole - 1), np.abs(parts / whole - 1)
+    assert change.mean() < 2 * noise.mean() and change.max() < 2 * noise.max()
+    assert abs(parts.sum() / whole.sum() - 1) < 0.001
